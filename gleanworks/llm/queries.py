@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanworks.llm import survivors, turns
+from gleanworks.llm import leaks, survivors, textkind, turns
 from gleanworks.session import table
 
 
@@ -36,7 +37,46 @@ def p5_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.surviving_records(_records(spark, folder))
 
 
-QUERIES = {"p4_found": p4_found, "p4_turns": p4_turns, "p5_found": p5_found, "p5_survivors": p5_survivors}
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that contain test items, and which."""
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per test item: how many documents contain it, how much of it at most, and whether its answer stands there too."""
+    return _leaks(spark, folder).groupBy("item_id").agg(
+        F.count("*").alias("documents"), F.max("contained").alias("most_contained"), F.count_if("answer_near").alias("with_answer")
+    )
+
+
+def _kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return textkind.text_kinds(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are not prose, and what they are."""
+    return _kinds(spark, folder).filter("kind != 'prose'").select("doc_id", "kind")
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and kind of every document."""
+    return _kinds(spark, folder)
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_turns": p4_turns,
+    "p5_found": p5_found,
+    "p5_survivors": p5_survivors,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
+}
 
 SQL = {
     "p5_found": """
