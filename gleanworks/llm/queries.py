@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanworks.llm import leaks, survivors, textkind, turns
+from gleanworks.llm import bins, leaks, survivors, textkind, turns
 from gleanworks.session import table
 
 
@@ -37,6 +37,23 @@ def p5_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.surviving_records(_records(spark, folder))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that had to be divided to lie in contexts of profile small."""
+    packed = bins.packed_documents(table(spark, folder, "documents"), table(spark, folder, "context_budgets"), ("small",))
+    return bins.divided_texts(packed)
+
+
+def p6_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """Which part of which document lies in which context, for every profile."""
+    return bins.packed_documents(table(spark, folder, "documents"), table(spark, folder, "context_budgets"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the contexts of every profile are filled."""
+    budgets = table(spark, folder, "context_budgets")
+    return bins.fill_report(bins.packed_documents(table(spark, folder, "documents"), budgets), budgets)
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -72,6 +89,9 @@ QUERIES = {
     "p4_turns": p4_turns,
     "p5_found": p5_found,
     "p5_survivors": p5_survivors,
+    "p6_found": p6_found,
+    "p6_contexts": p6_contexts,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_found": p8_found,
