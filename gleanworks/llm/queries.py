@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanworks.llm import bins, leaks, survivors, textkind, turns
+from gleanworks.llm import bins, leaks, pieces, survivors, textkind, turns
 from gleanworks.session import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of Markdown that are too long to stay whole."""
+    return pieces.oversized_blocks(table(spark, folder, "summarize_md")).select("md_id", "block_no")
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every text."""
+    return pieces.split_texts(table(spark, folder, "summarize_md"))
+
+
 def _turns(spark: SparkSession, folder: str) -> DataFrame:
     return turns.speaker_turns(table(spark, folder, "transcribe_audio"), table(spark, folder, "speaker_roster"))
 
@@ -85,6 +95,8 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_turns": p4_turns,
     "p5_found": p5_found,
