@@ -42,3 +42,47 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="gleanworks-checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def written_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``cut_lineage``, in compressed columns: for intermediate results that are read several times.
+    The folder is removed when the session's driver ends.
+    """
+    import atexit
+    import uuid
+
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="gleanworks-tables-")
+        sc.setCheckpointDir(base)
+        base = sc.getCheckpointDir()
+    path = f"{base}/gleanworks-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        try:
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
+
+    atexit.register(remove)
+    return spark.read.parquet(path)
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt: str, how: str = "inner", fan: int = 16) -> DataFrame:
+    """Equi-join in which a key that is frequent in ``big`` is spread over ``fan`` tasks by a hash of column ``salt``.
+
+    ``small`` has few rows per key and is repeated ``fan`` times.
+    """
+    from pyspark.sql import functions as F
+
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(fan)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
