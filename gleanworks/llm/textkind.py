@@ -21,27 +21,34 @@ KINDS = ("junk", "table", "list")
 def _cells(mark: str, least: int, words: int, size: int = 60) -> str:
     """A line of at least so many cells, all short. Cells are split and counted: no pattern runs over a long line."""
     parts = f"split(x.l, '{mark}')"
-    return f"(size({parts}) >= {least} and forall({parts}, v -> length(v) <= {size} and size(split(trim(v), '\\\\s+')) <= {words}))"
+    return f"(size({parts}) >= {least} and forall({parts}, v -> length(v) <= {size} and size(split(trim(v), ' ')) <= {words}))"
 
 
-#: What one line is. w: its words in lower case, n: its characters, s: those that are no space, a: its letters and
-#: digits, c: its common words, o: places where letters meet digits, capitals or marks inside a word.
+#: Most lines of prose are settled at once, so that only doubtful lines are looked at closely.
+_PLAIN = r"""size(r.w) >= 6 and r.c >= 0.2D * size(r.w)
+  and not r.l rlike '[|<>\\t;&�ÃÂï]|\\s\\s\\S|\\.\\.\\.\\.|^\\s*(\\W|\\w{1,5}[.)\\]:]\\s)'"""
+_CLOSELY = r"""'a', length(regexp_replace(r.l, '[^\\p{L}\\p{N}]+', '')), 's', length(regexp_replace(r.l, '\\s+', '')),
+  'o', regexp_count(r.l, '\\p{L}[!|.,?]\\p{L}|\\p{L}\\p{N}|\\p{N}\\p{L}|\\p{Ll}\\p{Lu}')"""
+
+#: What a doubtful line is. w: its words in lower case, n: its characters, s: those that are no space, a: its letters
+#: and digits, c: its common words, o: places where letters meet digits, capitals or marks inside a word.
 _LINE_KIND = rf"""case
   when x.n = 0 then 'blank'
-  when length(regexp_replace(x.l, '[^ÃÂ�¿ïâ€°]', '')) >= 0.05 * x.n and x.n >= 8 then 'junk'
-  when size(x.w) >= 6 and size(filter(x.w, v -> length(v) = 1)) >= 0.6 * size(x.w) and x.l rlike '\\p{{L}} \\p{{L}} \\p{{L}} \\p{{L}} ' then 'junk'
+  when x.a is null then 'text'
+  when length(regexp_replace(x.l, '[^ÃÂ�¿ïâ€°]', '')) >= 0.05D * x.n and x.n >= 8 then 'junk'
+  when size(x.w) >= 6 and size(filter(x.w, v -> length(v) = 1)) >= 0.6D * size(x.w) and x.l rlike '\\p{{L}} \\p{{L}} \\p{{L}} \\p{{L}} ' then 'junk'
   when x.l rlike '(?i)</?(table|thead|tbody|tr|td|th)\\b' then 'table'
   when x.l rlike '^\\s*[|+]?[-:=+| ]{{3,}}[|+]?\\s*$' and x.l rlike '[|+]|--' then 'table'
-  when x.a >= 0.5 * x.s and (x.l rlike '^\\s*\\|.*\\|\\s*$' or x.l rlike '\\s\\|\\s' and {_cells("[|]", 3, 8)}) then 'table'
-  when x.a >= 0.4 * x.s and x.l rlike '^\\s*([-*+•·‣◦▪–—○●■□✓]|\\[[ xX]?\\]|\\(?(\\d{{1,4}}|[a-zA-Z]|[ivxIVX]{{1,5}})[.)\\]:])\\s+\\S' then 'list'
-  when x.a >= 0.5 * x.s and (
-       not x.l rlike ',\\s' and {_cells(",", 2, 3)} or {_cells(";", 2, 3)} or {_cells(chr(92) * 2 + "t", 2, 8)}
-    or {_cells(" & ", 2, 8)} or x.l rlike '\\S\\s\\s' and {_cells(chr(92) * 2 + "s" + chr(92) * 2 + "s+", 2, 3)}) then 'table'
+  when x.a >= 0.5D * x.s and (x.l rlike '^\\s*\\|.*\\|\\s*$' or x.l rlike '\\s\\|\\s' and {_cells(chr(92) * 2 + "|", 3, 8)}) then 'table'
+  when x.a >= 0.4D * x.s and x.l rlike '^\\s*([-*+•·‣◦▪–—○●■□✓]|\\[[ xX]?\\]|\\(?(\\d{{1,4}}|[a-zA-Z]|[ivxIVX]{{1,5}})[.)\\]:])\\s+\\S' then 'list'
+  when x.a >= 0.5D * x.s and (
+       x.l like '%,%' and not x.l rlike ',\\s' and {_cells(",", 2, 3)} or x.l like '%;%' and {_cells(";", 2, 3)} or instr(x.l, chr(9)) > 0 and {_cells(chr(92) * 2 + "t", 2, 8)}
+    or x.l like '% & %' and {_cells(" & ", 2, 8)} or x.l rlike '\\S\\s\\s' and {_cells(chr(92) * 2 + "s" + chr(92) * 2 + "s+", 2, 3)}) then 'table'
   when x.l rlike '(\\.\\.\\.\\.|\\. \\. \\. |……|____)\\s*\\d+\\s*$' then 'list'
-  when x.a < 0.6 * x.s or x.l rlike '[A-Za-z0-9+/]{{30,}}' then 'junk'
-  when x.c <= 0.25 * size(x.w) and x.o >= 2 and x.o >= 0.12 * size(x.w) then 'junk'
-  when size(x.w) >= 2 and x.c <= 0.1 * size(x.w) and (x.o >= 0.3 * size(x.w)
-       or size(filter(x.w, v -> v rlike '\\p{{N}}|^[bcdfghjklmnpqrstvwxz]{{3,}}$')) >= 0.6 * size(x.w)) then 'junk'
+  when x.a < 0.6D * x.s or x.l rlike '[A-Za-z0-9+/]{{30,}}' then 'junk'
+  when x.c <= 0.25D * size(x.w) and x.o >= 2 and x.o >= 0.12D * size(x.w) then 'junk'
+  when size(x.w) >= 2 and x.c <= 0.1D * size(x.w) and (x.o >= 0.3D * size(x.w)
+       or size(filter(x.w, v -> v rlike '\\p{{N}}|^[bcdfghjklmnpqrstvwxz]{{3,}}$')) >= 0.6D * size(x.w)) then 'junk'
   when x.l rlike '^\\s*#{{1,6}}\\s' then 'head'
   when size(x.w) <= 4 and x.n <= 48 and not x.l rlike '[.!?:;,]["\')*_]*\\s*$' then 'short'
   else 'text' end"""
@@ -61,6 +68,11 @@ RULE_FEATURES = {
 }
 
 
+def _once(*columns: F.Column) -> F.Column:
+    """Columns that are computed once: the optimizer copies no expression through a generator."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def text_statistics(documents: DataFrame, common: list[str]) -> DataFrame:
     """``doc_id`` and the statistics of its text; shares are of its characters unless they are of words or lines.
 
@@ -70,35 +82,35 @@ def text_statistics(documents: DataFrame, common: list[str]) -> DataFrame:
     share = lambda part, whole: f"coalesce(double({part}) / nullif({whole}, 0), 0D)"
     over = lambda kinds: f"aggregate(lines, 0L, (s, x) -> s + if(x.k in ({kinds}), x.n, 0))"
     df = documents.select("doc_id", F.expr(r"coalesce(text, '')").alias("text"))
-    raw = rf"""transform(split(text, '\\r\\n|\\n|\\r'), l -> named_struct('l', l, 'n', length(trim(l)),
-        's', length(regexp_replace(l, '\\s+', '')),
-        'o', regexp_count(l, '\\p{{L}}[!|.,?]\\p{{L}}|\\p{{L}}\\p{{N}}|\\p{{N}}\\p{{L}}|\\p{{Ll}}\\p{{Lu}}'), 'a', length(regexp_replace(l, '[^\\p{{L}}\\p{{N}}]+', '')), 'w', filter(split(lower(l), '[^\\p{{L}}\\p{{N}}]+'), v -> v != '')))"""
-    df = df.select("doc_id", "text", F.expr(raw).alias("raw"))
-    counted = f"""transform(raw, r -> named_struct('l', r.l, 'n', r.n, 's', r.s, 'o', r.o, 'a', r.a, 'w', r.w, 'c', size(filter(r.w, v -> v in ({listed})))))"""
-    df = df.select("doc_id", "text", F.expr(counted).alias("raw"))
-    df = df.select(
-        "doc_id", "text",
+    raw = r"""transform(split(text, '\\r\\n|\\n|\\r'), l -> named_struct('l', l, 'n', length(trim(l)),
+        'w', regexp_extract_all(lower(l), '[\\p{L}\\p{N}]+', 0)))"""
+    df = df.select("doc_id", "text", _once(F.expr(raw).alias("raw")))
+    counted = f"transform(raw, r -> named_struct('l', r.l, 'n', r.n, 'w', r.w, 'c', size(filter(r.w, v -> v in ({listed})))))"
+    df = df.select("doc_id", "text", _once(F.expr(counted).alias("raw")))
+    same = "'l', r.l, 'n', r.n, 'w', r.w, 'c', r.c"
+    closely = f"transform(raw, r -> if({_PLAIN}, named_struct({same}, 'a', null, 's', null, 'o', null), named_struct({same}, {_CLOSELY})))"
+    df = df.select("doc_id", "text", _once(F.expr(closely).alias("raw")))
+    df = df.select("doc_id", "text", _once(
         F.expr(f"transform(raw, x -> named_struct('n', bigint(x.n), 'm', size(x.w), 'c', x.c, 'k', {_LINE_KIND}))").alias("lines"),
         F.expr("flatten(transform(raw, x -> x.w))").alias("w"),
         F.expr("filter(transform(raw, x -> x.l), v -> trim(v) != '')").alias("full"),
-        F.expr(r"filter(transform(split(text, '[.!?\\n\\r]+|\\s{2,}'), v -> trim(v)), v -> v != '')").alias("pieces"),
-    )
-    df = df.select(
-        "*",
+        F.expr(r"array_remove(split(text, '[.!?\\n\\r][.!?\\s]*|\\s{2,}'), '')").alias("pieces"),
+    ))
+    df = df.select("*", _once(
         F.expr("aggregate(lines, 0L, (s, x) -> s + x.n)").alias("n"),
         F.expr("aggregate(lines, 0L, (s, x) -> s + x.c)").alias("c"),
         F.expr("aggregate(filter(lines, x -> x.k = 'text'), named_struct('m', 0L, 'c', 0L), (s, x) -> named_struct('m', s.m + x.m, 'c', s.c + x.c))").alias("t"),
-        F.expr(r"length(regexp_replace(text, '[\\p{L}\\p{N}\\s]+', ''))").alias("symbols"),
+        F.expr("length(array_join(w, ''))").alias("alnum"),
+        F.expr(r"length(replace(replace(replace(text, ' ', ''), '\n', ''), '\r', ''))").alias("visible"),
         F.expr(r"length(regexp_replace(text, '[^\\p{N}]+', ''))").alias("digits"),
-    )
-    return df.select(
-        "doc_id",
+    ))
+    stats = _once(
         F.expr("size(w)").alias("words"),
-        F.expr(share("aggregate(w, 0L, (s, v) -> s + length(v))", "size(w)")).alias("mean_word_length"),
-        F.expr(share("symbols", "n")).alias("symbol_ratio"),
+        F.expr(share("alnum", "size(w)")).alias("mean_word_length"),
+        F.expr(share("greatest(visible - alnum, 0)", "n")).alias("symbol_ratio"),
         F.expr(share("digits", "n")).alias("digit_ratio"),
         F.expr(share(r"regexp_count(text, '\\p{Ll}\\p{Lu}')", "size(w)")).alias("upper_inside"),
-        F.expr(share(r"size(filter(full, v -> v rlike '[.!?…][\"\')\\]*_]*\\s*$'))", "size(full)")).alias("line_end_share"),
+        F.expr(share(r"size(filter(full, v -> right(rtrim(v), 4) rlike '[.!?…][\"\')\\]*_]*\\s*$'))", "size(full)")).alias("line_end_share"),
         F.expr(share("c", "size(w)")).alias("common_share"),
         F.expr(share("t.c", "t.m")).alias("common_in_text"),
         F.expr(share(over("'short'"), "n")).alias("short_lines"),
@@ -111,6 +123,7 @@ def text_statistics(documents: DataFrame, common: list[str]) -> DataFrame:
         F.expr(share("size(pieces) - size(array_distinct(pieces))", "size(pieces)")).alias("repeated_pieces"),
         F.expr(share("size(w)", "size(full)")).alias("words_per_line"),
     )
+    return df.select("doc_id", stats)
 
 
 # --- labelled documents ---------------------------------------------------------------------------------------------
@@ -231,7 +244,7 @@ class _Maker:
         self.lang = r.choice(list(self.common))
         self.stock = [self.word() for _ in range(r.choice([60, 200, 600]))]
         self.small = r.choice([0.55, 0.45, 0.45, 0.35, 0.02])  # the last: telegram style
-        size, kind = r.choice([90, 160, 250, 400, 700, 1100, 1800, 5000]), r.choice(["prose", "prose", *KINDS])
+        size, kind = r.choice([90, 160, 250, 400, 700, 1100, 2500]), r.choice(["prose", "prose", *KINDS])
         other = r.choice(KINDS[1:])
         if kind == "prose":
             part = r.choice([0, 0, 0.15, 0.3, 0.5])
@@ -249,7 +262,7 @@ class _Maker:
         return title + "\n\n".join(parts), kind
 
 
-def labelled_texts(spark: SparkSession, common: dict[str, list[str]], documents: int = 3000, seed: int = 7) -> DataFrame:
+def labelled_texts(spark: SparkSession, common: dict[str, list[str]], documents: int = 2000, seed: int = 7) -> DataFrame:
     """``doc_id, text, kind``: the labelled documents, a fixed number whatever the input's size."""
     maker = _Maker(common, seed)
     rows = [(i, *maker.document()) for i in range(documents)]
@@ -339,7 +352,7 @@ def rules_to_sql(rules: list[Rule], features: tuple[str, ...] = FEATURES) -> str
     return "case " + " ".join(f"when {w} then '{r.kind}'" for w, r in zip(when, rules, strict=True)) + " else 'prose' end"
 
 
-def learned_case(spark: SparkSession, common: dict[str, list[str]], documents: int = 3000, seed: int = 7) -> str:
+def learned_case(spark: SparkSession, common: dict[str, list[str]], documents: int = 2000, seed: int = 7) -> str:
     """Train on ``documents`` labelled texts and return the CASE expression."""
     texts = labelled_texts(spark, common, documents, seed)
     words = [w for ws in common.values() for w in ws]
@@ -359,7 +372,7 @@ def common_by_language(common: DataFrame, most: int = 20_000) -> dict[str, list[
     return out
 
 
-def text_kinds(documents: DataFrame, common: DataFrame, labelled: int = 3000, seed: int = 7) -> DataFrame:
+def text_kinds(documents: DataFrame, common: DataFrame, labelled: int = 2000, seed: int = 7) -> DataFrame:
     """Per document the statistics and ``kind``: prose, list, table or junk.
 
     Input: ``doc_id, text`` and ``lang, word``. Rows with a null doc_id are passed over; a null or blank text is
