@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanworks.llm import bins, leaks, pieces, survivors, textkind, turns
+from gleanworks.llm import bins, leaks, pieces, scans, survivors, textkind, turns
 from gleanworks.session import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of scanned pages that are furniture, end in a broken word or have wrongly recognised letters."""
+    return scans.line_findings(table(spark, folder, "pdf_vision_ocr"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks of Markdown that are too long to stay whole."""
     return pieces.oversized_blocks(table(spark, folder, "summarize_md")).select("md_id", "block_no")
@@ -95,6 +100,7 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
