@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanworks.plans import intervals
+from gleanworks.plans import files, intervals
 
-_MODULES = (intervals,)
+_MODULES = (intervals, files)
 
 
 def queries() -> dict[str, Callable]:
