@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)^\s+|\s+$"
@@ -53,9 +53,9 @@ def clean_inline(c: str | Column) -> Column:
 
 def clean_markdown(c: str | Column) -> Column:
     """Without needless backslashes, runs of blank lines and spaces at line ends; one line feed at the end."""
-    out = F.regexp_replace(_col(c), r"\\([\[\]'\"`*_{}()#+\-.!~<>|@$^])", "$1")
+    out = F.regexp_replace(_col(c), r"\\([`*_{}\[\]()#+\-.!<>|~^])", "$1")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    out = F.regexp_replace(out, r"(?m)[ \t\r\f\x0B]+$", "")
+    out = F.regexp_replace(out, r"(?md)[ \t\r\f\x0B]+$", "")
     return F.concat(strip(out), F.lit("\n"))
 
 
@@ -65,31 +65,27 @@ def sentences(c: str | Column) -> Column:
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(_col(c)))
 
 
-def spoken_segments(c: str | Column) -> Column:
-    """Array of (text, pause_ms) for reading Markdown aloud. Code, tags and tables are left out; a rule makes the pause before it at least 700."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(_col(c), r"(?s)```.*?```", ""), r"`[^`]+`", ""), r"<[^>]+>", "")
-    lines = F.transform(F.split(bare, r"\r\n|\n|\r"), strip)
-
-    def segment(x: Column) -> Column:
-        head = F.regexp_extract(x, r"^(#{1,6})\s+(.*)", 1)
-        item = F.coalesce(F.nullif(F.regexp_extract(x, r"^[-*+]\s+(.*)", 1), F.lit("")), F.nullif(F.regexp_extract(x, r"^\d+[.)]\s+(.*)", 1), F.lit("")))
-        kind = (
-            F.when(x.startswith("|"), "table").when((x == "") | x.rlike(r"^[\s|:-]+$") & x.contains("|"), "blank").when(head != "", "head")
-            .when(x.rlike(r"^[-*_]{3,}$"), "rule").when(x.rlike(r"^[-*+]\s+") | x.rlike(r"^\d+[.)]\s+"), "list").otherwise("para")
-        )
-        body = F.when(kind == "head", F.regexp_extract(x, r"^(#{1,6})\s+(.*)", 2)).when(kind == "list", F.coalesce(item, F.lit(""))).otherwise(x)
-        pause = (
-            F.when(kind == "head", F.when(F.length(head) == 1, PAUSES["h1"]).when(F.length(head) == 2, PAUSES["h2"]).otherwise(PAUSES["h3"]))
-            .when(kind == "list", PAUSES["list"]).otherwise(PAUSES["para"])
-        )
-        text = F.when(kind.isin("head", "list", "para"), clean_inline(body)).otherwise("")
-        return F.struct(text.alias("text"), F.when(kind == "rule", 0).otherwise(pause).alias("pause_ms"), kind.alias("kind"))
-
-    kept = F.filter(F.transform(lines, segment), lambda s: (s["text"] != "") | (s["kind"] == "rule"))
-    # a rule raises the pause of the segment before it
-    nxt = lambda s, i: F.try_element_at(kept, (i + 2).cast("int"))["kind"]
-    raised = F.transform(kept, lambda s, i: F.struct(s["text"].alias("text"), F.when(nxt(s, i) == "rule", F.greatest(s["pause_ms"], F.lit(PAUSES["h2"]))).otherwise(s["pause_ms"]).alias("pause_ms"), s["kind"].alias("kind")))
-    return F.transform(F.filter(raised, lambda s: s["kind"] != "rule"), lambda s: F.struct(s["text"].alias("text"), s["pause_ms"].alias("pause_ms")))
+def spoken_segments(texts: DataFrame, key: str, content: str) -> DataFrame:
+    """``key, no, text, pause_ms``: what is read aloud of a Markdown text, with the pause after it.
+
+    Code, tags and tables are left out, a blank line says nothing, and a rule makes the pause before it at least that of
+    a heading of level 2. Lines are rows, so a long text is not one expression.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(content, r"(?s)```.*?```", ""), r"`[^`]+`", ""), r"<[^>]+>", "")
+    rows = texts.select(key, F.posexplode(F.split(bare, r"\r\n|\n|\r")).alias("at", "x")).select(key, "at", strip("x").alias("x"))
+    order = Window.partitionBy(key).orderBy("at")
+    # a line of bars and dashes belongs to the table above it, if only such lines lie between
+    rows = rows.withColumn("row", F.col("x").startswith("|")).withColumn("bar", F.col("x").rlike(r"^[\s|:-]+$"))
+    last = F.last(F.when(~F.col("bar") | F.col("row"), F.col("row")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("skip", F.col("row") | (F.col("bar") & F.coalesce(last, F.lit(False)))).filter("not skip and x != ''")
+    head = F.length(F.regexp_extract("x", r"^(#{1,6})\s+(.*)", 1))
+    kind = F.when(head > 0, "head").when(F.col("x").rlike(r"^([-*_]{3,})$"), "rule").when(F.col("x").rlike(r"^([-*+]|\d+[.)])\s+"), "list").otherwise("para")
+    body = F.when(kind.isin("head", "list"), F.regexp_replace("x", r"^(#{1,6}|[-*+]|\d+[.)])\s+", "")).otherwise(F.col("x"))
+    pause = F.when(kind == "head", F.when(head == 1, PAUSES["h1"]).when(head == 2, PAUSES["h2"]).otherwise(PAUSES["h3"])).when(kind == "list", PAUSES["list"]).otherwise(PAUSES["para"])
+    rows = rows.select(key, "at", kind.alias("kind"), F.when(kind == "rule", "").otherwise(clean_inline(body)).alias("text"), pause.alias("pause")).filter("kind = 'rule' or text != ''")
+    raised = F.when(F.lead("kind").over(order) == "rule", F.greatest("pause", F.lit(PAUSES["h2"]))).otherwise(F.col("pause"))
+    rows = rows.withColumn("pause_ms", raised).filter("kind != 'rule'")
+    return rows.select(key, F.row_number().over(order).alias("no"), "text", "pause_ms")
 
 
 def clean_cell(c: str | Column) -> Column:
@@ -144,7 +140,7 @@ def srt_time(seconds: str | Column) -> Column:
 def elapsed(seconds: str | Column) -> Column:
     """``Xm YYs`` from a minute on, else ``Z.Zs``."""
     s = _col(seconds)
-    return F.when(s >= 60, F.format_string("%dm %02ds", F.floor(s / 60), F.floor(s % 60))).otherwise(F.format_string("%.1fs", s))
+    return F.when(s >= 60, F.format_string("%dm %02ds", F.floor(s / 60), F.floor(s % 60))).otherwise(F.format_string("%.1fs", s.cast("double")))
 
 
 def safe_name(c: str | Column) -> Column:
@@ -166,7 +162,7 @@ def image_refs(c: str | Column, prefix: str | Column) -> Column:
 
 def title_of(c: str | Column) -> Column:
     """The first heading of level 1, null if there is none."""
-    return F.nullif(F.regexp_extract(_col(c), r"(?m)^#\s+(.*)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_col(c), r"(?md)^#\s+([^\n]*)", 1), F.lit(""))
 
 
 def number_list(c: str | Column) -> Column:

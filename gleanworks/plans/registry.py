@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanworks.plans import files, intervals
+from gleanworks.plans import files, intervals, outlines, texts, timeline
 
-_MODULES = (intervals, files)
+_MODULES = (intervals, files, timeline, outlines, texts)
 
 
 def queries() -> dict[str, Callable]:
