@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanworks.plans import files, intervals, outlines, texts, timeline
+from gleanworks.plans import files, intervals, outlines, planning, texts, timeline
 
-_MODULES = (intervals, files, timeline, outlines, texts)
+_MODULES = (intervals, files, timeline, outlines, texts, planning)
 
 
 def queries() -> dict[str, Callable]:
