@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanworks.plans import files, intervals, outlines, planning, texts, timeline
+from gleanworks.plans import files, intervals, outlines, planning, streams, texts, timeline
 
-_MODULES = (intervals, files, timeline, outlines, texts, planning)
+_MODULES = (intervals, files, timeline, outlines, texts, planning, streams)
 
 
 def queries() -> dict[str, Callable]:
