@@ -14,6 +14,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.line_findings(table(spark, folder, "pdf_vision_ocr"))
 
 
+def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of every file in continuous paragraphs."""
+    return scans.repaired_paragraphs(table(spark, folder, "pdf_vision_ocr"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks of Markdown that are too long to stay whole."""
     return pieces.oversized_blocks(table(spark, folder, "summarize_md")).select("md_id", "block_no")
@@ -101,6 +106,7 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_paragraphs": p1_paragraphs,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,

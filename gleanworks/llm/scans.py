@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,8 +28,9 @@ _MARKS = re.compile("[̀-ͯ]+")
 
 #: Signs that break a word at a line end: hyphens, soft hyphen, not sign, dash.
 BREAKS = "-‐‑­¬–"
-TOKEN = re.compile(r"[^\W_](?:[^\W_]|[!|](?=[^\W\d_])|['’](?=[^\W_])|-(?=[^\W_]))*")
-ENDS_BROKEN = re.compile(rf"([^\W_](?:[^\W_]|[!|](?=[^\W\d_])|['’-](?=[^\W_]))*)([{BREAKS}])\s*$")
+_WORD = r"[^\W_]+(?:[!|](?=[^\W\d_])[^\W_]+|['’-][^\W_]+)*"
+TOKEN = re.compile(_WORD)
+ENDS_BROKEN = re.compile(rf"({_WORD})([{BREAKS}])$")
 EDGE = 3  # lines at the top and at the bottom of a page that can be furniture
 
 _NUMBER = r"(?:[0-9lIiOoSB|]{1,4}|[ivxlcIVXLC]{1,7})"
@@ -37,13 +39,17 @@ DECORATED = re.compile(r"[—–\-\[\]()/.·]|[a-z]{4}|^p\b", re.I)
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
+_NO_SIGN = re.compile(r"[\W_]+")
+
+
 def skeleton(text: str, table: int = 0) -> str:
     """The strokes of a text without spaces, marks, accents and case; equal for texts that differ in confused letters."""
     low = text.lower()
-    if table and ("é" in low or "è" in low):
-        low = low.translate(_TABLES[1])
-    low = _MARKS.sub("", unicodedata.normalize("NFKD", low))
-    return "".join(c for c in low.translate(_TABLES[table]) if c.isalnum())
+    if not low.isascii():
+        if table and ("é" in low or "è" in low):
+            low = low.translate(_TABLES[1])
+        low = _MARKS.sub("", unicodedata.normalize("NFKD", low))
+    return _NO_SIGN.sub("", low.translate(_TABLES[table]))
 
 
 def number_of(text: str) -> int | None:
@@ -68,139 +74,243 @@ def edge_line(text: str) -> tuple[str, int | None, bool]:
     alone = number_of(text)
     if alone is not None:
         return "", alone, True
-    parts = [p for p in re.split(r"\s{2,}|\t+", text.strip()) if p]
+    parts = [p for p in re.split(r"\s{2,}|\t+", text.strip()) if p] if "  " in text or "\t" in text else ()
     if len(parts) > 1:
         for at in (0, len(parts) - 1):
             n = number_of(parts[at])
             if n is not None and (any(c.isdigit() for c in parts[at]) or len(parts) == 2):
                 return skeleton("".join(parts[:at] + parts[at + 1 :])), n, False
-    return skeleton(text), None, False
+    # what ends like a sentence or within a word is no running header
+    return "" if text[-1:] in ".,;:?!" or text[-1:] in BREAKS else skeleton(text), None, False
 
 
-def interrupts(lines: list[str], full: list[int], at: int, zone: str) -> bool:
+def interrupts(lines: list[str], full: list[int], k: int, zone: str) -> bool:
     """Whether a line set off by a blank one stands in the middle of a sentence that goes on to, or comes from, another page."""
-    text, k = lines[at].strip(), full.index(at) if zone == "t" else len(full) - 1 - full[::-1].index(at)
+    text = lines[full[k]].strip()
     if not text[:1].isupper() or text[-1] in ".!?,;:…" or text[-1] in BREAKS:
         return False
     if zone == "t":
-        return k + 1 < len(full) and full[k + 1] > at + 1 and lines[full[k + 1]].lstrip()[:1].islower()
-    return k > 0 and full[k - 1] < at - 1 and lines[full[k - 1]].rstrip()[-1] not in ".!?:…\"'”»)|"
+        return k + 1 < len(full) and full[k + 1] > full[k] + 1 and lines[full[k + 1]].lstrip()[:1].islower()
+    return k > 0 and full[k - 1] < full[k] - 1 and lines[full[k - 1]].rstrip()[-1] not in ".!?:…\"'”»)|"
+
+
+def broken_end(line: str) -> re.Match | None:
+    """The half word and the sign with which a line ends."""
+    bare = line.rstrip()
+    return ENDS_BROKEN.search(bare, max(0, bare.rfind(" "), bare.rfind("\t"))) if bare[-1:] in BREAKS else None
 
 
 def page_lines(content: str | None) -> list[str]:
     return [x[:-1] if x.endswith("\r") else x for x in content.split("\n")] if content else []
 
 
+#: What is known of an edge line, as bits.
+ALONE_BIT, MARKED, INTERRUPTS, CAPITALS, TIGHT, SPACED, SENTENCE = 1, 2, 4, 8, 16, 32, 64
+
 _FACTS = (
-    "kind string, output_file string, page_no int, page_id bigint, line_no int, zone string, pos int, skeleton string, number int, alone boolean, "
-    "marked boolean, word string, n bigint, next_lines array<int>, next_words array<string>, sign string"
+    "output_file string, page_no int, page_id bigint, lang string, tops int, edge_lines array<int>, skeletons array<string>, numbers array<int>, bits array<int>, "
+    "head_lines array<int>, head_words array<string>, end_lines array<int>, end_lefts array<string>, end_signs array<string>, after_lines array<array<int>>, after_words array<array<string>>, "
+    "word string, n bigint"
 )
-_NAMES = [x.split(" ")[0] for x in _FACTS.split(", ")]
-_KINDS = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string()]
+_INTS, _TEXTS = pa.list_(pa.int32()), pa.list_(pa.string())
+_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), _INTS, _TEXTS, _INTS, _INTS, _INTS, _TEXTS, _INTS, _TEXTS, _TEXTS, pa.list_(_INTS), pa.list_(_TEXTS), pa.string(), pa.int64()]
+
+
+def _batch(rows: list[tuple], names: str, kinds: list) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[x.strip().split(" ")[0] for x in names.split(", ")])
+
+
+def _edge(lines: list[str], full: list[int], k: int, zone: str) -> tuple[int, str, int | None, int]:
+    i = full[k]
+    text = lines[i].strip()
+    key, number, alone = edge_line(text)
+    bits = ALONE_BIT if alone else 0
+    if text[0] == "#" or (alone and DECORATED.search(text)):
+        bits |= MARKED
+    if interrupts(lines, full, k, zone):
+        bits |= INTERRUPTS
+    if text.isupper():
+        bits |= CAPITALS
+    if i + 1 < len(lines) and lines[i + 1].strip():
+        bits |= TIGHT
+    if "  " in text:
+        bits |= SPACED
+    if text[-1] in ".,;:?!" or text[-1] in BREAKS:
+        bits |= SENTENCE
+    return i + 1, key, number, bits
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * len(_NAMES)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, _KINDS, strict=True)], names=_NAMES)
+def _first_word(line: str) -> str:
+    m = TOKEN.search(line)
+    return m[0].lower() if m else ""
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass over the pages: edge lines (e), heads of pages (p), broken line ends (h) and counted words (v)."""
-    words: Counter[str] = Counter()
-    empty = (None,) * 9
+    """One pass over the pages: what stands at their edges, their broken line ends, and counted words."""
+    words: dict[str | None, Counter[str]] = defaultdict(Counter)
     for b in batches:
         rows = []
-        for file, no, page, content in zip(*(b.column(c).to_pylist() for c in ("output_file", "page_no", "page_id", "content")), strict=True):
+        for file, no, page, lang, content in zip(*(b.column(c).to_pylist() for c in ("output_file", "page_no", "page_id", "lang", "content")), strict=True):
             lines = page_lines(content)
             full = [i for i, x in enumerate(lines) if x and not x.isspace()]
             if not full:
                 continue
-            for zone, part in (("t", full[:EDGE]), ("b", full[::-1][:EDGE])):
-                for pos, i in enumerate(part, 1):
-                    text = lines[i].strip()
-                    key, number, alone = edge_line(text)
-                    intruder = interrupts(lines, full, i, zone)
-                    set_off = i + 1 >= len(lines) or not lines[i + 1].strip()
-                    style = ("u" if text.isupper() else "") + ("" if set_off else "g") + ("d" if "  " in text else "")
-                    rows.append(("e", file, no, page, i + 1, zone, pos, key, number, alone, text.startswith("#") or bool(alone and DECORATED.search(text)), "interrupts" if intruder else None, None, None, None, style))
-            tokens = [TOKEN.findall(lines[i]) for i in full]
-            firsts = [t[0].lower() if t else "" for t in tokens]
-            rows.append(("p", file, no, page, full[0] + 1, None, len(full), None, None, None, None, None, None, [i + 1 for i in full[: EDGE + 1]], firsts[: EDGE + 1], None))
-            broken = False
+            tops = range(min(EDGE, len(full)))
+            edges = [_edge(lines, full, k, "t") for k in tops] + [_edge(lines, full, len(full) - 1 - k, "b") for k in tops]
+            head = full[: EDGE + 1]
+            ends = []
             for k, i in enumerate(full):
-                found = tokens[k]
-                own = found[1:] if broken or k == 0 else found
-                m = ENDS_BROKEN.search(lines[i]) if lines[i].rstrip()[-1:] in BREAKS else None
-                broken = m is not None
-                if broken:
-                    own = own[:-1]
+                if lines[i].rstrip()[-1] in BREAKS and (m := broken_end(lines[i])):
                     after = full[k + 1 : k + 2 + EDGE]
-                    rows.append(("h", file, no, page, i + 1, None, None, None, None, None, None, m[1].lower(), None, [j + 1 for j in after], firsts[k + 1 : k + 2 + EDGE], m[2]))
-                words.update(own)
-        if len(words) > 300_000:
-            yield from _counted(words, empty)
+                    ends.append((i + 1, m[1].lower(), m[2], [j + 1 for j in after], [_first_word(lines[j]) for j in after]))
+            # halves of broken words do not count as words, nor does the first word of the page, which may be one
+            for i, _, _, after, _ in ends:
+                lines[i - 1] = lines[i - 1].rstrip().rpartition(" ")[0]
+                if after:
+                    lines[after[0] - 1] = lines[after[0] - 1].lstrip().partition(" ")[2]
+            words[lang].update(TOKEN.findall("\n".join(lines))[1:])
+            rows.append((file, no, page, lang, len(tops), *map(list, zip(*edges, strict=True)), [i + 1 for i in head], [_first_word(lines[i]) for i in head], *(map(list, zip(*ends, strict=True)) if ends else ([], [], [], [], [])), None, None))
+        yield _batch(rows, _FACTS, _KINDS)
+        if sum(map(len, words.values())) > 300_000:
+            yield _counted(words)
             words.clear()
-        yield _batch(rows)
-    yield from _counted(words, empty)
+    yield _counted(words)
 
 
-def _counted(words: Counter, empty: tuple) -> Iterator[pa.RecordBatch]:
-    low: Counter[str] = Counter()
-    for w, n in words.items():
-        low[w.lower()] += n
-    if low:
-        yield _batch([("v", None, *empty, w, n, None, None, None) for w, n in low.items()])
+def _counted(words: dict[str | None, Counter]) -> pa.RecordBatch:
+    low: Counter[tuple] = Counter()
+    for lang, own in words.items():
+        for w, n in own.items():
+            low[(lang, w.lower())] += n
+    return _batch([(None, None, None, lang, *[None] * 12, w, n) for (lang, w), n in low.items()], _FACTS, _KINDS)
+
+
+def _language(pages: DataFrame) -> F.Column:
+    """The first two letters of a page's language, null if it has none."""
+    return F.nullif(F.substring(F.lower(F.trim("ocr_lang")), 1, 2), F.lit("")) if "ocr_lang" in pages.columns else F.lit(None).cast("string")
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
     rows = pages.filter("page_id is not null and output_file is not null and content is not null")
-    rows = rows.select("output_file", F.coalesce(F.col("page_no").cast("int"), F.lit(0)).alias("page_no"), F.col("page_id").cast("bigint").alias("page_id"), "content")
+    rows = rows.select("output_file", F.coalesce(F.col("page_no").cast("int"), F.lit(0)).alias("page_no"), F.col("page_id").cast("bigint").alias("page_id"), _language(pages).alias("lang"), "content")
     return written_table(rows.mapInArrow(_facts, _FACTS))
 
 
 # --- furniture -------------------------------------------------------------------------------------------------------
 
+_DECIDED = (
+    "output_file string, page_no int, page_id bigint, lang string, furniture array<int>, head_line int, head_word string, "
+    "line_no array<int>, left array<string>, sign array<string>, next_line array<int>, right array<string>"
+)
+_DECIDED_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.string(), _INTS, pa.int32(), pa.string(), _INTS, _TEXTS, _TEXTS, _INTS, _TEXTS]
+
+
+def _distance(a: str, b: str, most: int) -> int:
+    """Edit distance, or more than ``most`` if it is greater."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+@lru_cache(maxsize=4096)
+def _pairs(text: str) -> frozenset:
+    return frozenset(map("".join, zip(text, text[1:], strict=False)))
+
+
+def _alike(key: str, running: set, alike: float) -> bool:
+    if key in running:
+        return True
+    near = [r for r in running if abs(len(r) - len(key)) <= alike * len(r)]
+    if not near:
+        return False
+    own = frozenset(map("".join, zip(key, key[1:], strict=False)))
+    # each edit destroys two pairs of neighbours at most, so texts that are alike share many
+    return any(len(_pairs(r) - own) <= 2 * alike * len(r) and _distance(r, key, int(alike * len(r))) <= int(alike * len(r)) for r in near)
+
+
+def page_furniture(page_no: int, tops: int, edges: list[tuple], first_page: int, running: tuple[set, set], capitals: bool, steps: set, alike: float) -> set[int]:
+    """The furniture among the edge lines of one page; see ``decided_pages``."""
+    out: set[int] = set()
+    for zone, part in ((0, edges[:tops]), (1, edges[tops:])):
+        hits = []
+        for k, (_, key, number, bits) in enumerate(part):
+            in_step = number is not None and number - page_no in steps
+            if bits & ALONE_BIT:
+                hit = in_step or (bits & MARKED and k == 0)
+            elif bits & MARKED:
+                hit = False
+            else:
+                beside = k + 1 < len(part) and part[k + 1][3] & ALONE_BIT and part[k + 1][2] is not None and part[k + 1][2] - page_no in steps and k == 0 and not bits & SENTENCE
+                hit = in_step or bits & INTERRUPTS or beside or (key != "" and _alike(key, running[zone], alike))
+            if not hit:
+                break
+            hits.append(part[k])
+        if zone == 0 and page_no == first_page and page_no <= 1:
+            named = [h for h in hits if not h[3] & ALONE_BIT and h[2] is None and not (h[3] & CAPITALS and capitals) and not h[3] & (TIGHT | SPACED)]
+            if named:
+                hits.remove(named[-1])
+        out.update(h[0] for h in hits)
+    return out
+
+
+def _decide(alike: float):
+    names = ("output_file", "page_no", "page_id", "lang", "file_lang", "tops", "edge_lines", "skeletons", "numbers", "bits", "head_lines", "head_words", "end_lines", "end_lefts", "end_signs", "after_lines", "after_words", "first_page", "running_top", "running_bottom", "capitals", "steps")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for file, no, page, lang, file_lang, tops, lines, keys, numbers, bits, hl, hw, el, left, sign, al, aw, first, rt, rb, capitals, steps in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                edges = list(zip(lines, keys, numbers, bits, strict=True))
+                out = page_furniture(no, tops, edges, first, (set(rt or ()), set(rb or ())), bool(capitals), set(steps or ()), alike)
+                head = next(((i, w) for i, w in zip(hl, hw, strict=True) if i not in out), (None, None))
+                ends = [(i, a, s, *next(((j, w) for j, w in zip(js, ws, strict=True) if j not in out), (None, None))) for i, a, s, js, ws in zip(el, left, sign, al, aw, strict=True) if i not in out]
+                rows.append((file, no, page, lang or file_lang, sorted(out), *head, *(map(list, zip(*ends, strict=True)) if ends else ([], [], [], [], []))))
+            yield _batch(rows, _DECIDED, _DECIDED_KINDS)
+
+    return run
+
 
-def furniture_lines(facts: DataFrame, share: float = 0.2, alike: float = 0.25) -> DataFrame:
-    """``page_id, line_no`` of running headers, running footers and page numbers.
+def decided_pages(facts: DataFrame, share: float = 0.2, alike: float = 0.25) -> DataFrame:
+    """Every page with its furniture, its first line of text and its broken line ends.
 
     A skeleton is furniture if at least two pages and ``share`` of the pages of its file have it at the same edge, or
     if it differs from such a one by at most ``alike`` of its length. A number is furniture if it runs along with the
-    pages, as at least two other numbers of its file do in the same way. A line that is set off and interrupts a
-    sentence is furniture however rare it is. What lies further in is furniture only if all lines nearer to the edge are.
-    On the first page the last line that looks like a running header is the title, which stands in the text, if it is
-    set off by a blank line and is not written in capitals like the running header.
+    pages as at least two numbers of its file do in the same way (a file can be numbered anew), or if it is the
+    outermost line and decorated as page numbers are. A line that is set off and interrupts a sentence, and one beside
+    a running number, is furniture however rare it is. What lies further in is furniture only if all lines nearer to
+    the edge are. On the first page the last line that looks like a running header is the title, which stands in the
+    text, if it is set off by a blank line and not in capitals like the running header.
     """
-    edges = facts.filter("kind = 'e'").dropDuplicates(["page_id", "line_no", "zone"])
-    pages = facts.filter("kind = 'p'").groupBy("output_file").agg(F.count_distinct("page_id").alias("pages"), F.min("page_no").alias("first_page"))
-    counted = edges.filter("skeleton != ''").groupBy("output_file", "zone", "skeleton").agg(F.count("*").alias("k"), F.count_if(F.col("sign").contains("u")).alias("upper"))
-    often = counted.join(pages, "output_file").filter(f"k >= 2 and k >= {share} * pages and length(skeleton) >= 3")
-    # at most EDGE / share skeletons per file and zone
-    often = often.groupBy("output_file", "zone").agg(F.collect_list("skeleton").alias("running"), F.collect_list(F.when(F.expr("2 * upper > k"), F.col("skeleton"))).alias("capitals"))
-    # a file can be numbered anew (roman, then arabic), so every step that enough pages share counts
-    steps = edges.filter("number is not null").groupBy("output_file", (F.col("number") - F.col("page_no")).alias("step")).agg(F.count("*").alias("k"))
-    steps = steps.join(pages.select("output_file", "pages"), "output_file").filter("(k >= 2 and k >= 0.03 * pages) or pages = 1")
-    steps = steps.groupBy("output_file").agg(F.collect_set("step").alias("steps"))
-    about = pages.join(steps, "output_file", "left")
-    about = about.join(often.filter("zone = 't'").select("output_file", F.col("running").alias("tops"), "capitals"), "output_file", "left")
-    about = about.join(often.filter("zone = 'b'").select("output_file", F.col("running").alias("bottoms")), "output_file", "left")
-    rows = salted_join(edges, about, ["output_file"], "page_id", "left")
-    running = F.when(F.col("zone") == "t", F.col("tops")).otherwise(F.col("bottoms"))
-    rows = rows.withColumn("running", F.coalesce(running, F.array().cast("array<string>")))
-    near = F.expr(
-        f"skeleton != '' and exists(running, r -> r = skeleton or (abs(length(r) - length(skeleton)) <= {alike} * length(r) and levenshtein(r, skeleton) <= {alike} * length(r)))"
+    pages = facts.filter("page_id is not null")
+    about = pages.groupBy("output_file").agg(F.count("*").alias("pages"), F.min("page_no").alias("first_page"))
+    zip_ = F.posexplode(F.arrays_zip("skeletons", "numbers", "bits"))
+    edges = pages.select("output_file", "page_no", "page_id", "tops", zip_.alias("k", "x"))
+    edges = edges.select("output_file", "page_no", "page_id", (F.col("k") < F.col("tops")).alias("top"), F.col("x.skeletons").alias("skeleton"), F.col("x.numbers").alias("number"), F.col("x.bits").alias("bits"))
+    counted = edges.filter(f"length(skeleton) >= 3 and bits & {ALONE_BIT | MARKED | SENTENCE} = 0").groupBy("output_file", "top", "skeleton")
+    counted = counted.agg(F.count("*").alias("k"), F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.count_if(F.expr(f"bits & {CAPITALS} != 0")).alias("upper")).filter("a < b")
+    # at most EDGE / share skeletons per file and edge
+    often = counted.join(about, "output_file").filter(f"k >= {share} * pages").groupBy("output_file").agg(
+        F.collect_set(F.when(F.col("top"), F.col("skeleton"))).alias("running_top"),
+        F.collect_set(F.when(~F.col("top"), F.col("skeleton"))).alias("running_bottom"),
+        F.bool_or(F.expr("top and 2 * upper > k")).alias("capitals"),
     )
-    in_step = F.expr("number is not null and array_contains(steps, number - page_no)")
-    rows = rows.withColumn("heading", F.col("marked") & ~F.col("alone")).withColumn("near", near & ~F.col("heading")).withColumn("in_step", in_step)
-    rows = rows.withColumn("hit", F.when(F.col("alone"), F.col("in_step") | (F.col("marked") & (F.col("pos") == 1))).otherwise(F.col("near") | (F.col("in_step") & ~F.col("heading")) | ((F.col("word") == "interrupts") & ~F.col("heading"))))
-    rows = rows.withColumn("hit", F.coalesce("hit", F.lit(False)))
-    inward = Window.partitionBy("page_id", "zone").orderBy("pos")
-    rows = rows.withColumn("hit", F.min(F.col("hit").cast("int")).over(inward) == 1)
-    # the title: on page 1 the innermost hit at the top that carries no number
-    title = F.expr("page_no = first_page and page_no <= 1 and zone = 't' and not alone and number is null and hit and not (contains(sign, 'u') and coalesce(size(capitals), 0) > 0) and not contains(sign, 'g') and not contains(sign, 'd')")
-    inner = F.max(F.when(title, F.col("pos"))).over(Window.partitionBy("page_id", "zone"))
-    rows = rows.withColumn("title", F.coalesce(title & (F.col("pos") == inner), F.lit(False))).filter("hit and not title")
-    return rows.select("page_id", "line_no").distinct()
+    steps = edges.filter("number is not null").groupBy("output_file", (F.col("number") - F.col("page_no")).alias("step"))
+    steps = steps.agg(F.count("*").alias("k"), F.min("page_id").alias("a"), F.max("page_id").alias("b"))
+    steps = steps.join(about, "output_file").filter("(a < b and k >= 0.03 * pages) or pages = 1").groupBy("output_file").agg(F.collect_set("step").alias("steps"))
+    spoken = pages.filter("lang is not null").groupBy("output_file", "lang").count()
+    spoken = spoken.groupBy("output_file").agg(F.max_by("lang", F.struct("count", "lang")).alias("file_lang"))
+    about = about.join(often, "output_file", "left").join(steps, "output_file", "left").join(spoken, "output_file", "left").drop("pages")
+    rows = salted_join(pages.drop("word", "n"), about, ["output_file"], "page_id", fan=4)
+    return written_table(rows.mapInArrow(_decide(alike), _DECIDED))
 
 
 # --- words -----------------------------------------------------------------------------------------------------------
@@ -210,51 +320,67 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         words = b.column("word").to_pylist()
         keys = [sorted({"0" + skeleton(w, 0), "1" + skeleton(w, 1)}) for w in words]
-        yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(keys, pa.list_(pa.string()))], names=["word", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("word"), b.column("n"), pa.array(keys, pa.list_(pa.string()))], names=["lang", "word", "n", "keys"])
 
 
 def vocabulary(facts: DataFrame) -> DataFrame:
-    """``word, n``: all words of the corpus in lower case, except parts of broken ones."""
-    return facts.filter("kind = 'v'").groupBy("word").agg(F.sum("n").alias("n"))
+    """``lang, word, n``: all words of the corpus in lower case by language, except parts of broken ones.
+
+    Words of pages without a language count in each (codes have two letters, so there are few); without any language
+    all are in one group.
+    """
+    own = facts.filter("word is not null").groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "word").agg(F.sum("n").alias("n"))
+    codes = sorted(r[0] for r in facts.filter("page_id is not null and lang is not null").select("lang").distinct().collect())
+    if not codes:
+        return own
+    spread = own.withColumn("lang", F.explode(F.when(F.col("lang") == "", F.array(*map(F.lit, codes))).otherwise(F.array("lang"))))
+    return spread.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def misread_words(words: DataFrame, ratio: int = 8, rare: float = 2e-5) -> DataFrame:
-    """``word, right``: words with wrongly recognised letters and what they should be (null if that is not known).
+    """``lang, word, right``: words with wrongly recognised letters and what they should be (null if that is not known).
 
-    A word is misread if another word of the same skeleton is at least ``ratio`` times as frequent (three times, for
-    words of five letters or more that occur once or twice), or if it mixes letters with digits or bars and makes up
-    less than ``rare`` of all words.
+    A word is misread if another word of its language and of the same skeleton is at least ``ratio`` times as frequent
+    (three times, for words of five letters or more that occur once or twice), or if it mixes letters with digits or
+    bars and makes up less than ``rare`` of the words of its language.
     """
-    total = words.agg(F.sum("n")).first()[0] or 0
+    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     spelled = words.filter(r"length(word) >= 2 and word rlike '\\p{L}'")
-    keyed = spelled.mapInArrow(_skeletons, "word string, n bigint, keys array<string>").select("word", "n", F.explode("keys").alias("key"))
-    clean = F.when(~F.col("word").rlike(r"[\p{N}!|]"), F.struct("n", F.lit(1).alias("p"), "word"))
-    top = keyed.groupBy("key").agg(F.max(clean).alias("top")).filter("top is not null")
-    pairs = keyed.join(top, "key").filter("top.word != word")
+    keyed = spelled.mapInArrow(_skeletons, "lang string, word string, n bigint, keys array<string>").select("lang", "word", "n", F.explode("keys").alias("key"))
+    clean = F.when(~F.col("word").rlike(r"[\p{N}!|]"), F.struct("n", "word"))
+    top = keyed.groupBy("lang", "key").agg(F.max(clean).alias("top")).filter("top is not null")
+    pairs = keyed.join(top, ["lang", "key"]).filter("top.word != word")
     # accents and hyphens are no letters that were confused
-    pairs = pairs.filter("translate(top.word, 'áàâäéèêëíìîïóòôöúùûüñç-', 'aaaaeeeeiiiioooouuuunc') != translate(word, 'áàâäéèêëíìîïóòôöúùûüñç-', 'aaaaeeeeiiiioooouuuunc')")
+    plain = lambda c: F.translate(c, "áàâäéèêëíìîïóòôöúùûüñç-", "aaaaeeeeiiiioooouuuunc")
+    pairs = pairs.filter(plain("top.word") != plain("word"))
     strong = pairs.filter(f"n * {ratio} <= top.n or (n <= 2 and n * 3 <= top.n and length(word) >= 5)")
-    known = strong.groupBy("word").agg(F.max("top").alias("top")).select("word", F.col("top.word").alias("right"))
-    mixed = spelled.filter(r"word rlike '\\p{L}[\\p{N}!|]|[\\p{N}!|]\\p{L}'").filter(f"n < greatest(5, {rare} * {total})").select("word")
-    return known.join(mixed, "word", "full")
+    known = strong.groupBy("lang", "word").agg(F.max("top").alias("top")).select("lang", "word", F.col("top.word").alias("right"))
+    mixed = spelled.filter(r"word rlike '\\p{L}[\\p{N}!|]|[\\p{N}!|]\\p{L}'").join(F.broadcast(totals), "lang")
+    mixed = mixed.filter(f"n < greatest(5, {rare} * total)").select("lang", "word")
+    return known.join(mixed, ["lang", "word"], "full")
 
 
 _LINES = "page_id bigint, line_no int, word string, first boolean"
 
 
-def _doubtful(trusted: frozenset):
+def _doubtful(trusted: dict[str, frozenset]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pages, nos, words, first = [], [], [], []
-            for page, content in zip(b.column("page_id").to_pylist(), b.column("content").to_pylist(), strict=True):
+            for page, lang, content in zip(*(b.column(c).to_pylist() for c in ("page_id", "lang", "content")), strict=True):
+                rare = set(TOKEN.findall(content)) - trusted.get(lang or "", trusted[""])
+                if not rare:
+                    continue
                 broken = False
                 for i, line in enumerate(page_lines(content)):
                     if not line or line.isspace():
                         continue
+                    was, broken = broken, line.rstrip()[-1] in BREAKS and broken_end(line) is not None
                     found = TOKEN.findall(line)
-                    was, broken = broken, line.rstrip()[-1:] in BREAKS and ENDS_BROKEN.search(line) is not None
+                    if rare.isdisjoint(found):
+                        continue
                     for k, w in enumerate(found):
-                        if w not in trusted and not (k == 0 and was) and not (broken and k == len(found) - 1):
+                        if w in rare and not (k == 0 and was) and not (broken and k == len(found) - 1):
                             pages.append(page)
                             nos.append(i + 1)
                             words.append(w.lower())
@@ -264,38 +390,28 @@ def _doubtful(trusted: frozenset):
     return run
 
 
-def broken_words(facts: DataFrame, furniture: DataFrame, words: DataFrame, block: int = 256) -> DataFrame:
+def broken_words(decided: DataFrame, words: DataFrame, block: int = 256) -> DataFrame:
     """Words broken at line ends: ``page_id, line_no, left, sign, next_page, next_line, right, split``.
 
     The other half is the first word of the next line that is no furniture, if need be on the next page with text.
     ``split`` is false where the corpus has the two halves only as a compound with its own hyphen.
     """
-    heads = facts.filter("kind = 'p'").dropDuplicates(["page_id"])
-    head = heads.select("output_file", "page_no", "page_id", F.explode(F.arrays_zip("next_lines", "next_words")).alias("x")).select("output_file", "page_no", "page_id", F.col("x.next_lines").alias("line_no"), F.col("x.next_words").alias("word"))
-    head = head.join(furniture, ["page_id", "line_no"], "left_anti").groupBy("output_file", "page_no", "page_id").agg(F.min(F.struct("line_no", "word")).alias("h"))
-    head = head.withColumn("block", F.floor(F.col("page_no") / block)).withColumn("h", F.struct("page_id", "h.line_no", "h.word"))
-    follow = head.select("output_file", "page_id", "block", F.lead("h").over(Window.partitionBy("output_file", "block").orderBy("page_no", "page_id")).alias("next"))
-    starts = head.groupBy("output_file", "block").agg(F.min_by("h", F.struct("page_no", "page_id")).alias("h"))
+    ends = decided.select("output_file", "page_id", F.inline(F.arrays_zip("line_no", "left", "sign", "next_line", "right")))
+    heads = decided.filter("head_line is not null").select("output_file", "page_no", "page_id", F.struct("page_id", F.col("head_line").alias("line"), F.col("head_word").alias("word")).alias("h")).dropDuplicates(["page_id"])
+    heads = heads.withColumn("block", F.floor(F.col("page_no") / block))
+    follow = heads.select("output_file", "page_id", "block", F.lead("h").over(Window.partitionBy("output_file", "block").orderBy("page_no", "page_id")).alias("next"))
+    starts = heads.groupBy("output_file", "block").agg(F.min_by("h", F.struct("page_no", "page_id")).alias("h"))
     starts = starts.select("output_file", "block", F.lead("h").over(Window.partitionBy("output_file").orderBy("block")).alias("next_block"))
     follow = follow.join(starts, ["output_file", "block"]).select("page_id", F.coalesce("next", "next_block").alias("over"))
-
-    ends = facts.filter("kind = 'h'").dropDuplicates(["page_id", "line_no"]).join(furniture, ["page_id", "line_no"], "left_anti")
-    ends = ends.select("page_id", F.col("line_no").alias("line"), F.col("word").alias("left"), "sign", F.arrays_zip("next_lines", "next_words").alias("after"))
-    inside = ends.select("page_id", "line", F.explode("after").alias("x")).select("page_id", "line", F.col("x.next_lines").alias("line_no"), F.col("x.next_words").alias("word"))
-    inside = inside.join(furniture, ["page_id", "line_no"], "left_anti").groupBy("page_id", "line").agg(F.min(F.struct("line_no", "word")).alias("i"))
-    ends = ends.join(inside, ["page_id", "line"], "left").join(follow, "page_id", "left")
-    ends = ends.select(
-        "page_id", "line", "left", "sign",
-        F.coalesce(F.when(F.col("i").isNotNull(), F.struct("page_id", "i.line_no", "i.word")), F.col("over")).alias("to"),
-    )
-    ends = ends.select("page_id", F.col("line").alias("line_no"), "left", "sign", F.col("to.page_id").alias("next_page"), F.col("to.line_no").alias("next_line"), F.col("to.word").alias("right"))
+    same = ends.filter("next_line is not null").select("page_id", "line_no", "left", "sign", F.col("page_id").alias("next_page"), "next_line", "right")
+    over = ends.filter("next_line is null").join(follow, "page_id", "left").select("page_id", "line_no", "left", "sign", F.col("over.page_id").alias("next_page"), F.col("over.line").alias("next_line"), F.col("over.word").alias("right"))
+    ends = same.unionByName(over).distinct()
     ends = ends.withColumn("joined", F.concat("left", "right")).withColumn("compound", F.concat_ws("-", "left", "right"))
-    known = words.select("word", "n")
-    ends = ends.join(known.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")), "joined", "left")
-    ends = ends.join(known.select(F.col("word").alias("compound"), F.col("n").alias("n_compound")), "compound", "left")
+    ends = ends.join(words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")), "joined", "left")
+    compounds = words.filter("contains(word, '-')").select(F.col("word").alias("compound"), F.col("n").alias("n_compound"))
+    ends = ends.join(compounds, "compound", "left")
     seen = F.coalesce("n_joined", F.lit(0)) >= F.coalesce("n_compound", F.lit(0))
-    split = F.when(F.col("sign") == "–", F.coalesce(F.col("n_joined"), F.lit(0)) > 0).otherwise(seen)
-    return ends.withColumn("split", split)
+    return ends.withColumn("split", F.when(F.col("sign") == "–", F.coalesce(F.col("n_joined"), F.lit(0)) > 0).otherwise(seen))
 
 
 def repaired_lines(pages: DataFrame, trusted_words: int = 50_000) -> dict[str, DataFrame]:
@@ -307,24 +423,30 @@ def repaired_lines(pages: DataFrame, trusted_words: int = 50_000) -> dict[str, D
     over most words quickly; all others are looked up by a join, so the result does not depend on the number.
     """
     facts = page_facts(pages)
-    furniture = written_table(furniture_lines(facts))
+    decided = decided_pages(facts)
+    furniture = decided.select("page_id", F.explode("furniture").alias("line_no")).distinct()
     words = written_table(vocabulary(facts))
     misread = written_table(misread_words(words))
-    top = words.join(misread.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(trusted_words).collect()
-    trusted = frozenset(x for r in top for x in (r[0], r[0].capitalize(), r[0].upper()))
-    broken = written_table(broken_words(facts, furniture, words))
-    rows = pages.filter("page_id is not null and content is not null and output_file is not null").select(F.col("page_id").cast("bigint").alias("page_id"), "content")
-    doubtful = rows.mapInArrow(_doubtful(trusted), _LINES).join(misread, "word")
+    top = words.join(misread, ["lang", "word"], "left_anti").orderBy(F.desc("n"), "lang", "word").limit(trusted_words).collect()
+    right: dict[str, set[str]] = defaultdict(set)
+    for r in top:
+        right[r["lang"]].update((r["word"], r["word"].capitalize(), r["word"].upper()))
+    # a page without a language gets that of its file later; until then only words right in every language pass
+    trusted = {k: frozenset(v) for k, v in right.items()} | {"": frozenset.intersection(*map(frozenset, right.values())) if right else frozenset()}
+    broken = written_table(broken_words(decided, words.groupBy("word").agg(F.max("n").alias("n"))))
+    rows = pages.filter("page_id is not null and content is not null and output_file is not null").select(F.col("page_id").cast("bigint").alias("page_id"), _language(pages).alias("lang"), "content")
+    spoken = decided.select("page_id", F.coalesce("lang", F.lit("")).alias("lang")).dropDuplicates(["page_id"])
+    doubtful = rows.mapInArrow(_doubtful(trusted), _LINES).join(spoken, "page_id").join(misread, ["lang", "word"])
     # the first word of a line can be the second half of a broken one
     targets = broken.filter("split").select(F.col("next_page").alias("page_id"), F.col("next_line").alias("line_no"), F.lit(True).alias("second"))
     doubtful = doubtful.join(targets.distinct(), ["page_id", "line_no"], "left").filter("not first or second is null")
-    whole = broken.filter("split").join(misread.withColumnRenamed("word", "joined").withColumnRenamed("right", "meant"), "joined")
+    whole = broken.filter("split").join(spoken, "page_id").join(misread.withColumnRenamed("word", "joined").withColumnRenamed("right", "meant"), ["lang", "joined"])
     starts = F.expr("coalesce(startswith(meant, left), false)")
     stops = F.expr("coalesce(endswith(meant, right), false)")
     place = F.when(starts & ~stops, F.array(F.struct(F.col("next_page").alias("page_id"), F.col("next_line").alias("line_no")))).otherwise(F.array(F.struct("page_id", "line_no")))
     halves = whole.select(F.inline(place))
     wrong = doubtful.select("page_id", "line_no").unionByName(halves).distinct().join(furniture, ["page_id", "line_no"], "left_anti")
-    return {"furniture": furniture, "broken": broken, "misread": misread, "wrong": wrong}
+    return {"decided": decided, "furniture": furniture, "broken": broken, "misread": misread, "wrong": wrong, "wrong_words": doubtful.filter("right is not null").select("page_id", "line_no", "word", "right")}
 
 
 def line_findings(pages: DataFrame) -> DataFrame:
@@ -335,3 +457,102 @@ def line_findings(pages: DataFrame) -> DataFrame:
         .unionByName(found["broken"].filter("split").select("page_id", "line_no").distinct().withColumn("kind", F.lit("split")))
         .unionByName(found["wrong"].withColumn("kind", F.lit("misread")))
     )
+
+
+# --- paragraphs ------------------------------------------------------------------------------------------------------
+
+_PARAGRAPHS = "output_file string, page_no int, page_id bigint, no int, of int, heading boolean, runs_on boolean, glue boolean, text string"
+_PARAGRAPH_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
+_OWN_LINE = re.compile(r"\s*(?:#{1,6}\s|[-*+•]\s|\d+[.)]\s|\|)")
+_ENDED = re.compile(r"[.!?:…][\"'”»)\]]*$")
+
+
+def corrected(line: str, fixes: dict[str, str]) -> str:
+    """The line with its misread words put right, in the case that they have."""
+
+    def put(m: re.Match) -> str:
+        right = fixes.get(m[0].lower())
+        if not right:
+            return m[0]
+        letters = [c for c in m[0] if c.isalpha()]
+        if len(letters) > 1 and all(c.isupper() for c in letters):
+            return right.upper()
+        return right.capitalize() if m[0][0].isupper() or (m[0][0].isdigit() and len(letters) > 0 and letters[0].isupper()) else right
+
+    return TOKEN.sub(put, line) if fixes else line
+
+
+def page_paragraphs(content: str, furniture: set[int], splits: set[int], fixes: dict[int, dict[str, str]]) -> list[tuple[str, bool, bool, bool]]:
+    """Paragraphs of one page: text, whether it is a heading, runs on to the next page, and is glued to what follows."""
+    out: list[list] = []
+    open_ = False
+    for no, line in enumerate(page_lines(content), 1):
+        if no in furniture:
+            continue
+        text = " ".join(line.split())
+        if not text:
+            open_ = False
+            continue
+        own = _OWN_LINE.match(text) is not None
+        text = corrected(text, fixes.get(no, {}))
+        glue = broken_end(text) is not None
+        if glue and no in splits:
+            text = text[:-1]
+        if open_ and not own:
+            out[-1][0] += ("" if out[-1][2] else " ") + text
+        else:
+            out.append([text, text.startswith("#"), False])
+        out[-1][2] = glue
+        open_ = not out[-1][1]
+    return [(t, heading, not heading and (glue or not _ENDED.search(t)), glue) for t, heading, glue in out]
+
+
+def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for file, no, page, content, furniture, splits, fixed in zip(*(b.column(c).to_pylist() for c in ("output_file", "page_no", "page_id", "content", "furniture", "splits", "fixes")), strict=True):
+            fixes: dict[int, dict[str, str]] = {}
+            for x in fixed or ():
+                fixes.setdefault(x["line_no"], {})[x["word"]] = x["right"]
+            parts = page_paragraphs(content, set(furniture or ()), set(splits or ()), fixes)
+            rows += [(file, no, page, k, len(parts), heading, runs, glue, text) for k, (text, heading, runs, glue) in enumerate(parts, 1)]
+        yield _batch(rows, _PARAGRAPHS, _PARAGRAPH_KINDS)
+
+
+def repaired_paragraphs(pages: DataFrame, block: int = 256) -> DataFrame:
+    """``output_file, first_page, first_page_id, no, pages, text``: continuous paragraphs, without furniture, words whole and put right.
+
+    A paragraph that a page ends in the middle of goes on with the first one of the next page. Headings, list entries
+    and rows of tables stay lines of their own. Rows are in the order of first_page, first_page_id and no. Pages of one
+    file are joined over blocks of ``block`` page numbers, so no task holds all pages of a file.
+    """
+    found = repaired_lines(pages)
+    fixes = found["wrong_words"].groupBy("page_id").agg(F.collect_set(F.struct("line_no", "word", "right")).alias("fixes"))
+    splits = found["broken"].filter("split").groupBy("page_id").agg(F.collect_set("line_no").alias("splits"))
+    known = found["decided"].select("page_id", "furniture").dropDuplicates(["page_id"])
+    rows = pages.filter("page_id is not null and output_file is not null and content is not null")
+    rows = rows.select("output_file", F.coalesce(F.col("page_no").cast("int"), F.lit(0)).alias("page_no"), F.col("page_id").cast("bigint").alias("page_id"), "content").dropDuplicates(["page_id"])
+    rows = rows.join(known, "page_id", "left").join(splits, "page_id", "left").join(fixes, "page_id", "left")
+    parts = written_table(rows.mapInArrow(_paragraphs, _PARAGRAPHS))
+
+    key = F.struct("page_no", "page_id", "no")
+    page = parts.groupBy("output_file", "page_no", "page_id").agg(F.max("of").alias("of"), F.bool_or(F.expr("no = 1 and heading")).alias("heading"), F.bool_or(F.expr("no = of and runs_on")).alias("runs_on"))
+    page = page.withColumn("block", F.floor(F.col("page_no") / block))
+    in_block = Window.partitionBy("output_file", "block").orderBy("page_no", "page_id")
+    by_block = Window.partitionBy("output_file").orderBy("block")
+    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    leaves = page.groupBy("output_file", "block").agg(F.max_by("runs_on", F.struct("page_no", "page_id")).alias("leaves"))
+    leaves = leaves.select("output_file", "block", F.coalesce(F.lag("leaves").over(by_block), F.lit(False)).alias("enters"))
+    page = page.join(leaves, ["output_file", "block"])
+    page = page.withColumn("continues", F.coalesce(F.lag("runs_on").over(in_block), F.col("enters")) & ~F.col("heading"))
+    # where the last paragraph of a page began, if it began on that page
+    own = F.when((F.col("of") > 1) | ~F.col("continues"), F.struct("page_no", "page_id", F.col("of").alias("no")))
+    page = page.withColumn("own", own).withColumn("carried", F.last("own", ignorenulls=True).over(in_block.rowsBetween(Window.unboundedPreceding, -1)))
+    last = page.groupBy("output_file", "block").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.struct("page_no", "page_id"))).alias("own"))
+    last = last.select("output_file", "block", F.last("own", ignorenulls=True).over(before).alias("earlier"))
+    page = page.join(last, ["output_file", "block"]).select("page_id", "continues", F.coalesce("carried", "earlier").alias("from"))
+    whole = parts.join(page, "page_id").withColumn("key", F.when(F.expr("no = 1 and continues and from is not null"), F.col("from")).otherwise(key))
+    pieces = F.array_sort(F.collect_list(F.struct("page_no", "page_id", "glue", "text")))
+    text = F.aggregate("p", F.struct(F.lit("").alias("t"), F.lit(True).alias("g")), lambda a, x: F.struct(F.concat(a["t"], F.when(a["g"], "").otherwise(" "), x["text"]).alias("t"), x["glue"].alias("g")))["t"]
+    done = whole.groupBy("output_file", "key").agg(pieces.alias("p"))
+    return done.select("output_file", F.col("key.page_no").alias("first_page"), F.col("key.page_id").alias("first_page_id"), F.col("key.no").alias("no"), F.size("p").alias("pages"), text.alias("text"))
