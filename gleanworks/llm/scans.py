@@ -162,7 +162,9 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = []
             for k, i in enumerate(full):
                 if lines[i].rstrip()[-1] in BREAKS and (m := broken_end(lines[i])):
-                    after = full[k + 1 : k + 2 + EDGE]
+                    # only near the edges can the next line be furniture, and another one the next of the text
+                    sure = EDGE <= k + 1 < len(full) - EDGE
+                    after = full[k + 1 : k + 2] if sure else full[k + 1 : k + 2 + EDGE]
                     ends.append((i + 1, m[1].lower(), m[2], [j + 1 for j in after], [_first_word(lines[j]) for j in after]))
             # halves of broken words do not count as words, nor does the first word of the page, which may be one
             for i, _, _, after, _ in ends:
@@ -431,9 +433,11 @@ def repaired_lines(pages: DataFrame, trusted_words: int = 50_000) -> dict[str, D
     right: dict[str, set[str]] = defaultdict(set)
     for r in top:
         right[r["lang"]].update((r["word"], r["word"].capitalize(), r["word"].upper()))
-    # a page without a language gets that of its file later; until then only words right in every language pass
-    trusted = {k: frozenset(v) for k, v in right.items()} | {"": frozenset.intersection(*map(frozenset, right.values())) if right else frozenset()}
-    broken = written_table(broken_words(decided, words.groupBy("word").agg(F.max("n").alias("n"))))
+    # a page without a language gets that of its file later; until then only words pass that no language has as misread
+    overall = words.groupBy("word").agg(F.sum("n").alias("n"))
+    safe = overall.join(misread.select("word").distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(trusted_words).collect()
+    trusted = {k: frozenset(v) for k, v in right.items()} | {"": frozenset(x for r in safe for x in (r[0], r[0].capitalize(), r[0].upper()))}
+    broken = written_table(broken_words(decided, overall))
     rows = pages.filter("page_id is not null and content is not null and output_file is not null").select(F.col("page_id").cast("bigint").alias("page_id"), _language(pages).alias("lang"), "content")
     spoken = decided.select("page_id", F.coalesce("lang", F.lit("")).alias("lang")).dropDuplicates(["page_id"])
     doubtful = rows.mapInArrow(_doubtful(trusted), _LINES).join(spoken, "page_id").join(misread, ["lang", "word"])
