@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 K1, B = 1.2, 0.75
 
 BROKEN = re.compile(r"(?<=\w)[-‐­¬][ \t\r]*\n\s*(?=\w)|(?<=\w)[-‐‑­](?=\w)")
-COMBINING = re.compile(r"[̀-ͯ]+")
+COMBINING = re.compile("[\u0300-\u036f\u200b-\u200d\u2060\ufeff]+")  # accents, and signs of no width
 WORDS = re.compile(r"[^\W_]+")
 
 

@@ -212,6 +212,11 @@ def _distance(a: str, b: str, most: int) -> int:
     """Edit distance, or more than ``most`` if it is greater."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # what both begin and end with costs nothing
+    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[k:], b[k:]
+    k = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1], strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - k], b[: len(b) - k]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
