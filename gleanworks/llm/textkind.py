@@ -101,7 +101,7 @@ def text_statistics(documents: DataFrame, common: list[str]) -> DataFrame:
         F.expr("aggregate(lines, 0L, (s, x) -> s + x.c)").alias("c"),
         F.expr("aggregate(filter(lines, x -> x.k = 'text'), named_struct('m', 0L, 'c', 0L), (s, x) -> named_struct('m', s.m + x.m, 'c', s.c + x.c))").alias("t"),
         F.expr("length(array_join(w, ''))").alias("alnum"),
-        F.expr(r"length(replace(replace(replace(text, ' ', ''), '\n', ''), '\r', ''))").alias("visible"),
+        F.expr(r"length(replace(replace(replace(replace(text, ' ', ''), '\n', ''), '\r', ''), chr(9), ''))").alias("visible"),
         F.expr(r"length(regexp_replace(text, '[^\\p{N}]+', ''))").alias("digits"),
     ))
     stats = _once(
