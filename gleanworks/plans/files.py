@@ -161,7 +161,8 @@ SQL = {
         d as (select *, case when ignored then 'skipped' when len(rest) = 0 then 'kept_all' else 'reviewed' end as new from j)
         select id, case when asked then new else decision end as decision,
                case when asked and new = 'reviewed' then (select string_agg(p, ';' order by k) from (select p, min(k) as k from (select unnest(paths) as p, generate_subscripts(paths, 1) as k) group by p) where not list_contains(keep, p)) end as to_move from d""",
-    "review_page": "select group_id from (select distinct group_id from review_server where decision = 'pending') order by group_id limit 20 offset 40",
+    "review_page": """with g as (select distinct group_id from review_server where decision = 'pending'), k as (select group_id, row_number() over (order by group_id) as k, count(*) over () as n from g)
+        select group_id from k where (k - 1) // 20 = least(2, (n + 19) // 20 - 1)""",
     "move_plan": r"""with f as (select distinct rel as path, concat_ws('.', regexp_extract(rel, '([^/_]+)_[^/]*$', 1), lower(regexp_extract(rel, '[^/]\.([^./]+)$', 1))) as name from image_index),
         m as (select *, row_number() over (partition by name order by path) as turn from f where path like 'photos/2015/%'),
         t as (select distinct name, 1 as taken from f where path like 'photos/2016/%'),
