@@ -24,9 +24,11 @@ def _cells(mark: str, least: int, words: int, size: int = 60) -> str:
     return f"(size({parts}) >= {least} and forall({parts}, v -> length(v) <= {size} and size(split(trim(v), ' ')) <= {words}))"
 
 
-#: Most lines of prose are settled at once, so that only doubtful lines are looked at closely.
-_PLAIN = r"""size(r.w) >= 6 and r.c >= 0.2D * size(r.w)
-  and not r.l rlike '[|<>\\t;&�ÃÂï]|\\s\\s\\S|\\.\\.\\.\\.|^\\s*(\\W|\\w{1,5}[.)\\]:]\\s)'"""
+#: Most lines of prose are settled at once, so that only doubtful lines are looked at closely. Only lines that no branch of
+#: ``_LINE_KIND`` but the last would take: each condition here rules out one of its tests (a test of the test suite compares).
+_PLAIN = r"""size(r.w) >= 6 and r.c > 0.25D * size(r.w) and length(array_join(r.w, '')) >= 0.6D * r.n
+  and not r.l rlike '[|<>\\t;&�ÃÂï¿â€°]|\\s\\s|,(?!\\s)|\\.\\.\\.\\.|\\. \\. \\. |……|____|^\\s*(\\W|\\w{1,5}[.)\\]:]\\s)'
+  and not r.l rlike '[A-Za-z0-9+/]{30}|\\p{L} \\p{L} \\p{L} \\p{L} '"""
 _CLOSELY = r"""'a', length(regexp_replace(r.l, '[^\\p{L}\\p{N}]+', '')), 's', length(regexp_replace(r.l, '\\s+', '')),
   'o', regexp_count(r.l, '\\p{L}[!|.,?]\\p{L}|\\p{L}\\p{N}|\\p{N}\\p{L}|\\p{Ll}\\p{Lu}')"""
 

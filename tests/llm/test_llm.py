@@ -283,3 +283,22 @@ def test_statistics_and_kinds_of_odd_texts(spark):
     one = next(r for r in got if r.doc_id == 1)
     assert one.words == 22 and one.line_end_share == 1 and 0.5 < one.common_share < 0.7 and next(r for r in got if r.doc_id == 2).words == 0
     assert textkind.text_kinds(df.limit(0), common).count() == 0
+
+
+def test_plain_lines_are_settled_as_the_close_look_would(spark, monkeypatch):
+    lines = [
+        "the x1qz of b2w and k3vd z4r qm5 t6pl vv7 xqz q8w",  # a quarter of common words among scrambled letters
+        "he sat near the fire of QWxhZGRpbjpvcGVuIHNlc2FtZQ0123456789abcdef and it was",
+        "the history of the house and the garden . . . . 17", "the history of the house and the garden …… 17", "the history of the house and the garden ____ 17",
+        "the,of the,and in,was he", "it-was the-fire near-it  ", "the (((((((( of ######## and %%%%%%%% in ======== was !!!!!!!! he",
+        "the â€™ of â€™ and â€™ in â€™ was â€™ he", "in he w x y z of q r s t u the v",
+        "The old man walked in the rain and it was cold, and he sat near the fire.",
+    ]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    words = [*COMMON["en"], "r", "s", "t"]
+    key = lambda: {r.doc_id: r.asDict() for r in textkind.text_statistics(df, words).collect()}
+    got = key()
+    monkeypatch.setattr(textkind, "_PLAIN", "false")
+    want = key()
+    assert got == want
+    assert [d for d in got if got[d]["text_share"] == 1] == [len(lines) - 1]
