@@ -1,7 +1,8 @@
 """Splitting oversized texts at natural boundaries.
 
-The least number of pieces is computed from the limit, equal targets are placed, each target is snapped to the
-strongest boundary near it, and if a piece breaks the limit all the same, one more piece is tried.
+The least number of pieces that cuts no word (but words longer than a piece) is computed from the limit and the
+boundaries, equal targets are placed, and each target is snapped to the strongest boundary near it that leaves the rest
+divisible in the same way.
 """
 
 from __future__ import annotations
@@ -57,35 +58,41 @@ def cut_points(text: str, limit: int, overlap: int, strength: np.ndarray | None
     if strength is None:
         strength = boundaries(text)
     places = {level: np.flatnonzero(strength >= level) for level in REACH}
-    least = 1 + -(-(n - limit) // room)
-    kept: list[int] | None = None
-    for pieces in range(least, least + 3):
-        ends, at = [], 0
-        for i in range(pieces - 1):
-            high = min(n - 1, at + (room if i else limit))
-            low = max(at + 1, n - (pieces - 1 - i) * room)  # what is left must fit into the pieces that are left
-            if low > high:
-                break
-            target = min(max(at + (n - at) / (pieces - i), low), high)
-            at = snap(places, target, low, high, n / pieces)
-            ends.append(at)
-        if len(ends) < pieces - 1 or n - at > room:
-            continue
-        kept = kept or [*ends, n]
-        if all(strength[e] > 0 for e in ends):
-            return [*ends, n]
-    # no division avoids cutting inside a word: the one of the fewest pieces, or plain lengths
-    return kept or [*range(limit, n, room), n]
-
-
-def snap(places: dict[int, np.ndarray], target: float, low: int, high: int, length: float) -> int:
-    """The strongest boundary that is near enough to the target, the nearest of equal ones; else the target itself."""
+    spots = _spots(places[WORD], n, limit, room)
+    pieces, at = 1, 0
+    while n - at > (room if at else limit):  # as far as each piece can go: the least number of pieces
+        at = int(spots[np.searchsorted(spots, at + (room if at else limit), side="right") - 1])
+        pieces += 1
+    lows, low = [], n
+    for _ in range(pieces - 1):  # from the end: where each cut has to lie at least, that the rest can be cut at spots
+        low = int(spots[np.searchsorted(spots, low - room)])
+        lows.append(low)
+    ends, at = [], 0
+    for i, low in enumerate(reversed(lows)):
+        high, low = min(n - 1, at + (room if i else limit)), max(at + 1, low)
+        target = min(max(at + (n - at) / (pieces - i), at + 1, n - (pieces - 1 - i) * room), high)
+        at = snap(places, spots, target, low, high, n / pieces)
+        ends.append(at)
+    return [*ends, n]
+
+
+def _spots(found: np.ndarray, n: int, limit: int, room: int) -> np.ndarray:
+    """Where cuts may lie: at boundaries, and anywhere between two that are further apart than a piece can be long."""
+    known = np.unique(np.concatenate(([0], found, [n])))
+    wide = np.flatnonzero(np.diff(known) > np.where(known[:-1] > 0, room, limit))
+    inside = [np.arange(known[k] + 1, known[k + 1]) for k in wide]
+    spots = np.sort(np.concatenate([known, *inside]))
+    return spots[(spots > 0) & (spots < n)]
+
+
+def snap(places: dict[int, np.ndarray], spots: np.ndarray, target: float, low: int, high: int, length: float) -> int:
+    """The strongest boundary that is near enough to the target, the nearest of equal ones; else the nearest spot."""
     best, worth = int(target), -1.0
     for level, found in places.items():
         reach = REACH[level] * length
         a, b = max(low, int(target - reach)), min(high, int(target + reach))
         i, j = np.searchsorted(found, a), np.searchsorted(found, b, side="right")
-        if i == j:
+        if i >= j:
             continue
         near = found[i:j]
         pick = int(near[np.argmin(np.abs(near - target))])
@@ -93,11 +100,11 @@ def snap(places: dict[int, np.ndarray], target: float, low: int, high: int, leng
         if value > worth:
             best, worth = pick, value
     if worth < 0:  # no boundary near: any between the limits will do before a word is cut
-        found = places[WORD]
-        i, j = np.searchsorted(found, low), np.searchsorted(found, high, side="right")
-        if i < j:
-            near = found[i:j]
-            best = int(near[np.argmin(np.abs(near - target))])
+        for found in (places[WORD], spots):
+            i, j = np.searchsorted(found, low), np.searchsorted(found, high, side="right")
+            if i < j:
+                near = found[i:j]
+                return int(near[np.argmin(np.abs(near - target))])
     return best
 
 

@@ -109,6 +109,20 @@ def test_cuts_prefer_boundaries_and_odd_rows(spark):
     assert pieces.oversized_blocks(df.limit(0)).count() == 0 and {r.md_id for r in pieces.oversized_blocks(df).collect()} == {5, 6}
 
 
+def test_long_texts_are_cut_inside_no_word_but_too_long_ones():
+    rng = random.Random(3)
+    for _ in range(3):
+        text = "".join("".join(rng.choices("abcde", k=rng.randint(2, 9))) + rng.choice([" ", " ", " ", " ", ", ", ". ", "\n"]) for _ in range(35_000))
+        strength = pieces.boundaries(text)
+        ends = pieces.cut_points(text, 1200, 120, strength)
+        assert all(strength[e] > 0 for e in ends[:-1]) and ends[0] <= 1200 and all(0 < b - a <= 1080 for a, b in zip(ends, ends[1:], strict=False))
+    text = text[:50_000] + "x" * 5000 + " " + text[50_000:]
+    strength = pieces.boundaries(text)
+    ends = pieces.cut_points(text, 1200, 120, strength)
+    inside = [e for e in ends[:-1] if strength[e] == 0]
+    assert 4 <= len(inside) <= 5 and all("x" == text[e - 1] == text[e] for e in inside) and max(b - a for a, b in zip(ends, ends[1:], strict=False)) <= 1080
+
+
 # --- turns -------------------------------------------------------------------------------------------------------------
 
 ROSTER = [(1, "SPEAKER_01", "Ada Quill"), (2, "SPEAKER_02", "Bo Marten"), (12, "SPEAKER_12", "Cleo Vance")]
