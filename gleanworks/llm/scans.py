@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanworks.session import salted_join, written_table
+from gleanworks.session import written_table
 
 #: Signs that recognition confuses, as strokes; the second table has confusions that exclude the first.
 STROKES = {"1": "i", "l": "i", "i": "i", "!": "i", "|": "i", "r": "i", "j": "i", "t": "t", "f": "t", "7": "t", "e": "c", "c": "c", "a": "o", "o": "o", "0": "o", "4": "o", "b": "b", "h": "b", "6": "b", "8": "b", "g": "g", "9": "g", "q": "g", "s": "s", "5": "s", "d": "ci", "m": "iii", "n": "ii", "u": "ii", "w": "vv", "y": "v", "z": "z", "2": "z"}
@@ -32,6 +32,7 @@ _WORD = r"[^\W_]+(?:[!|](?=[^\W\d_])[^\W_]+|['’-][^\W_]+)*"
 TOKEN = re.compile(_WORD)
 ENDS_BROKEN = re.compile(rf"({_WORD})([{BREAKS}])$")
 EDGE = 3  # lines at the top and at the bottom of a page that can be furniture
+HALF = 12  # neighbouring pages are those of two consecutive runs of so many page numbers
 
 _NUMBER = r"(?:[0-9lIiOoSB|]{1,4}|[ivxlcIVXLC]{1,7})"
 ALONE = re.compile(rf"^[\W_]*(?:(?:page|seite|página|pagina|pag|pág|blatt|folio|p|s|f)\b\.?)?[\W_]*({_NUMBER})(?:\s*(?:/|\||of|von|de|sur)\s*[0-9lIOoSB]{{1,4}})?[\W_]*$", re.I)
@@ -286,13 +287,31 @@ def _decide(alike: float):
     return run
 
 
+def _running() -> list[F.Column]:
+    return [
+        F.collect_set(F.when(F.col("top"), F.col("skeleton"))).alias("running_top"),
+        F.collect_set(F.when(~F.col("top"), F.col("skeleton"))).alias("running_bottom"),
+        F.bool_or(F.expr("top and 2 * upper > k")).alias("capitals"),
+    ]
+
+
+def _neighbours(counts: DataFrame, *by) -> DataFrame:
+    """Counts per run of pages added up for each two consecutive runs (on at least two pages), given to both of them."""
+    names, sums = [c for c in by if isinstance(c, str)], [c for c in by if not isinstance(c, str)]
+    df = counts.filter("half is not null").withColumn("pair", F.explode(F.expr("array(half - 1, half)")))
+    df = df.groupBy("output_file", "pair", *names).agg(F.sum("k").alias("k"), F.min("a").alias("a"), F.max("b").alias("b"), *sums).filter("a < b")
+    return df.withColumn("half", F.explode(F.expr("array(pair, pair + 1)")))
+
+
 def decided_pages(facts: DataFrame, share: float = 0.2, alike: float = 0.25) -> DataFrame:
     """Every page with its furniture, its first line of text and its broken line ends.
 
     A skeleton is furniture if at least two pages and ``share`` of the pages of its file have it at the same edge, or
     if it differs from such a one by at most ``alike`` of its length. A number is furniture if it runs along with the
-    pages as at least two numbers of its file do in the same way (a file can be numbered anew), or if it is the
-    outermost line and decorated as page numbers are. A line that is set off and interrupts a sentence, and one beside
+    pages as at least two numbers and 3% of the pages of its file do in the same way (a file can be numbered anew), or
+    if it is the outermost line and decorated as page numbers are. In files of more than ``2 * HALF`` pages the same
+    holds among neighbouring pages, of which ``share * 2 * HALF`` must have a skeleton and two a numbering, so that what
+    belongs to one part is found however long the file is. A line that is set off and interrupts a sentence, and one beside
     a running number, is furniture however rare it is. What lies further in is furniture only if all lines nearer to
     the edge are. On the first page the last line that looks like a running header is the title, which stands in the
     text, if it is set off by a blank line and not in capitals like the running header.
@@ -302,21 +321,37 @@ def decided_pages(facts: DataFrame, share: float = 0.2, alike: float = 0.25) ->
     zip_ = F.posexplode(F.arrays_zip("skeletons", "numbers", "bits"))
     edges = pages.select("output_file", "page_no", "page_id", "tops", zip_.alias("k", "x"))
     edges = edges.select("output_file", "page_no", "page_id", (F.col("k") < F.col("tops")).alias("top"), F.col("x.skeletons").alias("skeleton"), F.col("x.numbers").alias("number"), F.col("x.bits").alias("bits"))
-    counted = edges.filter(f"length(skeleton) >= 3 and bits & {ALONE_BIT | MARKED | SENTENCE} = 0").groupBy("output_file", "top", "skeleton")
-    counted = counted.agg(F.count("*").alias("k"), F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.count_if(F.expr(f"bits & {CAPITALS} != 0")).alias("upper")).filter("a < b")
+    half = F.floor(F.col("page_no") / HALF)
+    lines = edges.filter(f"length(skeleton) >= 3 and bits & {ALONE_BIT | MARKED | SENTENCE} = 0")
+    counted = lines.groupBy("output_file", "top", "skeleton").agg(F.count("*").alias("k"), F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.count_if(F.expr(f"bits & {CAPITALS} != 0")).alias("upper")).filter("a < b")
+    counted = counted.join(about.select("output_file", "pages"), "output_file")
     # at most EDGE / share skeletons per file and edge
-    often = counted.join(about, "output_file").filter(f"k >= {share} * pages").groupBy("output_file").agg(
-        F.collect_set(F.when(F.col("top"), F.col("skeleton"))).alias("running_top"),
-        F.collect_set(F.when(~F.col("top"), F.col("skeleton"))).alias("running_bottom"),
-        F.bool_or(F.expr("top and 2 * upper > k")).alias("capitals"),
-    )
-    steps = edges.filter("number is not null").groupBy("output_file", (F.col("number") - F.col("page_no")).alias("step"))
+    often = counted.filter(f"k >= {share} * pages").groupBy("output_file").agg(*_running())
+    steps = edges.filter("number is not null").groupBy("output_file", (F.col("number") - F.col("page_no")).alias("step"), half.alias("half"))
     steps = steps.agg(F.count("*").alias("k"), F.min("page_id").alias("a"), F.max("page_id").alias("b"))
-    steps = steps.join(about, "output_file").filter("(a < b and k >= 0.03 * pages) or pages = 1").groupBy("output_file").agg(F.collect_set("step").alias("steps"))
+    whole = steps.groupBy("output_file", "step").agg(F.sum("k").alias("k"), F.min("a").alias("a"), F.max("b").alias("b"))
+    whole = whole.join(about, "output_file").filter("(a < b and k >= 0.03 * pages) or pages = 1").groupBy("output_file").agg(F.collect_set("step").alias("steps"))
+    # among neighbouring pages: only what comes back in a long file is counted again
+    long = f"pages > {2 * HALF}"
+    some = counted.filter(f"{long} and k >= {share * 2 * HALF} and k < {share} * pages").select("output_file", "top", "skeleton")
+    near = lines.join(some, ["output_file", "top", "skeleton"], "left_semi").groupBy("output_file", half.alias("half"), "top", "skeleton")
+    near = near.agg(F.count("*").alias("k"), F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.count_if(F.expr(f"bits & {CAPITALS} != 0")).alias("upper"))
+    near = _neighbours(near, "top", "skeleton", F.sum("upper").alias("upper")).filter(f"k >= {share * 2 * HALF}").groupBy("output_file", "half").agg(*_running())
+    near_steps = steps.join(about.filter(long).select("output_file"), "output_file", "left_semi")
+    near_steps = _neighbours(near_steps, "step").groupBy("output_file", "half").agg(F.collect_set("step").alias("steps"))
     spoken = pages.filter("lang is not null").groupBy("output_file", "lang").count()
     spoken = spoken.groupBy("output_file").agg(F.max_by("lang", F.struct("count", "lang")).alias("file_lang"))
-    about = about.join(often, "output_file", "left").join(steps, "output_file", "left").join(spoken, "output_file", "left").drop("pages")
-    rows = salted_join(pages.drop("word", "n"), about, ["output_file"], "page_id", fan=4)
+    about = about.join(often, "output_file", "left").join(whole, "output_file", "left").join(spoken, "output_file", "left").drop("pages")
+    # one row per file and run of pages, so that no key has many
+    key = F.coalesce(half, F.lit(-(1 << 40)) + F.expr("pmod(page_id, 64)"))
+    pages = pages.drop("word", "n").withColumn("half", key)
+    runs = pages.select("output_file", "half").distinct().join(about, "output_file")
+    for part in (near, near_steps):
+        new = [c for c in part.columns if c not in ("output_file", "half")]
+        runs = runs.join(part.select("output_file", "half", *(F.col(c).alias("near_" + c) for c in new)), ["output_file", "half"], "left")
+    both = lambda c: F.array_union(F.coalesce(c, F.array()), F.coalesce("near_" + c, F.array())).alias(c)
+    runs = runs.select("output_file", "half", "first_page", "file_lang", *map(both, ("running_top", "running_bottom", "steps")), F.expr("coalesce(capitals, false) or coalesce(near_capitals, false)").alias("capitals"))
+    rows = pages.join(runs, ["output_file", "half"])
     return written_table(rows.mapInArrow(_decide(alike), _DECIDED))
 
 

@@ -51,6 +51,20 @@ def test_furniture_splits_and_titles(spark):
     assert not any(p == 9 and k == "furniture" and line != 4 for p, line, k in got)
 
 
+def test_furniture_of_one_part_of_a_long_file(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("bcdfgklmnopqsuvwxyz", k=7))
+    rows, parts, own = [], 60, 11
+    for part in range(parts):
+        head = f"{word()} {word()} {word()}".title()
+        for k in range(own):
+            body = "\n".join(f"{word()} {word()} {word()} {word()}." for _ in range(9))
+            rows.append(("long", part * own + k + 1, f"{head}\n\n{body}\n\n{k + 1}"))
+    got = {(r.page_id, r.line_no) for r in scans.line_findings(pages(spark, rows)).filter("kind = 'furniture'").collect()}
+    want = {(p, line) for p in range(1, len(rows) + 1) for line in (1, 13)}
+    assert got <= want and want - got <= {(1, 1)}
+
+
 def test_misread_words_by_language(spark):
     rows = [("en", k, f"{BODY}\n{BODY}\nlast line {k}.") for k in range(1, 31)] + [("en", 31, "x tbe harbour was qu1et and\nthe lantern burned.")]
     got = {(r.page_id, r.line_no) for r in scans.line_findings(pages(spark, rows)).filter("kind = 'misread'").collect()}
