@@ -1,15 +1,19 @@
 """Repair of text from scanned pages.
 
-Running headers and footers are lines at page edges that come back, up to wrong letters, on many pages of a file;
-page numbers are numbers at page edges that run along with the pages. Words broken at line ends are joined by the
+Running headers and footers are lines at page edges that come back, up to wrong letters, on neighbouring pages of a
+file; page numbers are numbers at page edges that run along with the pages. Words broken at line ends are joined by the
 vocabulary of the whole corpus, which also tells which rare word is a frequent one with wrongly recognised letters:
 both have one skeleton, a spelling in strokes that does not change when letters are confused.
+
+Pages are read twice in Python: once for their edges, their broken line ends and counted words, once for the lines that
+hold words which are not known to be right. Texts never cross the network, only edges, counts and findings do.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,13 +35,16 @@ BREAKS = "-‐‑­¬–"
 _WORD = r"[^\W_]+(?:[!|](?=[^\W\d_])[^\W_]+|['’-][^\W_]+)*"
 TOKEN = re.compile(_WORD)
 ENDS_BROKEN = re.compile(rf"({_WORD})([{BREAKS}])$")
-EDGE = 3  # lines at the top and at the bottom of a page that can be furniture
-HALF = 12  # neighbouring pages are those of two consecutive runs of so many page numbers
+EDGE = 4  # lines at each edge of a page that are looked at first; deeper ones follow where all of these are furniture
+DEEPER = 8  # so many times deeper the next look goes, until a line that stays is met
+NEAR, CLOSE = 12, 3  # pages before and after a page that are its neighbours, and its close neighbours
+BLOCK = 96  # page numbers of one file that are judged together, with the pages around them
+CROWD = 1000  # a block of more pages than that (without numbers, or numbered alike) is judged in parts
 
 _NUMBER = r"(?:[0-9lIiOoSB|]{1,4}|[ivxlcIVXLC]{1,7})"
 ALONE = re.compile(rf"^[\W_]*(?:(?:page|seite|página|pagina|pag|pág|blatt|folio|p|s|f)\b\.?)?[\W_]*({_NUMBER})(?:\s*(?:/|\||of|von|de|sur)\s*[0-9lIOoSB]{{1,4}})?[\W_]*$", re.I)
-DECORATED = re.compile(r"[—–\-\[\]()/.·]|[a-z]{4}|^p\b", re.I)
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+_DIGITS = str.maketrans("lIi|OoSB", "11110058")
 
 
 _NO_SIGN = re.compile(r"[\W_]+")
@@ -55,15 +62,16 @@ def skeleton(text: str, table: int = 0) -> str:
 
 def number_of(text: str) -> int | None:
     """The page number that a text consists of, wrongly recognised digits put right; roman numerals count."""
-    m = ALONE.match(text.strip())
+    text = text.strip()
+    m = ALONE.match(text) if len(text) < 40 else None
     if not m:
         return None
     sign = m[1]
     if any(c.isdigit() for c in sign):
-        return int(sign.translate(str.maketrans("lIi|OoSB", "11110058")))
+        return int(sign.translate(_DIGITS))
     low = sign.lower()
     if not set(low) <= set(_ROMAN):
-        return int(sign.translate(str.maketrans("lIi|OoSB", "11110058"))) if re.search("[OoSB|]", sign) and len(sign) > 1 and set(sign) <= set("lIi|OoSB") else None
+        return int(sign.translate(_DIGITS)) if re.search("[OoSB|]", sign) and len(sign) > 1 and set(sign) <= set("lIi|OoSB") else None
     total = 0
     for a, b in zip(low, [*low[1:], ""], strict=True):
         total += -_ROMAN[a] if b and _ROMAN[b] > _ROMAN[a] else _ROMAN[a]
@@ -81,16 +89,15 @@ def edge_line(text: str) -> tuple[str, int | None, bool]:
             n = number_of(parts[at])
             if n is not None and (any(c.isdigit() for c in parts[at]) or len(parts) == 2):
                 return skeleton("".join(parts[:at] + parts[at + 1 :])), n, False
-    # what ends like a sentence or within a word is no running header
-    return "" if text[-1:] in ".,;:?!" or text[-1:] in BREAKS else skeleton(text), None, False
+    return skeleton(text), None, False
 
 
-def interrupts(lines: list[str], full: list[int], k: int, zone: str) -> bool:
+def interrupts(lines: list[str], full: list[int], k: int, top: bool) -> bool:
     """Whether a line set off by a blank one stands in the middle of a sentence that goes on to, or comes from, another page."""
     text = lines[full[k]].strip()
     if not text[:1].isupper() or text[-1] in ".!?,;:…" or text[-1] in BREAKS:
         return False
-    if zone == "t":
+    if top:
         return k + 1 < len(full) and full[k + 1] > full[k] + 1 and lines[full[k + 1]].lstrip()[:1].islower()
     return k > 0 and full[k - 1] < full[k] - 1 and lines[full[k - 1]].rstrip()[-1] not in ".!?:…\"'”»)|"
 
@@ -106,15 +113,12 @@ def page_lines(content: str | None) -> list[str]:
 
 
 #: What is known of an edge line, as bits.
-ALONE_BIT, MARKED, INTERRUPTS, CAPITALS, TIGHT, SPACED, SENTENCE = 1, 2, 4, 8, 16, 32, 64
+ALONE_BIT, HEADING, INTERRUPTS, CAPITALS, TIGHT, SPACED, SENTENCE = 1, 2, 4, 8, 16, 32, 64
 
-_FACTS = (
-    "output_file string, page_no int, page_id bigint, lang string, tops int, edge_lines array<int>, skeletons array<string>, numbers array<int>, bits array<int>, "
-    "head_lines array<int>, head_words array<string>, end_lines array<int>, end_lefts array<string>, end_signs array<string>, after_lines array<array<int>>, after_words array<array<string>>, "
-    "word string, n bigint"
-)
+#: One row per page (its edges and broken ends packed into texts that only ``_decide`` reads) or per counted word.
+_FACTS = "output_file string, page_no int, page_id bigint, lang string, edges string, ends string, word string, n bigint"
+_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
 _INTS, _TEXTS = pa.list_(pa.int32()), pa.list_(pa.string())
-_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), _INTS, _TEXTS, _INTS, _INTS, _INTS, _TEXTS, _INTS, _TEXTS, _TEXTS, pa.list_(_INTS), pa.list_(_TEXTS), pa.string(), pa.int64()]
 
 
 def _batch(rows: list[tuple], names: str, kinds: list) -> pa.RecordBatch:
@@ -122,24 +126,25 @@ def _batch(rows: list[tuple], names: str, kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[x.strip().split(" ")[0] for x in names.split(", ")])
 
 
-def _edge(lines: list[str], full: list[int], k: int, zone: str) -> tuple[int, str, int | None, int]:
+def _edge(lines: list[str], full: list[int], k: int, top: bool) -> str:
+    """An edge line in one text: its number, bits, page number, first word and skeleton."""
     i = full[k]
     text = lines[i].strip()
+    if text[0] == "#":
+        return f"{i + 1}\t{HEADING}\t\t{_first_word(text)}\t"
     key, number, alone = edge_line(text)
     bits = ALONE_BIT if alone else 0
-    if text[0] == "#" or (alone and DECORATED.search(text)):
-        bits |= MARKED
-    if interrupts(lines, full, k, zone):
+    if text[-1] in ".,;:?!" or text[-1] in BREAKS:
+        bits |= SENTENCE
+    elif interrupts(lines, full, k, top):
         bits |= INTERRUPTS
     if text.isupper():
         bits |= CAPITALS
-    if i + 1 < len(lines) and lines[i + 1].strip():
+    if i + 1 < len(lines) and lines[i + 1] and not lines[i + 1].isspace():
         bits |= TIGHT
     if "  " in text:
         bits |= SPACED
-    if text[-1] in ".,;:?!" or text[-1] in BREAKS:
-        bits |= SENTENCE
-    return i + 1, key, number, bits
+    return f"{i + 1}\t{bits}\t{'' if number is None else number}\t{_first_word(text) if top else ''}\t{key}"
 
 
 def _first_word(line: str) -> str:
@@ -147,46 +152,60 @@ def _first_word(line: str) -> str:
     return m[0].lower() if m else ""
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _facts(depth: int, count: bool):
     """One pass over the pages: what stands at their edges, their broken line ends, and counted words."""
-    words: dict[str | None, Counter[str]] = defaultdict(Counter)
-    for b in batches:
-        rows = []
-        for file, no, page, lang, content in zip(*(b.column(c).to_pylist() for c in ("output_file", "page_no", "page_id", "lang", "content")), strict=True):
-            lines = page_lines(content)
-            full = [i for i, x in enumerate(lines) if x and not x.isspace()]
-            if not full:
-                continue
-            tops = range(min(EDGE, len(full)))
-            edges = [_edge(lines, full, k, "t") for k in tops] + [_edge(lines, full, len(full) - 1 - k, "b") for k in tops]
-            head = full[: EDGE + 1]
-            ends = []
-            for k, i in enumerate(full):
-                if lines[i].rstrip()[-1] in BREAKS and (m := broken_end(lines[i])):
-                    # only near the edges can the next line be furniture, and another one the next of the text
-                    sure = EDGE <= k + 1 < len(full) - EDGE
-                    after = full[k + 1 : k + 2] if sure else full[k + 1 : k + 2 + EDGE]
-                    ends.append((i + 1, m[1].lower(), m[2], [j + 1 for j in after], [_first_word(lines[j]) for j in after]))
-            # halves of broken words do not count as words, nor does the first word of the page, which may be one
-            for i, _, _, after, _ in ends:
-                lines[i - 1] = lines[i - 1].rstrip().rpartition(" ")[0]
-                if after:
-                    lines[after[0] - 1] = lines[after[0] - 1].lstrip().partition(" ")[2]
-            words[lang].update(TOKEN.findall("\n".join(lines))[1:])
-            rows.append((file, no, page, lang, len(tops), *map(list, zip(*edges, strict=True)), [i + 1 for i in head], [_first_word(lines[i]) for i in head], *(map(list, zip(*ends, strict=True)) if ends else ([], [], [], [], [])), None, None))
-        yield _batch(rows, _FACTS, _KINDS)
-        if sum(map(len, words.values())) > 300_000:
-            yield _counted(words)
-            words.clear()
-    yield _counted(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str | None, Counter[str]] = defaultdict(Counter)
+        for b in batches:
+            rows = []
+            for file, no, page, lang, content in zip(*(b.column(c).to_pylist() for c in ("output_file", "page_no", "page_id", "lang", "content")), strict=True):
+                lines = page_lines(content)
+                full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+                if not full:
+                    continue
+                last = len(full) - 1
+                most = min(depth, last + 1)
+                tops = [_edge(lines, full, k, True) for k in range(most)]
+                if last >= most:  # the first line beyond: it stays whatever comes before it
+                    tops.append(f"{full[most] + 1}\t{HEADING}\t\t{_first_word(lines[full[most]])}\t")
+                bottoms = [_edge(lines, full, last - k, False) for k in range(most)]
+                ends = []
+                # words that may be halves are not counted: those broken at line ends, and a small first one of the page
+                halves = {(full[0], 0)} if lines[full[0]].lstrip()[0].islower() else set()
+                for k, i in enumerate(full):
+                    bare = lines[i].rstrip()
+                    if bare[-1] in BREAKS and (m := broken_end(bare)):
+                        # what lies below the last line of text at the lower edge may be furniture
+                        after = full[k + 1 :] if k + 1 > last - depth else full[k + 1 : k + 2]
+                        ends.append("\t".join((str(i + 1), m[1].lower(), m[2], *(f"{j + 1} {_first_word(lines[j])}" for j in after))))
+                        halves.add((i, len(bare.split()) - 1))
+                        if k < last:
+                            halves.add((full[k + 1], 0))
+                if count:
+                    own = words[lang]
+                    own.update(content.split())
+                    for i, k in halves:
+                        own[lines[i].split()[k]] -= 1
+                rows.append((file, no, page, lang, "\n".join(tops) + "\n\n" + "\n".join(bottoms), "\n".join(ends), None, None))
+            yield _batch(rows, _FACTS, _KINDS)
+            if sum(map(len, words.values())) > 300_000:
+                yield _counted(words)
+                words.clear()
+        yield _counted(words)
+
+    return run
 
 
 def _counted(words: dict[str | None, Counter]) -> pa.RecordBatch:
+    """Counts of words from counts of what stands between spaces (no word reaches over a space)."""
     low: Counter[tuple] = Counter()
     for lang, own in words.items():
-        for w, n in own.items():
-            low[(lang, w.lower())] += n
-    return _batch([(None, None, None, lang, *[None] * 12, w, n) for (lang, w), n in low.items()], _FACTS, _KINDS)
+        for chunk, n in own.items():
+            if n > 0:
+                for w in TOKEN.findall(chunk):
+                    low[(lang, w.lower())] += n
+    return _batch([(None, None, None, lang, None, None, w, n) for (lang, w), n in low.items()], _FACTS, _KINDS)
 
 
 def _language(pages: DataFrame) -> F.Column:
@@ -194,19 +213,20 @@ def _language(pages: DataFrame) -> F.Column:
     return F.nullif(F.substring(F.lower(F.trim("ocr_lang")), 1, 2), F.lit("")) if "ocr_lang" in pages.columns else F.lit(None).cast("string")
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
+def page_facts(pages: DataFrame, depth: int = EDGE, count: bool = True) -> DataFrame:
+    """What one pass over the pages finds: rows per page, and (if asked for) rows per language and word."""
     rows = pages.filter("page_id is not null and output_file is not null and content is not null")
     rows = rows.select("output_file", F.coalesce(F.col("page_no").cast("int"), F.lit(0)).alias("page_no"), F.col("page_id").cast("bigint").alias("page_id"), _language(pages).alias("lang"), "content")
-    return written_table(rows.mapInArrow(_facts, _FACTS))
+    return rows.mapInArrow(_facts(depth, count), _FACTS)
 
 
 # --- furniture -------------------------------------------------------------------------------------------------------
 
 _DECIDED = (
-    "output_file string, page_no int, page_id bigint, lang string, furniture array<int>, head_line int, head_word string, "
-    "line_no array<int>, left array<string>, sign array<string>, next_line array<int>, right array<string>"
+    "output_file string, block bigint, page_no int, page_id bigint, lang string, furniture array<int>, deep boolean, opens boolean, head_line int, head_word string, "
+    "line_no array<int>, left array<string>, sign array<string>, next_page array<bigint>, next_line array<int>, right array<string>"
 )
-_DECIDED_KINDS = [pa.string(), pa.int32(), pa.int64(), pa.string(), _INTS, pa.int32(), pa.string(), _INTS, _TEXTS, _TEXTS, _INTS, _TEXTS]
+_DECIDED_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), _INTS, pa.bool_(), pa.bool_(), pa.int32(), pa.string(), _INTS, _TEXTS, _TEXTS, pa.list_(pa.int64()), _INTS, _TEXTS]
 
 
 def _distance(a: str, b: str, most: int) -> int:
@@ -234,9 +254,7 @@ def _pairs(text: str) -> frozenset:
     return frozenset(map("".join, zip(text, text[1:], strict=False)))
 
 
-def _alike(key: str, running: set, alike: float) -> bool:
-    if key in running:
-        return True
+def _alike(key: str, running: list[str], alike: float) -> bool:
     near = [r for r in running if abs(len(r) - len(key)) <= alike * len(r)]
     if not near:
         return False
@@ -245,114 +263,184 @@ def _alike(key: str, running: set, alike: float) -> bool:
     return any(len(_pairs(r) - own) <= 2 * alike * len(r) and _distance(r, key, int(alike * len(r))) <= int(alike * len(r)) for r in near)
 
 
-def page_furniture(page_no: int, tops: int, edges: list[tuple], first_page: int, running: tuple[set, set], capitals: bool, steps: set, alike: float) -> set[int]:
-    """The furniture among the edge lines of one page; see ``decided_pages``."""
-    out: set[int] = set()
-    for zone, part in ((0, edges[:tops]), (1, edges[tops:])):
-        hits = []
-        for k, (_, key, number, bits) in enumerate(part):
-            in_step = number is not None and number - page_no in steps
-            if bits & ALONE_BIT:
-                hit = in_step or (bits & MARKED and k == 0)
-            elif bits & MARKED:
-                hit = False
-            else:
-                beside = k + 1 < len(part) and part[k + 1][3] & ALONE_BIT and part[k + 1][2] is not None and part[k + 1][2] - page_no in steps and k == 0 and not bits & SENTENCE
-                hit = in_step or bits & INTERRUPTS or beside or (key != "" and _alike(key, running[zone], alike))
-            if not hit:
-                break
-            hits.append(part[k])
-        if zone == 0 and page_no == first_page and page_no <= 1:
-            named = [h for h in hits if not h[3] & ALONE_BIT and h[2] is None and not (h[3] & CAPITALS and capitals) and not h[3] & (TIGHT | SPACED)]
-            if named:
-                hits.remove(named[-1])
-        out.update(h[0] for h in hits)
+class Neighbourhood:
+    """Pages of one file in order of their numbers, and what comes back at their edges."""
+
+    def __init__(self, rows: list[tuple], share: float, alike: float):
+        self.share, self.alike = share, alike
+        once: dict[int, tuple] = {}
+        for row in rows:
+            once.setdefault(row[4], row)
+        self.rows = list(once.values())
+        self.edges = [tuple([self._line(x) for x in zone.split("\n")] for zone in row[6].split("\n\n")) for row in self.rows]
+        self.numbers = [row[3] for row in self.rows]
+        # page numbers where a skeleton, a form or a step between number and page stands, by edge
+        self.keys = (defaultdict(list), defaultdict(list))
+        self.forms: tuple[list, list] = ([], [])
+        self.steps: dict[int, list] = defaultdict(list)
+        for no, zones in zip(self.numbers, self.edges, strict=True):
+            for step in {line[2] - no for zone in zones for line in zone if line[2] is not None}:
+                self.steps[step].append(no)
+        for no, zones in zip(self.numbers, self.edges, strict=True):
+            for at, zone in enumerate(zones):
+                for key in {line[4] for line in zone if len(line[4]) >= 3}:
+                    self.keys[at][key].append(no)
+                if any(self._form(zone, k, no) for k in range(len(zone))):
+                    self.forms[at].append(no)
+        self.often = tuple([k for k, at in zone.items() if len(at) >= 2] for zone in self.keys)
+        upper = Counter(line[4] for zones in self.edges for line in zones[0] if line[1] & CAPITALS)
+        self.capitals = any(2 * upper[k] > len(self.keys[0][k]) for k in self.often[0] if self.repeated(self.keys[0][k], self.numbers[0], False))
+
+    @staticmethod
+    def _line(text: str) -> tuple[int, int, int | None, str, str]:
+        no, bits, number, word, key = text.split("\t")
+        return int(no), int(bits), int(number) if number else None, word, key
+
+    @staticmethod
+    def _within(places: list[int], no: int, reach: int) -> int:
+        return bisect_right(places, no + reach) - bisect_left(places, no - reach)
+
+    def repeated(self, places: list[int], no: int, sentence: bool) -> bool:
+        """Whether enough of the neighbours of a page have it as well: a share of them, or three of the close ones."""
+        k = self._within(places, no, NEAR)
+        if k < (3 if sentence else 2):
+            return False
+        return k >= (0.5 if sentence else self.share) * self._within(self.numbers, no, NEAR) or (not sentence and self._within(places, no, CLOSE) >= 3)
+
+    def in_step(self, line: tuple, no: int) -> bool:
+        return line[2] is not None and self._within(self.steps[line[2] - no], no, NEAR) >= 2
+
+    def _form(self, zone: list, k: int, no: int) -> bool:
+        """A line that interrupts a sentence, or the outermost one, beside a running number."""
+        if zone[k][1] & (HEADING | ALONE_BIT | SENTENCE):
+            return False
+        return bool(zone[k][1] & INTERRUPTS) or (k == 0 and len(zone) > 1 and bool(zone[1][1] & ALONE_BIT) and self.in_step(zone[1], no))
+
+    def furniture(self, i: int) -> tuple[set[int], bool]:
+        """The furniture lines of a page, and whether there may be more than the lines that were looked at."""
+        no, out, deep = self.numbers[i], set(), False
+        top, bottom = self.edges[i]
+        for at, zone in ((0, top), (1, bottom)):
+            hits = []
+            for k, line in enumerate(zone):
+                _, bits, _, _, key = line
+                if bits & HEADING:
+                    break
+                hit = self.in_step(line, no)
+                if not hit and not bits & ALONE_BIT:
+                    sentence = bool(bits & SENTENCE)
+                    hit = len(key) >= 3 and self.repeated(self.keys[at][key], no, sentence)
+                    if not hit and not sentence:
+                        hit = self._form(zone, k, no) and self.repeated(self.forms[at], no, False)
+                        hit = hit or len(key) >= 6 and _alike(key, [r for r in self.often[at] if len(r) >= 6 and self.repeated(self.keys[at][r], no, False)], self.alike)
+                if not hit:
+                    break
+                hits.append(line)
+            # the upper edge ends with the line beyond those looked at, if there is one
+            deep = deep or len(hits) == len(bottom) < len(top)
+            if at == 0 and i == 0 and no <= 1:
+                named = [h for h in hits if not h[1] & ALONE_BIT and h[2] is None and not (h[1] & CAPITALS and self.capitals) and not h[1] & (TIGHT | SPACED)]
+                if named:
+                    hits.remove(named[-1])
+            out.update(h[0] for h in hits)
+        return out, deep
+
+
+def _judged(rows: list[tuple], share: float, alike: float) -> list[tuple]:
+    """The findings of the own pages of one block."""
+    near = Neighbourhood(rows, share, alike)
+    spoken = Counter(row[5] for row in near.rows if row[5])
+    lang = max(spoken, key=lambda k: (spoken[k], k)) if spoken else None
+    decided = [near.furniture(i) for i in range(len(near.rows))]
+    heads = [next(((line[0], line[3]) for line in zones[0] if line[0] not in gone), None) for zones, (gone, _) in zip(near.edges, decided, strict=True)]
+    out, opens = [], False
+    for i, (file, block, own, no, page, code, _, packed) in enumerate(near.rows):
+        if not own:
+            continue
+        gone, deep = decided[i]
+        ends = []
+        for end in packed.split("\n") if packed else ():
+            at, left, sign, *after = end.split("\t")
+            if int(at) in gone:
+                continue
+            follow = next(((page, int(j), w) for j, _, w in (x.partition(" ") for x in after) if int(j) not in gone), None)
+            if follow is None:
+                k = next((k for k in range(i + 1, len(heads)) if heads[k] and near.numbers[k] <= no + NEAR), None)
+                follow = (near.rows[k][4], *heads[k]) if k is not None else (None, None, None)
+            ends.append((int(at), left, sign, *follow))
+        first = heads[i] is not None and not opens
+        opens = opens or first
+        out.append((file, block, no, page, code or lang, sorted(gone), deep, first, *(heads[i] or (None, None)), *(map(list, zip(*ends, strict=True)) if ends else ([], [], [], [], [], []))))
     return out
 
 
-def _decide(alike: float):
-    names = ("output_file", "page_no", "page_id", "lang", "file_lang", "tops", "edge_lines", "skeletons", "numbers", "bits", "head_lines", "head_words", "end_lines", "end_lefts", "end_signs", "after_lines", "after_words", "first_page", "running_top", "running_bottom", "capitals", "steps")
+def _decide(share: float, alike: float):
+    names = ("output_file", "block", "own", "page_no", "page_id", "lang", "edges", "ends", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key, rows = None, []
         for b in batches:
-            rows = []
-            for file, no, page, lang, file_lang, tops, lines, keys, numbers, bits, hl, hw, el, left, sign, al, aw, first, rt, rb, capitals, steps in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                edges = list(zip(lines, keys, numbers, bits, strict=True))
-                out = page_furniture(no, tops, edges, first, (set(rt or ()), set(rb or ())), bool(capitals), set(steps or ()), alike)
-                head = next(((i, w) for i, w in zip(hl, hw, strict=True) if i not in out), (None, None))
-                ends = [(i, a, s, *next(((j, w) for j, w in zip(js, ws, strict=True) if j not in out), (None, None))) for i, a, s, js, ws in zip(el, left, sign, al, aw, strict=True) if i not in out]
-                rows.append((file, no, page, lang or file_lang, sorted(out), *head, *(map(list, zip(*ends, strict=True)) if ends else ([], [], [], [], []))))
-            yield _batch(rows, _DECIDED, _DECIDED_KINDS)
+            for *row, part in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if (row[0], row[1], part) != key:
+                    if held:
+                        rows += _judged(held, share, alike)
+                    key, held = (row[0], row[1], part), []
+                    if len(rows) > 2000:
+                        yield _batch(rows, _DECIDED, _DECIDED_KINDS)
+                        rows = []
+                held.append(row)
+        if held:
+            rows += _judged(held, share, alike)
+        yield _batch(rows, _DECIDED, _DECIDED_KINDS)
 
     return run
 
 
-def _running() -> list[F.Column]:
-    return [
-        F.collect_set(F.when(F.col("top"), F.col("skeleton"))).alias("running_top"),
-        F.collect_set(F.when(~F.col("top"), F.col("skeleton"))).alias("running_bottom"),
-        F.bool_or(F.expr("top and 2 * upper > k")).alias("capitals"),
-    ]
+def _block() -> F.Column:
+    return F.greatest(F.floor(F.coalesce(F.col("page_no").cast("int"), F.lit(0)) / BLOCK), F.lit(0))
 
 
-def _neighbours(counts: DataFrame, *by) -> DataFrame:
-    """Counts per run of pages added up for each two consecutive runs (on at least two pages), given to both of them."""
-    names, sums = [c for c in by if isinstance(c, str)], [c for c in by if not isinstance(c, str)]
-    df = counts.filter("half is not null").withColumn("pair", F.explode(F.expr("array(half - 1, half)")))
-    df = df.groupBy("output_file", "pair", *names).agg(F.sum("k").alias("k"), F.min("a").alias("a"), F.max("b").alias("b"), *sums).filter("a < b")
-    return df.withColumn("half", F.explode(F.expr("array(pair, pair + 1)")))
+def _decided(facts: DataFrame, share: float, alike: float) -> DataFrame:
+    """One row per page from one look at its edges."""
+    pages = facts.filter("page_id is not null").select("output_file", "page_no", "page_id", "lang", "edges", "ends", _block().alias("own_block"))
+    crowds = pages.groupBy("output_file", F.col("own_block").alias("block")).count().filter(f"count > {CROWD}").select("output_file", "block", F.ceil(F.col("count") / CROWD).alias("parts"))
+    # pages near the border of a block are shown to the next one too
+    at = F.col("page_no") - F.col("own_block") * BLOCK
+    shown = F.array_compact(F.array("own_block", F.when((at < 2 * NEAR) & (F.col("own_block") > 0), F.col("own_block") - 1), F.when(at >= BLOCK - NEAR, F.col("own_block") + 1)))
+    rows = pages.withColumn("block", F.explode(shown)).withColumn("own", F.expr("block = own_block")).withColumn("ends", F.when(F.col("own"), F.col("ends"))).drop("own_block")
+    rows = rows.join(crowds, ["output_file", "block"], "left").withColumn("part", F.expr("pmod(xxhash64(page_id), coalesce(parts, 1L))")).drop("parts")
+    rows = rows.repartition("output_file", "block", "part").sortWithinPartitions("output_file", "block", "part", "page_no", "page_id")
+    return rows.mapInArrow(_decide(share, alike), _DECIDED)
 
 
-def decided_pages(facts: DataFrame, share: float = 0.2, alike: float = 0.25) -> DataFrame:
+def decided_pages(pages: DataFrame, facts: DataFrame, share: float = 0.2, alike: float = 0.25) -> DataFrame:
     """Every page with its furniture, its first line of text and its broken line ends.
 
-    A skeleton is furniture if at least two pages and ``share`` of the pages of its file have it at the same edge, or
-    if it differs from such a one by at most ``alike`` of its length. A number is furniture if it runs along with the
-    pages as at least two numbers and 3% of the pages of its file do in the same way (a file can be numbered anew), or
-    if it is the outermost line and decorated as page numbers are. In files of more than ``2 * HALF`` pages the same
-    holds among neighbouring pages, of which ``share * 2 * HALF`` must have a skeleton and two a numbering, so that what
-    belongs to one part is found however long the file is. A line that is set off and interrupts a sentence, and one beside
-    a running number, is furniture however rare it is. What lies further in is furniture only if all lines nearer to
-    the edge are. On the first page the last line that looks like a running header is the title, which stands in the
-    text, if it is set off by a blank line and not in capitals like the running header.
+    Neighbours of a page are the pages of its file whose numbers differ by at most NEAR. A line at a page edge is
+    furniture if its skeleton stands at the same edge of at least two and ``share`` of the neighbours (the page itself
+    counts), or of three of those within CLOSE pages; one that ends like a sentence needs half of the neighbours and
+    three. A skeleton that differs from such a one by at most ``alike`` of its length counts too. So does a form that
+    comes back in the same way: lines that interrupt a sentence at that edge, or stand beside a running number. A
+    number is furniture if one of the neighbours has a number in step with it. What lies further in is furniture only
+    if all lines nearer to the edge are, however many there are: pages of which all lines looked at are furniture are
+    looked at again, deeper. On the first page the last line that looks like a running header is the title, which
+    stands in the text, if it is set off by a blank line and not in capitals like the running header.
+
+    Blocks of BLOCK page numbers are judged at once, with the pages around them, so no task holds a whole file; of
+    more than CROWD pages with such numbers (missing or equal ones) each is judged among a share of them.
     """
-    pages = facts.filter("page_id is not null")
-    about = pages.groupBy("output_file").agg(F.count("*").alias("pages"), F.min("page_no").alias("first_page"))
-    zip_ = F.posexplode(F.arrays_zip("skeletons", "numbers", "bits"))
-    edges = pages.select("output_file", "page_no", "page_id", "tops", zip_.alias("k", "x"))
-    edges = edges.select("output_file", "page_no", "page_id", (F.col("k") < F.col("tops")).alias("top"), F.col("x.skeletons").alias("skeleton"), F.col("x.numbers").alias("number"), F.col("x.bits").alias("bits"))
-    half = F.floor(F.col("page_no") / HALF)
-    lines = edges.filter(f"length(skeleton) >= 3 and bits & {ALONE_BIT | MARKED | SENTENCE} = 0")
-    counted = lines.groupBy("output_file", "top", "skeleton").agg(F.count("*").alias("k"), F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.count_if(F.expr(f"bits & {CAPITALS} != 0")).alias("upper")).filter("a < b")
-    counted = counted.join(about.select("output_file", "pages"), "output_file")
-    # at most EDGE / share skeletons per file and edge
-    often = counted.filter(f"k >= {share} * pages").groupBy("output_file").agg(*_running())
-    steps = edges.filter("number is not null").groupBy("output_file", (F.col("number") - F.col("page_no")).alias("step"), half.alias("half"))
-    steps = steps.agg(F.count("*").alias("k"), F.min("page_id").alias("a"), F.max("page_id").alias("b"))
-    whole = steps.groupBy("output_file", "step").agg(F.sum("k").alias("k"), F.min("a").alias("a"), F.max("b").alias("b"))
-    whole = whole.join(about, "output_file").filter("(a < b and k >= 0.03 * pages) or pages = 1").groupBy("output_file").agg(F.collect_set("step").alias("steps"))
-    # among neighbouring pages: only what comes back in a long file is counted again
-    long = f"pages > {2 * HALF}"
-    some = counted.filter(f"{long} and k >= {share * 2 * HALF} and k < {share} * pages").select("output_file", "top", "skeleton")
-    near = lines.join(some, ["output_file", "top", "skeleton"], "left_semi").groupBy("output_file", half.alias("half"), "top", "skeleton")
-    near = near.agg(F.count("*").alias("k"), F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.count_if(F.expr(f"bits & {CAPITALS} != 0")).alias("upper"))
-    near = _neighbours(near, "top", "skeleton", F.sum("upper").alias("upper")).filter(f"k >= {share * 2 * HALF}").groupBy("output_file", "half").agg(*_running())
-    near_steps = steps.join(about.filter(long).select("output_file"), "output_file", "left_semi")
-    near_steps = _neighbours(near_steps, "step").groupBy("output_file", "half").agg(F.collect_set("step").alias("steps"))
-    spoken = pages.filter("lang is not null").groupBy("output_file", "lang").count()
-    spoken = spoken.groupBy("output_file").agg(F.max_by("lang", F.struct("count", "lang")).alias("file_lang"))
-    about = about.join(often, "output_file", "left").join(whole, "output_file", "left").join(spoken, "output_file", "left").drop("pages")
-    # one row per file and run of pages, so that no key has many
-    key = F.coalesce(half, F.lit(-(1 << 40)) + F.expr("pmod(page_id, 64)"))
-    pages = pages.drop("word", "n").withColumn("half", key)
-    runs = pages.select("output_file", "half").distinct().join(about, "output_file")
-    for part in (near, near_steps):
-        new = [c for c in part.columns if c not in ("output_file", "half")]
-        runs = runs.join(part.select("output_file", "half", *(F.col(c).alias("near_" + c) for c in new)), ["output_file", "half"], "left")
-    both = lambda c: F.array_union(F.coalesce(c, F.array()), F.coalesce("near_" + c, F.array())).alias(c)
-    runs = runs.select("output_file", "half", "first_page", "file_lang", *map(both, ("running_top", "running_bottom", "steps")), F.expr("coalesce(capitals, false) or coalesce(near_capitals, false)").alias("capitals"))
-    rows = pages.join(runs, ["output_file", "half"])
-    return written_table(rows.mapInArrow(_decide(alike), _DECIDED))
+    decided = written_table(_decided(facts, share, alike))
+    depth = EDGE
+    while not (deep := decided.filter("deep")).isEmpty():
+        depth *= DEEPER
+        keys = deep.select("output_file", "block").distinct()
+        around = keys.select("output_file", F.explode(F.expr("sequence(block - 1, block + 1)")).alias("b")).distinct()
+        numbered = pages.withColumn("b", _block())
+        again = _decided(page_facts(numbered.join(around, ["output_file", "b"], "left_semi").drop("b"), depth, False), share, alike)
+        again = again.join(keys, ["output_file", "block"], "left_semi")
+        decided = written_table(decided.join(keys, ["output_file", "block"], "left_anti").unionByName(again))
+    return decided
 
 
 # --- words -----------------------------------------------------------------------------------------------------------
@@ -366,40 +454,34 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(facts: DataFrame) -> DataFrame:
-    """``lang, word, n``: all words of the corpus in lower case by language, except parts of broken ones.
+    """``lang, word, n``: all words of the corpus in lower case by language, except those that may be halves of broken ones.
 
-    Words of pages without a language count in each (codes have two letters, so there are few); without any language
-    all are in one group.
+    Not counted are words broken at line ends and a first word of a page in small letters. Words of pages without a
+    language count in each (codes have two letters, so there are few); without any language all are in one group.
     """
-    own = facts.filter("word is not null").groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "word").agg(F.sum("n").alias("n"))
+    own = facts.filter("word is not null").select("lang", "word", "n")
     codes = sorted(r[0] for r in facts.filter("page_id is not null and lang is not null").select("lang").distinct().collect())
-    if not codes:
-        return own
-    spread = own.withColumn("lang", F.explode(F.when(F.col("lang") == "", F.array(*map(F.lit, codes))).otherwise(F.array("lang"))))
-    return spread.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    every = F.explode(F.when(F.col("lang").isNull(), F.array(*map(F.lit, codes))).otherwise(F.array("lang"))) if codes else F.lit("")
+    return own.withColumn("lang", every).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def misread_words(words: DataFrame, ratio: int = 8, rare: float = 2e-5) -> DataFrame:
+def misread_words(words: DataFrame, ratio: int = 8) -> DataFrame:
     """``lang, word, right``: words with wrongly recognised letters and what they should be (null if that is not known).
 
     A word is misread if another word of its language and of the same skeleton is at least ``ratio`` times as frequent
-    (three times, for words of five letters or more that occur once or twice), or if it mixes letters with digits or
-    bars and makes up less than ``rare`` of the words of its language.
+    (three times, for words of five letters or more that occur once or twice), or if it has four letters or more and
+    single digits or bars before letters (``qu1et``, ``7own``; not ``mp3``, ``300dpi``, ``1080p``).
     """
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     spelled = words.filter(r"length(word) >= 2 and word rlike '\\p{L}'")
     keyed = spelled.mapInArrow(_skeletons, "lang string, word string, n bigint, keys array<string>").select("lang", "word", "n", F.explode("keys").alias("key"))
     clean = F.when(~F.col("word").rlike(r"[\p{N}!|]"), F.struct("n", "word"))
-    top = keyed.groupBy("lang", "key").agg(F.max(clean).alias("top")).filter("top is not null")
-    pairs = keyed.join(top, ["lang", "key"]).filter("top.word != word")
+    pairs = keyed.withColumn("top", F.max(clean).over(Window.partitionBy("lang", "key"))).filter("top.word != word")
     # accents and hyphens are no letters that were confused
     plain = lambda c: F.translate(c, "áàâäéèêëíìîïóòôöúùûüñç-", "aaaaeeeeiiiioooouuuunc")
-    pairs = pairs.filter(plain("top.word") != plain("word"))
-    strong = pairs.filter(f"n * {ratio} <= top.n or (n <= 2 and n * 3 <= top.n and length(word) >= 5)")
-    known = strong.groupBy("lang", "word").agg(F.max("top").alias("top")).select("lang", "word", F.col("top.word").alias("right"))
-    mixed = spelled.filter(r"word rlike '\\p{L}[\\p{N}!|]|[\\p{N}!|]\\p{L}'").join(F.broadcast(totals), "lang")
-    mixed = mixed.filter(f"n < greatest(5, {rare} * total)").select("lang", "word")
-    return known.join(mixed, ["lang", "word"], "full")
+    pairs = pairs.filter(f"n * {ratio} <= top.n or (n <= 2 and n * 3 <= top.n and length(word) >= 5)").filter(plain("top.word") != plain("word"))
+    mixed = spelled.filter(r"word rlike '[\\p{N}!|]\\p{L}' and not word rlike '[\\p{N}!|]{2}' and length(regexp_replace(word, '[^\\p{L}]+', '')) >= 4")
+    both = pairs.select("lang", "word", "top").unionByName(mixed.select("lang", "word", F.lit(None).cast("struct<n:bigint,word:string>").alias("top")))
+    return both.groupBy("lang", "word").agg(F.max("top").alias("top")).select("lang", "word", F.col("top.word").alias("right"))
 
 
 _LINES = "page_id bigint, line_no int, word string, first boolean"
@@ -407,22 +489,31 @@ _LINES = "page_id bigint, line_no int, word string, first boolean"
 
 def _doubtful(trusted: dict[str, frozenset]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what stands between spaces and holds trusted words alone; texts repeat such chunks, so few are looked at
+        clean: dict[str, set[str]] = defaultdict(set)
         for b in batches:
             pages, nos, words, first = [], [], [], []
             for page, lang, content in zip(*(b.column(c).to_pylist() for c in ("page_id", "lang", "content")), strict=True):
-                rare = set(TOKEN.findall(content)) - trusted.get(lang or "", trusted[""])
-                if not rare:
+                known = lang if lang in trusted else ""
+                right, fine = trusted[known], clean[known]
+                new = set(content.split()) - fine
+                good = {c for c in new if right.issuperset(TOKEN.findall(c))}
+                if len(fine) > 500_000:
+                    fine.clear()
+                fine |= good
+                odd = new - good
+                if not odd:
                     continue
                 broken = False
                 for i, line in enumerate(page_lines(content)):
                     if not line or line.isspace():
                         continue
                     was, broken = broken, line.rstrip()[-1] in BREAKS and broken_end(line) is not None
-                    found = TOKEN.findall(line)
-                    if rare.isdisjoint(found):
+                    if odd.isdisjoint(line.split()):
                         continue
+                    found = TOKEN.findall(line)
                     for k, w in enumerate(found):
-                        if w in rare and not (k == 0 and was) and not (broken and k == len(found) - 1):
+                        if w not in right and not (k == 0 and was) and not (broken and k == len(found) - 1):
                             pages.append(page)
                             nos.append(i + 1)
                             words.append(w.lower())
@@ -432,26 +523,25 @@ def _doubtful(trusted: dict[str, frozenset]):
     return run
 
 
-def broken_words(decided: DataFrame, words: DataFrame, block: int = 256) -> DataFrame:
-    """Words broken at line ends: ``page_id, line_no, left, sign, next_page, next_line, right, split``.
+def broken_words(decided: DataFrame, overall: DataFrame) -> DataFrame:
+    """Words broken at line ends: ``page_id, lang, line_no, left, sign, next_page, next_line, right, joined, split``.
 
     The other half is the first word of the next line that is no furniture, if need be on the next page with text.
-    ``split`` is false where the corpus has the two halves only as a compound with its own hyphen.
+    ``split`` is false where the corpus has the two halves only as a compound with its own hyphen, or more often so.
+    ``overall``: ``word, n``.
     """
-    ends = decided.select("output_file", "page_id", F.inline(F.arrays_zip("line_no", "left", "sign", "next_line", "right")))
-    heads = decided.filter("head_line is not null").select("output_file", "page_no", "page_id", F.struct("page_id", F.col("head_line").alias("line"), F.col("head_word").alias("word")).alias("h")).dropDuplicates(["page_id"])
-    heads = heads.withColumn("block", F.floor(F.col("page_no") / block))
-    follow = heads.select("output_file", "page_id", "block", F.lead("h").over(Window.partitionBy("output_file", "block").orderBy("page_no", "page_id")).alias("next"))
-    starts = heads.groupBy("output_file", "block").agg(F.min_by("h", F.struct("page_no", "page_id")).alias("h"))
-    starts = starts.select("output_file", "block", F.lead("h").over(Window.partitionBy("output_file").orderBy("block")).alias("next_block"))
-    follow = follow.join(starts, ["output_file", "block"]).select("page_id", F.coalesce("next", "next_block").alias("over"))
-    same = ends.filter("next_line is not null").select("page_id", "line_no", "left", "sign", F.col("page_id").alias("next_page"), "next_line", "right")
-    over = ends.filter("next_line is null").join(follow, "page_id", "left").select("page_id", "line_no", "left", "sign", F.col("over.page_id").alias("next_page"), F.col("over.line").alias("next_line"), F.col("over.word").alias("right"))
-    ends = same.unionByName(over).distinct()
+    ends = decided.select("output_file", "block", "page_id", "lang", F.inline(F.arrays_zip("line_no", "left", "sign", "next_page", "next_line", "right")))
+    # ends whose next page lies in another block: one row per block tells where that begins
+    starts = decided.filter("opens").select("output_file", "block", F.struct("page_id", F.col("head_line").alias("line"), F.col("head_word").alias("word")).alias("h"))
+    follow = starts.groupBy("output_file", "block").agg(F.min("h").alias("h"))
+    follow = follow.select("output_file", "block", F.lead("h").over(Window.partitionBy("output_file").orderBy("block")).alias("over")).filter("over is not null")
+    far = ends.filter("next_page is null").join(follow, ["output_file", "block"], "left")
+    far = far.withColumns({"next_page": F.col("over.page_id"), "next_line": F.col("over.line"), "right": F.col("over.word")}).drop("over")
+    ends = ends.filter("next_page is not null").unionByName(far).drop("output_file", "block")
     ends = ends.withColumn("joined", F.concat("left", "right")).withColumn("compound", F.concat_ws("-", "left", "right"))
-    ends = ends.join(words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")), "joined", "left")
-    compounds = words.filter("contains(word, '-')").select(F.col("word").alias("compound"), F.col("n").alias("n_compound"))
-    ends = ends.join(compounds, "compound", "left")
+    ends = ends.join(overall.select(F.col("word").alias("joined"), F.col("n").alias("n_joined")), "joined", "left")
+    compounds = overall.filter("contains(word, '-')").select(F.col("word").alias("compound"), F.col("n").alias("n_compound"))
+    ends = ends.join(compounds, "compound", "left").drop("compound")
     seen = F.coalesce("n_joined", F.lit(0)) >= F.coalesce("n_compound", F.lit(0))
     return ends.withColumn("split", F.when(F.col("sign") == "–", F.coalesce(F.col("n_joined"), F.lit(0)) > 0).otherwise(seen))
 
@@ -464,27 +554,27 @@ def repaired_lines(pages: DataFrame, trusted_words: int = 50_000) -> dict[str, D
     before it belongs to the end. The ``trusted_words`` most frequent right words are held by every task to pass
     over most words quickly; all others are looked up by a join, so the result does not depend on the number.
     """
-    facts = page_facts(pages)
-    decided = decided_pages(facts)
-    furniture = decided.select("page_id", F.explode("furniture").alias("line_no")).distinct()
+    facts = written_table(page_facts(pages))
+    decided = decided_pages(pages, facts)
+    furniture = decided.select("page_id", F.explode("furniture").alias("line_no"))
     words = written_table(vocabulary(facts))
     misread = written_table(misread_words(words))
     top = words.join(misread, ["lang", "word"], "left_anti").orderBy(F.desc("n"), "lang", "word").limit(trusted_words).collect()
     right: dict[str, set[str]] = defaultdict(set)
     for r in top:
         right[r["lang"]].update((r["word"], r["word"].capitalize(), r["word"].upper()))
-    # a page without a language gets that of its file later; until then only words pass that no language has as misread
-    overall = words.groupBy("word").agg(F.sum("n").alias("n"))
+    # a page without a language gets that of its neighbours later; until then only words pass that no language has as misread
+    overall = written_table(words.groupBy("word").agg(F.sum("n").alias("n")))
     safe = overall.join(misread.select("word").distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(trusted_words).collect()
     trusted = {k: frozenset(v) for k, v in right.items()} | {"": frozenset(x for r in safe for x in (r[0], r[0].capitalize(), r[0].upper()))}
     broken = written_table(broken_words(decided, overall))
     rows = pages.filter("page_id is not null and content is not null and output_file is not null").select(F.col("page_id").cast("bigint").alias("page_id"), _language(pages).alias("lang"), "content")
-    spoken = decided.select("page_id", F.coalesce("lang", F.lit("")).alias("lang")).dropDuplicates(["page_id"])
+    spoken = decided.select("page_id", F.coalesce("lang", F.lit("")).alias("lang"))
     doubtful = rows.mapInArrow(_doubtful(trusted), _LINES).join(spoken, "page_id").join(misread, ["lang", "word"])
     # the first word of a line can be the second half of a broken one
     targets = broken.filter("split").select(F.col("next_page").alias("page_id"), F.col("next_line").alias("line_no"), F.lit(True).alias("second"))
-    doubtful = doubtful.join(targets.distinct(), ["page_id", "line_no"], "left").filter("not first or second is null")
-    whole = broken.filter("split").join(spoken, "page_id").join(misread.withColumnRenamed("word", "joined").withColumnRenamed("right", "meant"), ["lang", "joined"])
+    doubtful = doubtful.join(targets, ["page_id", "line_no"], "left").filter("not first or second is null")
+    whole = broken.filter("split").withColumn("lang", F.coalesce("lang", F.lit(""))).join(misread.withColumnRenamed("word", "joined").withColumnRenamed("right", "meant"), ["lang", "joined"])
     starts = F.expr("coalesce(startswith(meant, left), false)")
     stops = F.expr("coalesce(endswith(meant, right), false)")
     place = F.when(starts & ~stops, F.array(F.struct(F.col("next_page").alias("page_id"), F.col("next_line").alias("line_no")))).otherwise(F.array(F.struct("page_id", "line_no")))
@@ -497,7 +587,7 @@ def line_findings(pages: DataFrame) -> DataFrame:
     """``page_id, line_no, kind``: furniture, split and misread lines."""
     found = repaired_lines(pages)
     return (
-        found["furniture"].withColumn("kind", F.lit("furniture"))
+        found["furniture"].distinct().withColumn("kind", F.lit("furniture"))
         .unionByName(found["broken"].filter("split").select("page_id", "line_no").distinct().withColumn("kind", F.lit("split")))
         .unionByName(found["wrong"].withColumn("kind", F.lit("misread")))
     )

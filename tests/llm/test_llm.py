@@ -65,6 +65,44 @@ def test_furniture_of_one_part_of_a_long_file(spark):
     assert got <= want and want - got <= {(1, 1)}
 
 
+def _filler(rng, n):
+    word = lambda: "".join(rng.choices("bcdfgklmnopqsuvwxyz", k=7))
+    return "\n".join(f"{word()} {word()} {word()} {word()}." for _ in range(n))
+
+
+def test_furniture_is_decided_by_repetition_and_sequence_alone(spark):
+    rng = random.Random(9)
+    deep = [("deep", k, "Society of Letters\n\nAnnual Volume\n\nThird Series\n\nPublished Quarterly\n\nNew Haven Press\n\nAll Rights\n\n" + _filler(rng, 9)) for k in range(2, 12)]
+    chapters = [("book", 10 + k, f"Chapter of {'abcdefghij'[k // 8] * 5}\n\n{_filler(rng, 9)}") for k in range(80)]
+    short = [("parts", 10 + k, f"Part of {'abcdefghij'[k // 3] * 5}\n\n{_filler(rng, 9)}") for k in range(30)]
+    footer = [("foot", k, f"{_filler(rng, 9)}\n\nPrinted in Italy.") for k in range(2, 9)]
+    alone = [("alone", k, ("Results of the Survey\n\npH was low" if k == 4 else "— 1912 —\n\n" if k == 6 else "") + _filler(rng, 9)) for k in range(2, 9)]
+    rows = deep + chapters + short + footer + alone
+    got = {(r.page_id, r.line_no) for r in scans.line_findings(pages(spark, rows)).filter("kind = 'furniture'").collect()}
+    n = [0]
+    for part in (deep, chapters, short, footer):
+        n.append(n[-1] + len(part))
+    want = {(p, line) for p in range(1, n[1] + 1) for line in (1, 3, 5, 7, 9, 11)} | {(p, 1) for p in range(n[1] + 1, n[3] + 1)} | {(p, 11) for p in range(n[3] + 1, n[4] + 1)}
+    assert got == want
+
+
+def test_pages_without_numbers_and_hot_files(spark, monkeypatch):
+    rng = random.Random(10)
+    monkeypatch.setattr(scans, "CROWD", 50)
+    rows = [("hot", None, f"Tale of the Harbour\n\n{_filler(rng, 5)}") for _ in range(400)]
+    got = {(r.page_id, r.line_no) for r in scans.line_findings(pages(spark, rows)).filter("kind = 'furniture'").collect()}
+    assert {line for _, line in got} == {1} and len(got) >= 390  # the first page of each part has the title
+
+
+def test_words_with_digits_do_not_depend_on_the_size_of_the_corpus(spark):
+    rng = random.Random(11)
+    for times in (1, 40):
+        edge = lambda: _filler(rng, 5)
+        rows = [("d", k, f"{edge()}\nplayed an mp3 on A4 in 300dpi with 1080p for the 2nd time\nthe zyl0phone was here\n{edge()}") for k in range(2, 2 + times)]
+        got = {r.line_no for r in scans.line_findings(pages(spark, rows)).filter("kind = 'misread'").collect()}
+        assert got == {7}
+
+
 def test_misread_words_by_language(spark):
     rows = [("en", k, f"{BODY}\n{BODY}\nlast line {k}.") for k in range(1, 31)] + [("en", 31, "x tbe harbour was qu1et and\nthe lantern burned.")]
     got = {(r.page_id, r.line_no) for r in scans.line_findings(pages(spark, rows)).filter("kind = 'misread'").collect()}
