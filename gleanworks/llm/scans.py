@@ -50,6 +50,16 @@ _DIGITS = str.maketrans("lIi|OoSB", "11110058")
 _NO_SIGN = re.compile(r"[\W_]+")
 
 
+def _ascii_strokes(table: dict[str, str]) -> tuple[bytes, bytes, list[tuple[str, str]]]:
+    """The same table for ASCII: signs of one stroke, signs that count for nothing, and signs of several strokes."""
+    one = {ord(k): v for k, v in table.items() if len(v) == 1 and k.isascii()}
+    gone = bytes(c for c in range(128) if not chr(c).isalnum() and c not in one)
+    return bytes(ord(one.get(c, chr(c))) if c < 128 else c for c in range(256)), gone, [(k, v) for k, v in table.items() if len(v) > 1]
+
+
+_ASCII = (_ascii_strokes(STROKES), _ascii_strokes(OTHER_STROKES))
+
+
 def skeleton(text: str, table: int = 0) -> str:
     """The strokes of a text without spaces, marks, accents and case; equal for texts that differ in confused letters."""
     low = text.lower()
@@ -57,7 +67,14 @@ def skeleton(text: str, table: int = 0) -> str:
         if table and ("é" in low or "è" in low):
             low = low.translate(_TABLES[1])
         low = _MARKS.sub("", unicodedata.normalize("NFKD", low))
-    return _NO_SIGN.sub("", low.translate(_TABLES[table]))
+        if not low.isascii():
+            return _NO_SIGN.sub("", low.translate(_TABLES[table]))
+    one, gone, several = _ASCII[table]
+    out = low.encode().translate(one, gone).decode()
+    for sign, strokes in several:
+        if sign in out:
+            out = out.replace(sign, strokes)
+    return out
 
 
 def number_of(text: str) -> int | None:
@@ -229,38 +246,37 @@ _DECIDED = (
 _DECIDED_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), _INTS, pa.bool_(), pa.bool_(), pa.int32(), pa.string(), _INTS, _TEXTS, _TEXTS, pa.list_(pa.int64()), _INTS, _TEXTS]
 
 
-def _distance(a: str, b: str, most: int) -> int:
-    """Edit distance, or more than ``most`` if it is greater."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    # what both begin and end with costs nothing
-    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    a, b = a[k:], b[k:]
-    k = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1], strict=False)) if x != y), min(len(a), len(b)))
-    a, b = a[: len(a) - k], b[: len(b) - k]
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+def _distance(a: str, b: str) -> int:
+    """Edit distance, one column of the table at a time as bits of a number (Hyyrö 2003)."""
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top, out = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    more, less = full, 0
+    for c in b:
+        same = where.get(c, 0)
+        diagonal = (((same & more) + more) ^ more | same | less) & full
+        up, down = less | ~(diagonal | more) & full, diagonal & more
+        out += (up & top > 0) - (down & top > 0)
+        up, down = up << 1 | 1, down << 1
+        more, less = (down | ~(diagonal | up)) & full, up & diagonal & full
+    return out
 
 
 @lru_cache(maxsize=4096)
-def _pairs(text: str) -> frozenset:
-    return frozenset(map("".join, zip(text, text[1:], strict=False)))
+def _threes(text: str) -> frozenset:
+    return frozenset(map("".join, zip(text, text[1:], text[2:], strict=False)))
 
 
 def _alike(key: str, running: list[str], alike: float) -> bool:
     near = [r for r in running if abs(len(r) - len(key)) <= alike * len(r)]
     if not near:
         return False
-    own = frozenset(map("".join, zip(key, key[1:], strict=False)))
-    # each edit destroys two pairs of neighbours at most, so texts that are alike share many
-    return any(len(_pairs(r) - own) <= 2 * alike * len(r) and _distance(r, key, int(alike * len(r))) <= int(alike * len(r)) for r in near)
+    own = _threes(key)
+    # each edit destroys three runs of three at most, so texts that are alike share many
+    return any(len(_threes(r) - own) <= 3 * alike * len(r) and _distance(r, key) <= alike * len(r) for r in near)
 
 
 class Neighbourhood:
@@ -436,6 +452,8 @@ def decided_pages(pages: DataFrame, facts: DataFrame, share: float = 0.2, alike:
         depth *= DEEPER
         keys = deep.select("output_file", "block").distinct()
         around = keys.select("output_file", F.explode(F.expr("sequence(block - 1, block + 1)")).alias("b")).distinct()
+        # few blocks go to all tasks, so that no text is shuffled; if they are many, the join sorts
+        around = F.broadcast(around) if around.count() <= 100_000 else around
         numbered = pages.withColumn("b", _block())
         again = _decided(page_facts(numbered.join(around, ["output_file", "b"], "left_semi").drop("b"), depth, False), share, alike)
         again = again.join(keys, ["output_file", "block"], "left_semi")
@@ -504,20 +522,19 @@ def _doubtful(trusted: dict[str, frozenset]):
                 odd = new - good
                 if not odd:
                     continue
-                broken = False
+                before = ""
                 for i, line in enumerate(page_lines(content)):
-                    if not line or line.isspace():
-                        continue
-                    was, broken = broken, line.rstrip()[-1] in BREAKS and broken_end(line) is not None
-                    if odd.isdisjoint(line.split()):
-                        continue
-                    found = TOKEN.findall(line)
-                    for k, w in enumerate(found):
-                        if w not in right and not (k == 0 and was) and not (broken and k == len(found) - 1):
-                            pages.append(page)
-                            nos.append(i + 1)
-                            words.append(w.lower())
-                            first.append(k == 0)
+                    if any(c in line for c in odd) and not odd.isdisjoint(line.split()):
+                        found = TOKEN.findall(line)
+                        was, broken = broken_end(before), broken_end(line)
+                        for k, w in enumerate(found):
+                            if w not in right and not (k == 0 and was) and not (broken and k == len(found) - 1):
+                                pages.append(page)
+                                nos.append(i + 1)
+                                words.append(w.lower())
+                                first.append(k == 0)
+                    if line and not line.isspace():
+                        before = line
             yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(nos, pa.int32()), pa.array(words, pa.string()), pa.array(first, pa.bool_())], names=["page_id", "line_no", "word", "first"])
 
     return run
