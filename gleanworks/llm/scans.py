@@ -524,7 +524,8 @@ def _doubtful(trusted: dict[str, frozenset]):
                     continue
                 before = ""
                 for i, line in enumerate(page_lines(content)):
-                    if any(c in line for c in odd) and not odd.isdisjoint(line.split()):
+                    parts = line.split()
+                    if not odd.isdisjoint(parts):
                         found = TOKEN.findall(line)
                         was, broken = broken_end(before), broken_end(line)
                         for k, w in enumerate(found):
@@ -533,7 +534,7 @@ def _doubtful(trusted: dict[str, frozenset]):
                                 nos.append(i + 1)
                                 words.append(w.lower())
                                 first.append(k == 0)
-                    if line and not line.isspace():
+                    if parts:
                         before = line
             yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(nos, pa.int32()), pa.array(words, pa.string()), pa.array(first, pa.bool_())], names=["page_id", "line_no", "word", "first"])
 
