@@ -8,6 +8,7 @@ divisible in the same way.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +30,15 @@ _CLAUSE = re.compile(r"[,;:–—][\"')\]»”]*\s+")
 _WORD = re.compile(r"\s+")
 
 
-def boundaries(text: str) -> np.ndarray:
-    """Strength of a cut at each position of the text (0 to its length); 0 inside a word."""
+def boundaries(text: str, blocks: list[tuple[str, int, int]] | None = None) -> np.ndarray:
+    """Strength of a cut at each position of the text (0 to its length); 0 inside a word. ``blocks``: its Markdown blocks, if known."""
     strength = np.zeros(len(text) + 1, np.int8)
     for pattern, level in ((_WORD, WORD), (_CLAUSE, CLAUSE), (_SENTENCE, SENTENCE)):
         for m in pattern.finditer(text):
             strength[m.end()] = level
     for m in LINES.finditer(text):
         strength[m.end()] = max(strength[m.end()], LINE)
-    for kind, start, end in markdown_blocks(text):
+    for kind, start, end in markdown_blocks(text) if blocks is None else blocks:
         strength[start] = HEADING if kind == "heading" else BLOCK
         if kind == "heading":  # a heading stays with what follows it
             after = re.compile(r"\s*").match(text, end).end()
@@ -122,14 +123,20 @@ def _read(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def make(rows):
-        out = [
-            (key, no, kind, end - start, limit)
-            for key, text, limit, _ in rows
-            for no, (kind, start, end) in enumerate(markdown_blocks(text), 1)
-        ]
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["md_id", "block_no", "kind", "chars", "max_chars"])
+        out = []
+        for key, text, limit, overlap in rows:
+            limit, overlap = clean_limits(limit, overlap)
+            if not text or not limit or len(text) <= limit:
+                continue
+            blocks = markdown_blocks(text)
+            cuts = cut_points(text, limit, overlap, boundaries(text, blocks))[:-1]
+            for no, (kind, start, end) in enumerate(blocks, 1):
+                inside = bisect_left(cuts, end) - bisect_right(cuts, start)
+                if inside > 0:
+                    out.append((key, no, kind, end - start, limit, inside))
+        cols = list(zip(*out, strict=True)) or [[]] * 6
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["md_id", "block_no", "kind", "chars", "max_chars", "cuts"])
 
     return _read(batches, make)
 
@@ -168,14 +175,22 @@ def _once(texts: DataFrame) -> DataFrame:
     return rows.select("md_id", "x.content", "x.max_chars", "x.overlap_chars")
 
 
-def oversized_blocks(texts: DataFrame) -> DataFrame:
-    """Blocks that alone have more than max_chars characters: ``md_id, block_no, kind, chars``.
+def divided_blocks(texts: DataFrame) -> DataFrame:
+    """Blocks that a cut between two pieces divides: ``md_id, block_no, kind, chars, max_chars, cuts``.
 
     Characters are code points, the line end that closes a block included. A missing or non-positive max_chars is no
-    limit; null, blank and empty texts have no blocks; further columns are ignored.
+    limit and divides nothing; null, blank and empty texts have no blocks; further columns are ignored.
+    """
+    return _once(texts).mapInArrow(_blocks, "md_id bigint, block_no int, kind string, chars bigint, max_chars int, cuts int")
+
+
+def oversized_blocks(texts: DataFrame) -> DataFrame:
+    """Blocks that had to be divided: of those that the pieces of ``split_texts`` cut, the ones longer than max_chars.
+
+    A block of more than max_chars characters lies whole in no piece, so some cut divides it; a shorter one that is cut
+    lies across the border of two pieces and could be whole in another division.
     """
-    blocks = _once(texts).mapInArrow(_blocks, "md_id bigint, block_no int, kind string, chars bigint, max_chars int")
-    return blocks.filter("max_chars >= 1 and chars > max_chars").drop("max_chars")
+    return divided_blocks(texts).filter("chars > max_chars").drop("max_chars")
 
 
 def split_texts(texts: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks of Markdown that are too long to stay whole."""
+    """Blocks of Markdown that had to be divided because they are too long to stay whole in one piece."""
     return pieces.oversized_blocks(table(spark, folder, "summarize_md")).select("md_id", "block_no")
 
 

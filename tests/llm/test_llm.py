@@ -3,6 +3,7 @@
 import random
 import string
 
+import pyarrow as pa
 import pytest
 from conftest import DATA, compare
 
@@ -161,6 +162,20 @@ def test_cuts_prefer_boundaries_and_odd_rows(spark):
     assert pieces.oversized_blocks(df.limit(0)).count() == 0 and {r.md_id for r in pieces.oversized_blocks(df).collect()} == {5, 6}
 
 
+def test_oversized_blocks_come_from_the_cuts(spark, monkeypatch):
+    from gleanworks.functions.markdown import markdown_blocks
+    from gleanworks.session import table
+
+    df = table(spark, DATA, "summarize_md")
+    got = {(r.md_id, r.block_no) for r in pieces.oversized_blocks(df).collect()}
+    rows = {r.md_id: r for r in df.filter("content is not null").collect()}
+    assert got == {(k, no) for k, r in rows.items() if r.max_chars for no, (_, a, z) in enumerate(markdown_blocks(r.content), 1) if z - a > r.max_chars}
+    assert got < {(r.md_id, r.block_no) for r in pieces.divided_blocks(df).collect()}
+    monkeypatch.setattr(pieces, "cut_points", lambda text, *_: [len(text)])
+    none = list(pieces._blocks(iter([pa.RecordBatch.from_pylist([{"md_id": 1, "content": "word " * 99, "max_chars": 50, "overlap_chars": 0}])])))
+    assert sum(b.num_rows for b in none) == 0
+
+
 def test_long_texts_are_cut_inside_no_word_but_too_long_ones():
     rng = random.Random(3)
     for _ in range(3):
