@@ -25,17 +25,17 @@ KINDS = ("junk", "table", "list")
 
 #: Measures of a line that its shape tells; in a shape every run of letters is an ``a`` and every run of digits a ``0``.
 _COUNT = lambda sign: f"(length(x.sh) - length(replace(x.sh, {sign}, '')))"
-_CELLS = f"""greatest({_COUNT("'|'")}, {_COUNT("chr(9)")}, {_COUNT("';'")}, {_COUNT("' & '")} div 3,
-  if(instr(x.sh, ',') > 0, regexp_count(x.sh, ',(?=\\S)'), 0), if(instr(x.sh, '  ') > 0, regexp_count(x.sh, '\\S {{2,}}(?=\\S)'), 0))"""
+#: The number of the most frequent separator; lines without any are told by one look at their shape.
+_CELLS = rf"""if(x.sh rlike '[|;\\t&]|,\\S|  ', greatest({_COUNT("'|'")}, {_COUNT("chr(9)")}, {_COUNT("';'")}, {_COUNT("' & '")} div 3,
+  regexp_count(x.sh, ',(?=\\S)'), regexp_count(x.sh, '\\S {{2,}}(?=\\S)')), 0)"""
+#: Places where a word is broken by digits or by signs other than apostrophes and hyphens.
+_ODD = r"'a0|0a|a[^a0\\s\'’-]+a'"
 _MARK = r"x.l rlike '^\\s*([-*+•·‣◦▪–—○●■□✓]|\\[[ xX]?\\]|\\(?(\\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.)\\]:])\\s+\\S'"
 #: Per line, n: characters without the spaces around it, m: words, c: common words, a: letters and digits, v: all but
-#: spaces, one: words of one letter, long: letters in words of 25 or more, cells: the most frequent separator's number,
-#: odd: places where a word is broken by digits or signs, tag, lead: a leader of dots, mark: an entry's mark, end: ends like a sentence.
-_MEASURES = rf"""named_struct('n', bigint(x.n), 'm', size(x.w), 'c', x.c, 'a', x.a, 'one', x.one, 'long', x.long,
-  'v', length(x.l) - {_COUNT("' '")} - {_COUNT("chr(9)")}, 'cells', {_CELLS},
-  'odd', regexp_count(x.sh, 'a0|0a|a[^a0\\s\'’-]+a'), 'tag', instr(x.sh, '<a') > 0 or instr(x.sh, '</a') > 0,
-  'lead', (instr(x.sh, '....') > 0 or instr(x.sh, '. . .') > 0 or instr(x.sh, '……') > 0 or instr(x.sh, '____') > 0),
-  'mark', {_MARK}, 'end', right(rtrim(x.sh), 4) rlike '[.!?:;,…]["\')*_\\]]*$')"""
+#: spaces, cells, odd: see above, tag, lead: a leader of dots, mark: an entry's mark, end: ends like a sentence.
+_MEASURES = rf"""named_struct('n', bigint(x.n), 'm', size(x.w), 'c', x.c, 'a', x.a, 'v', length(x.l) - {_COUNT("' '")} - {_COUNT("chr(9)")},
+  'cells', {_CELLS}, 'odd', if(x.sh rlike {_ODD}, regexp_count(x.sh, {_ODD}), 0), 'tag', instr(x.sh, '<a') > 0 or instr(x.sh, '</a') > 0,
+  'lead', x.sh rlike '[.]{{4}}|[.] [.] [.]|…{{2}}|_{{4}}', 'mark', {_MARK}, 'end', right(rtrim(x.sh), 4) rlike '[.!?:;,…]["\')*_\\]]*$')"""
 
 #: Statistics that are shares of a text's characters: those in lines of which a measure reaches a level. No level decides
 #: what a line is; which of them tell the kinds apart, and how great a share must be, is learned.
@@ -45,12 +45,12 @@ LINE_SHARES = {
     "cells_of_3_words": "x.cells >= 1 and x.m <= 3 * (x.cells + 1)", "cells_of_8_words": "x.cells >= 2 and x.m <= 8 * (x.cells + 1)", "cells_from_4": "x.cells >= 3",
     "alnum_under_40": "x.a < 0.4D * x.v", "alnum_under_60": "x.a < 0.6D * x.v", "alnum_under_80": "x.a < 0.8D * x.v",
     "common_upto_5": "x.m >= 5 and x.c <= 0.05D * x.m", "common_upto_10": "x.m >= 5 and x.c <= 0.1D * x.m", "common_upto_25": "x.m >= 5 and x.c <= 0.25D * x.m",
-    "odd_from_10": "x.odd > 0 and x.odd >= 0.1D * x.m", "odd_from_30": "x.odd > 0 and x.odd >= 0.3D * x.m", "single_from_60": "x.m >= 6 and x.one >= 0.6D * x.m",
+    "odd_from_10": "x.odd > 0 and x.odd >= 0.1D * x.m", "odd_from_30": "x.odd > 0 and x.odd >= 0.3D * x.m", "letters_upto_1_6": "x.m >= 6 and x.a <= 1.6D * x.m", "letters_from_15": "x.m >= 1 and x.a >= 15 * x.m",
 }
 
 #: All statistics; the rules may use any but those of size and of layout, which tell what a text is like and not its kind.
 FEATURES = (
-    "words", "mean_word_length", "words_per_line", "line_end_share", "symbol_ratio", "digit_ratio", "upper_inside", "consonant_runs", "long_words", "common_share", "types_share", "repeated_lines", "repeated_pieces",
+    "words", "mean_word_length", "words_per_line", "line_end_share", "symbol_ratio", "digit_ratio", "upper_inside", "common_share", "types_share", "repeated_lines", "repeated_pieces",
     *LINE_SHARES,
 )
 RULE_FEATURES = FEATURES[4:]
@@ -61,29 +61,28 @@ def _once(*columns: F.Column) -> F.Column:
     return F.inline(F.array(F.struct(*columns)))
 
 
-def text_statistics(documents: DataFrame, common: list[str]) -> DataFrame:
-    """``doc_id`` and the statistics of its text; shares are of its characters unless they are of words or lines.
+def text_statistics(documents: DataFrame, common: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id`` (and columns to keep) and the statistics of its text; shares are of its characters unless they are of words or lines.
 
     Null and blank texts have 0 words and 0 in every share. A text is read whole, whatever its length.
     """
     listed = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in sorted({w.lower() for w in common if w})) or "''"
     share = lambda part, whole: f"coalesce(double({part}) / nullif({whole}, 0), 0D)"
     total = lambda x: f"aggregate(lines, 0L, (s, x) -> s + {x})"
-    df = documents.select("doc_id", F.expr(r"coalesce(text, '')").alias("text"))
+    df = documents.select("doc_id", *keep, F.expr(r"coalesce(text, '')").alias("text"))
     raw = r"""transform(split(text, '\\r\\n|\\n|\\r'), l -> named_struct('l', l, 'n', length(trim(l)), 'w', regexp_extract_all(lower(l), '[\\p{L}\\p{N}]+', 0)))"""
-    df = df.select("doc_id", "text", _once(F.expr(raw).alias("raw")))
+    df = df.select("doc_id", *keep, "text", _once(F.expr(raw).alias("raw")))
     shaped = rf"""transform(raw, r -> named_struct('l', r.l, 'n', r.n, 'w', r.w, 'c', size(filter(r.w, v -> v in ({listed}))), 'a', length(array_join(r.w, '')),
-        'one', size(filter(r.w, v -> length(v) = 1)), 'long', aggregate(r.w, 0, (s, v) -> s + if(length(v) >= 25, length(v), 0)),
         'sh', regexp_replace(regexp_replace(r.l, '\\p{{L}}+', 'a'), '\\p{{N}}+', '0')))"""
-    df = df.select("doc_id", "text", _once(F.expr(shaped).alias("raw")))
-    df = df.select("doc_id", "text", _once(
+    df = df.select("doc_id", *keep, "text", _once(F.expr(shaped).alias("raw")))
+    df = df.select("doc_id", *keep, "text", _once(
         F.expr(f"transform(raw, x -> {_MEASURES})").alias("lines"),
         F.expr("flatten(transform(raw, x -> x.w))").alias("w"),
         F.expr("filter(transform(raw, x -> x.l), v -> trim(v) != '')").alias("full"),
         F.expr(r"array_remove(split(text, '[.!?\\n\\r][.!?\\s]*|\\s{2,}'), '')").alias("pieces"),
     ))
     df = df.select("*", _once(
-        F.expr(total("x.n")).alias("n"), F.expr(total("x.c")).alias("c"), F.expr(total("x.a")).alias("alnum"), F.expr(total("x.v")).alias("visible"), F.expr(total("x.long")).alias("long"),
+        F.expr(total("x.n")).alias("n"), F.expr(total("x.c")).alias("c"), F.expr(total("x.a")).alias("alnum"), F.expr(total("x.v")).alias("visible"),
         F.expr(r"length(regexp_replace(text, '[^\\p{N}]+', ''))").alias("digits"),
     ))
     stats = _once(
@@ -94,15 +93,13 @@ def text_statistics(documents: DataFrame, common: list[str]) -> DataFrame:
         F.expr(share("greatest(visible - alnum, 0)", "n")).alias("symbol_ratio"),
         F.expr(share("digits", "n")).alias("digit_ratio"),
         F.expr(share(r"regexp_count(text, '\\p{Ll}\\p{Lu}')", "size(w)")).alias("upper_inside"),
-        F.expr(share(r"regexp_count(text, '(?i)[b-df-hj-np-tv-xz]{4}')", "size(w)")).alias("consonant_runs"),
-        F.expr(share("long", "n")).alias("long_words"),
         F.expr(share("c", "size(w)")).alias("common_share"),
         F.expr(share("aggregate(sequence(1, greatest(size(w), 1), 40), 0L, (s, i) -> s + size(array_distinct(slice(w, i, 40))))", "size(w)")).alias("types_share"),
         F.expr(share("size(full) - size(array_distinct(full))", "size(full)")).alias("repeated_lines"),
         F.expr(share("size(pieces) - size(array_distinct(pieces))", "size(pieces)")).alias("repeated_pieces"),
         *[F.expr(share(total(f"if({level}, x.n, 0)"), "n")).alias(name) for name, level in LINE_SHARES.items()],
     )
-    return df.select("doc_id", stats)
+    return df.select("doc_id", *keep, stats)
 
 
 # --- labelled documents ---------------------------------------------------------------------------------------------
@@ -399,8 +396,8 @@ def learned_case(spark: SparkSession, common: dict[str, list[str]], documents: i
     """Train on ``documents`` labelled texts and return the CASE expression."""
     texts = labelled_texts(spark, common, documents, seed, bank)
     words = [w for ws in common.values() for w in ws]
-    rows = text_statistics(texts, words).join(texts.select("doc_id", "kind"), "doc_id").orderBy("doc_id").select(*FEATURES, "kind").collect()
-    x = np.array([[float(v) for v in r[:-1]] for r in rows])
+    rows = sorted(text_statistics(texts, words, ("kind",)).select("doc_id", *FEATURES, "kind").collect())
+    x = np.array([[float(v) for v in r[1:-1]] for r in rows])
     return rules_to_sql(best_rules(x, np.array([r[-1] for r in rows]), seed))
 
 
