@@ -24,10 +24,7 @@ _LISTS = "key string, block bigint, salt int, starts array<bigint>, ends array<b
 
 
 def union_sorted(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted disjoint intervals per group; intervals that touch become one.
-
-    Runs of already sorted input are merged in linear time (the stable sort detects them).
-    """
+    """Sorted disjoint intervals per group from intervals in any order; intervals that touch become one."""
     order = np.lexsort((start, group))
     group, start, end = group[order], start[order], end[order]
     fresh = np.empty(len(group), dtype=bool)
@@ -86,26 +83,66 @@ def _partial(width: int, fan: int):
     return run
 
 
+def merge_two(a: tuple[list[int], list[int]], b: tuple[list[int], list[int]]) -> tuple[list[int], list[int]]:
+    """The union of two lists of sorted disjoint intervals (starts, ends), in one walk over both."""
+    (a_starts, a_ends), (b_starts, b_ends) = a, b
+    starts: list[int] = []
+    ends: list[int] = []
+    i = j = 0
+    while i < len(a_starts) or j < len(b_starts):
+        if j == len(b_starts) or (i < len(a_starts) and a_starts[i] <= b_starts[j]):
+            start, end = a_starts[i], a_ends[i]
+            i += 1
+        else:
+            start, end = b_starts[j], b_ends[j]
+            j += 1
+        if starts and start <= ends[-1]:
+            if end > ends[-1]:
+                ends[-1] = end
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+class _Tree:
+    """Lists of one (key, block), merged two of a rank at a time, so each interval takes part in few merges."""
+
+    def __init__(self):
+        self.ranks: list[tuple[list[int], list[int]] | None] = []
+
+    def add(self, new: tuple[list[int], list[int]]) -> None:
+        for k, held in enumerate(self.ranks):
+            if held is None:
+                self.ranks[k] = new
+                return
+            new, self.ranks[k] = merge_two(held, new), None
+        self.ranks.append(new)
+
+    def whole(self) -> tuple[list[int], list[int]]:
+        out: tuple[list[int], list[int]] = ([], [])
+        for held in self.ranks:
+            if held is not None:
+                out = merge_two(out, held) if out[0] else held
+        return out
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge lists with lists; rows come sorted by (key, block), so only the last pair of a batch stays open."""
-    held: pa.RecordBatch | None = None
+    """Merge lists with lists; rows come sorted by (key, block), so one pair is open at a time."""
+    schema = pa.schema([("key", pa.string()), ("block", pa.int64()), ("salt", pa.int32()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+    pair, tree, out = None, _Tree(), []
     for b in batches:
-        if b.num_rows == 0:
-            continue
-        if held is not None:
-            b = pa.Table.from_batches([held, b.select(held.schema.names).cast(held.schema)]).combine_chunks().to_batches()[0]
-        starts, ends = b.column("starts"), b.column("ends")
-        size = np.diff(starts.offsets.to_numpy())
-        number, keys, blocks = _groups(b.column("key"), b.column("block").to_numpy(zero_copy_only=False).astype(np.int64))
-        flat = np.repeat(number, size)
-        out = _pack(keys, blocks, 0, *union_sorted(flat, starts.flatten().to_numpy(zero_copy_only=False), ends.flatten().to_numpy(zero_copy_only=False)))
-        at = int(number[-1])
-        held = out.slice(at, 1)
-        rest = np.r_[np.arange(at), np.arange(at + 1, out.num_rows)]
-        if len(rest):
-            yield out.take(pa.array(rest))
-    if held is not None:
-        yield held
+        cols = [b.column(c).to_pylist() for c in ("key", "block", "starts", "ends")]
+        for key, block, starts, ends in zip(*cols, strict=True):
+            if (key, block) != pair:
+                if pair is not None:
+                    out.append((*pair, 0, *tree.whole()))
+                pair, tree = (key, block), _Tree()
+            tree.add((starts, ends))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(list(zip(*out, strict=True)) or [[]] * 5, schema, strict=True)], schema=schema)
+        out = []
+    if pair is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((*pair, 0, *tree.whole()), schema, strict=True)], schema=schema)
 
 
 def disjoint_lists(df: DataFrame, key: str, start: str, end: str, block_ms: int = HOUR_MS, fan: int = 16) -> DataFrame:

@@ -54,3 +54,32 @@ def test_segments_that_count(spark):
     rows = [("m", 1.0004, 2.0), ("m", 2.0, 2.0), ("m", 3.0, 1.0), ("m", nan, 2.0), ("m", 1.0, nan), ("m", None, 1.0), ("m", 0.0, 1e300)]
     df = spark.createDataFrame([(*r, "key") for r in rows], "media_id string, start_s double, end_s double, key string")
     assert [tuple(r) for r in speech_intervals(df).collect()] == [("m", 1000, 2000)]
+
+
+def test_merging_two_lists_is_a_walk_over_both():
+    import random
+
+    from gleanworks.operators.intervals import _Tree, merge_two
+
+    rng = random.Random(3)
+
+    def some():
+        cuts = sorted(rng.sample(range(200), 2 * rng.randint(0, 12)))
+        return cuts[::2], cuts[1::2]
+
+    def union(*lists):
+        out = []
+        for s, e in sorted(x for starts, ends in lists for x in zip(starts, ends)):
+            if out and s <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], e)
+            else:
+                out.append([s, e])
+        return [x for x, _ in out], [x for _, x in out]
+
+    for _ in range(300):
+        parts = [some() for _ in range(rng.randint(1, 9))]
+        assert merge_two(parts[0], parts[-1]) == union(parts[0], parts[-1])
+        tree = _Tree()
+        for x in parts:
+            tree.add(x)
+        assert tree.whole() == union(*parts)
