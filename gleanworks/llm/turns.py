@@ -2,8 +2,8 @@
 
 One Aho-Corasick automaton finds names of people, label words, hesitation sounds, filler phrases and words of
 sound notes in a text. Context rules decide what a match means: a name is a label only at the opening of a text
-and with the marks of a label around it, a bracket is a note unless it holds a person or a time, a doubtful word
-is a filler only if it is set off. What is no speech is subtracted as intervals. Turns are then built by windows
+and with the marks of a label around it, a bracket is a note if it holds a word of sound notes, a doubtful word is a
+filler only if it is set off. What is no speech is subtracted as intervals. Turns are then built by windows
 over blocks of an hour, with the state that enters a block carried over from the blocks before it, so that no
 task orders a whole recording.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanworks.operators.intervals import HOUR_MS, millis
-from gleanworks.session import cut_lineage
+from gleanworks.session import cut_lineage, salted_join
 
 #: Hesitation sounds (letters marked + may be drawn out).
 HESITATIONS = "u+h+ u+m+ u+h+m+ e+r+m+ h+m+ m+h+m+ mm-h+m+ u+h+-huh u+h+-uh m+h+ m+m+ e+h+ e+h+m+ e+m+ e+u+h+ h+e+u+ h+u+m+ ä+h+ ä+h+m+ ö+h+m+ a+h+m+ h+ä+".split()
@@ -27,15 +27,21 @@ HESITATIONS = "u+h+ u+m+ u+h+m+ e+r+m+ h+m+ m+h+m+ mm-h+m+ u+h+-huh u+h+-uh m+h+
 PHRASES = "you know|i mean|sort of|kind of|tu vois|vous voyez|o sea|sozusagen".split("|")
 #: Words that are fillers only if a comma, dots or another filler sets them off.
 DOUBTFUL = "like well enfin quoi ben halt also este pues bueno".split()
-#: Words of sound notes.
-NOTES = "music musique musik música applause applaus applaudissements aplausos laughter laughs rires lachen risas noise bruit geräusch ruido inaudible unverständlich crosstalk sighs coughs tousse hustet tose rings closes silence".split()
+#: Words of sound notes. A bracket of any kind and length that holds one is a note.
+NOTES = (
+    "music musique musik música applause applaus applaudissements aplausos laughter laughs laughing rires lachen risas noise bruit geräusch ruido inaudible unintelligible unverständlich "
+    "crosstalk sighs sighing coughs coughing tousse hustet tose rings ringing closes slams silence stille static beep beeps barks barking chuckles chuckling cheering cheers gasps groans "
+    "sneezes sniffs sobbing footsteps knocking whistles whistling"
+).split()
 #: Hesitations that are words of a language too, by the beginning of its code.
 ALSO_WORDS = {"um": "de", "er": "de", "em": "pt", "hum": "xx"}
 
 TIME = re.compile(
     r"[\[(<]?(?<![\w:.])(?:\d+h\d{1,2}m\d{1,2}s|\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?)(?![\w:])[\])>]?(?:\s*-->)?(?:\s*\d{1,2}:\d{2}:\d{2}[.,]\d{1,3})?"
 )
-BRACKET = re.compile(r"\(\([^()]{0,80}\)\)|\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|\{[^{}]{0,80}\}|<[^<>]{0,80}>|(?<![\w*])\*[^*\s][^*]{0,40}\*(?![\w*])|♪+")
+BRACKET = re.compile(r"\(\([^()]*\)\)|\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}|<[^<>]*>|(?<![\w*])\*[^*\s][^*]*\*(?![\w*])|♪+")
+#: Runs of one letter beyond the longest spelling in the automaton.
+DRAWN = re.compile(r"([^\W\d_])\1{5,}")
 OPENING = re.compile(r"(?:\s|>>|[-–—]\s)*")
 #: What may follow a name to make it a label, by what stands before it.
 CLOSERS = {
@@ -55,7 +61,7 @@ COUNTED = re.compile(r"\b(a|an|some|this|that|what|any) $")
 
 
 def drawn_out(pattern: str, most: int = 5) -> set[str]:
-    """The spellings of a hesitation in which one marked letter, or none, is repeated."""
+    """The spellings of a hesitation in which one marked letter, or none, is repeated, up to ``most`` times (texts are shortened to that)."""
     letters = re.findall(r"(.)(\+?)", pattern)
     plain = [x for x, _ in letters]
     out = {"".join(plain)}
@@ -83,7 +89,7 @@ def level(text: str) -> str:
 class Reader:
     """Reads one text: whose it is, and what speech is in it."""
 
-    def __init__(self, roster: list[tuple[int, str, str]]):
+    def __init__(self, roster: list[tuple[int, str, str]], notes: tuple[str, ...] = tuple(NOTES)):
         people: dict[str, set[tuple[str, str]]] = {}
         self.number = {int(no): label for no, label, _ in roster if no is not None}
         for _, label, name in roster:
@@ -96,7 +102,7 @@ class Reader:
                 slips.setdefault(slip, set()).update(who)
         self.firsts = [(part, label) for part, who in people.items() for label, role in who if role == "first"]
         people |= slips
-        kinds: dict[str, tuple[str, object]] = {w: ("note", None) for w in NOTES}
+        kinds: dict[str, tuple[str, object]] = {level(w): ("note", None) for w in notes}
         kinds |= {w: ("doubtful", None) for w in DOUBTFUL} | {w: ("phrase", None) for w in PHRASES}
         kinds |= {w: ("sound", None) for p in HESITATIONS for w in drawn_out(p)}
         kinds |= {w: ("stem", None) for w in ("speaker", "spk", "sprecher", "locuteur", "hablante")}
@@ -108,6 +114,14 @@ class Reader:
 
     def matches(self, low: str) -> list[tuple[int, int, str, object]]:
         """Whole words and phrases that the automaton finds, from left to right, the longest of those that overlap."""
+        if DRAWN.search(low):
+            # letters drawn out further than any spelling are shortened, and places mapped back
+            places, at = [], 0
+            for m in DRAWN.finditer(low):
+                places += range(at, m.start() + 5)
+                at = m.end()
+            places += range(at, len(low) + 1)
+            return [(places[a], places[z - 1] + 1 if z < len(places) and places[z] == places[z - 1] + 1 else places[z], *rest) for a, z, *rest in self.matches("".join(low[i] for i in places[:-1]))]
         found = []
         for end, (size, kind, what) in self.automaton.iter(low):
             start, stop = end - size + 1, end + 1
@@ -169,9 +183,9 @@ class Reader:
         hits = self.matches(low)
         speaker, begin = self.label(low, {h[0]: h for h in hits})
         out = [(0, begin)] + [m.span() for m in TIME.finditer(low, begin)]
+        notes = [h[0] for h in hits if h[2] == "note"]
         for m in BRACKET.finditer(low, begin):
-            inside = m[0].strip("[](){}<>*♪ ")
-            if m[0][0] != "(" or len(inside.split()) <= 3 or any(m.start() <= h[0] < m.end() and h[2] == "note" for h in hits):
+            if m[0][0] == "♪" or any(m.start() < at < m.end() for at in notes):
                 out.append(m.span())
         short = (lang or "").lower()[:2]
         gone = None
@@ -208,9 +222,9 @@ def subtract(text: str, spans: list[tuple[int, int]]) -> str:
 _PARSED = "media_id string, seg_id bigint, start_ms bigint, end_ms bigint, label string, speech string"
 
 
-def _parse(roster: list[tuple]):
+def _parse(roster: list[tuple], notes: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(roster)
+        reader = Reader(roster, notes)
         for b in batches:
             read = [reader.read(t, g) for t, g in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True)]
             cols = [b.column(c) for c in ("media_id", "seg_id", "start_ms", "end_ms")]
@@ -222,7 +236,7 @@ def _parse(roster: list[tuple]):
     return run
 
 
-def speaker_turns(segments: DataFrame, roster: DataFrame, pause_ms: int = HOUR_MS, block_ms: int = HOUR_MS, max_roster: int = 20_000) -> DataFrame:
+def speaker_turns(segments: DataFrame, roster: DataFrame, pause_ms: int = HOUR_MS, block_ms: int = HOUR_MS, max_roster: int = 20_000, notes: tuple[str, ...] = tuple(NOTES)) -> DataFrame:
     """Segments that hold speech, each with its speaker and the number of its turn.
 
     Input: ``media_id, seg_id, start_s, end_s, text, lang`` and a roster ``speaker_no, diar_label, full_name`` of at
@@ -230,7 +244,7 @@ def speaker_turns(segments: DataFrame, roster: DataFrame, pause_ms: int = HOUR_M
     ``media_id, seg_id, start_ms, end_ms, speaker, speech, turn`` with turn rising in the order of a recording.
 
     A row counts if media_id, seg_id and both bounds are present and the end is after the start; of rows with one
-    media_id and seg_id and equal bounds one counts. A segment without a word (null, blank, only label, times, sounds
+    media_id and seg_id and equal bounds that with the greatest speech counts. ``notes`` are the words of sound notes. A segment without a word (null, blank, only label, times, sounds
     and notes) carries neither label nor turn, but its end counts for pauses. After a pause of ``pause_ms`` the
     speaker is unknown until the next label. Ties in time go by seg_id. Further columns are ignored, an empty table
     gives no row, and a text of any length is read whole.
@@ -249,9 +263,10 @@ def speaker_turns(segments: DataFrame, roster: DataFrame, pause_ms: int = HOUR_M
 
     in_block = Window.partitionBy("media_id", "block").orderBy("start_ms", "end_ms", "seg_id")
     so_far = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    rows = valid.mapInArrow(_parse([tuple(p) for p in people]), _PARSED).withColumn("block", block)
-    rows = rows.dropDuplicates(["media_id", "block", "start_ms", "end_ms", "seg_id"])
-    rows = rows.repartition("media_id", "block").join(reach, ["media_id", "block"])
+    rows = valid.mapInArrow(_parse([tuple(p) for p in people], notes), _PARSED).withColumn("block", block).repartition("media_id", "block")
+    # in the order of the windows below, so that it is sorted once
+    rows = rows.groupBy("media_id", "block", "start_ms", "end_ms", "seg_id").agg(F.max(F.struct("speech", "label")).alias("x"))
+    rows = rows.select("media_id", "block", "start_ms", "end_ms", "seg_id", "x.*").join(reach, ["media_id", "block"])
     latest = F.greatest("reach_before", F.max("end_ms").over(in_block.rowsBetween(Window.unboundedPreceding, -1)))
     spoken = F.col("speech") != ""
     rows = rows.withColumn("pause", F.coalesce(F.col("start_ms") - latest >= pause_ms, F.lit(False)).cast("int"))
@@ -299,10 +314,15 @@ def turn_bounds(turns: DataFrame) -> DataFrame:
     )
 
 
-def turn_texts(turns: DataFrame) -> DataFrame:
-    """One row per turn with its clean text; a turn is one value of the result, so its segments meet in one row."""
+def turn_texts(turns: DataFrame, part_ms: int = HOUR_MS) -> DataFrame:
+    """One row per turn with its clean text; of a turn that goes on for more than ``part_ms`` one row per ``part`` of that length.
+
+    So no row and no task holds more speech than is begun in that time.
+    """
+    begins = turns.groupBy("media_id", "turn").agg(F.min("start_ms").alias("begin"))
+    rows = salted_join(turns, begins, ["media_id", "turn"], "seg_id").withColumn("part", F.floor((F.col("start_ms") - F.col("begin")) / part_ms).cast("int"))
     parts = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "seg_id", "speech")))
-    return turns.groupBy("media_id", "turn").agg(
+    return rows.groupBy("media_id", "turn", "part").agg(
         F.first("speaker").alias("speaker"),
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),

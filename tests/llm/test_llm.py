@@ -203,6 +203,8 @@ ROSTER = [(1, "SPEAKER_01", "Ada Quill"), (2, "SPEAKER_02", "Bo Marten"), (12, "
         ("Celo: swapped letters", "SPEAKER_12", "swapped letters"),
         ("Ada, come here.", None, "Ada, come here."), ("Question: who is Bo?", None, "Question: who is Bo?"), ("Nobody Marten: no", None, "Nobody Marten: no"), ("", None, ""), (None, None, ""), ("♪ ♪", None, ""),
         ("mm-hmm, uh-huh", None, ""), ("I like trains", None, "I like trains"), ("spk_01 - 00:00:57,746 --> it starts", "SPEAKER_01", "it starts"), ("Speaker 99: unknown", None, "Speaker 99: unknown"),
+        ("I *really* mean it", None, "I *really* mean it"), ("(I think so) yes", None, "(I think so) yes"), ("we met [Bo Marten] there", None, "we met [Bo Marten] there"), ("Ada: *yes*", "SPEAKER_01", "*yes*"),
+        ("ummmmmmmmmm we go", None, "we go"), ("well uhhhhhhh, hmmmmmmmmm. soooooooo long", None, "well. soooooooo long"), (f"so [a note of {'very ' * 30} loud music] it ends", None, "so it ends"), (f"so *{'a ' * 40} cough coughs* on", None, "so on"),
     ],
 )
 def test_reading_a_segment(text, who, speech):
@@ -243,6 +245,13 @@ def test_turns_equal_brute_force_over_many_blocks(spark):
     assert turns.speaker_turns(spark.createDataFrame([], schema), roster).count() == 0
 
 
+def test_long_turns_come_in_parts(spark):
+    rows = [("a", k, k * 600.0, k * 600.0 + 500, f"Ada: part {k}" if k == 0 else f"part {k}", "en") for k in range(20)] + [("a", 30, 0.0, 500.0, "", "en"), ("a", 0, 0.0, 500.0, "Ada: a part", "en")]
+    df = spark.createDataFrame(rows, "media_id string, seg_id bigint, start_s double, end_s double, text string, lang string")
+    out = turns.turn_texts(turns.speaker_turns(df, spark.createDataFrame(ROSTER, "speaker_no int, diar_label string, full_name string"))).orderBy("part").collect()
+    assert [r.part for r in out] == [0, 1, 2, 3] and [r.segments for r in out] == [6, 6, 6, 2] and " ".join(r.text for r in out) == " ".join(f"part {k}" for k in range(20))
+
+
 # --- survivors ---------------------------------------------------------------------------------------------------------
 
 
