@@ -9,6 +9,7 @@ left is packed greedily, again class by class. Tasks then look up the context of
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,22 +20,26 @@ from pyspark.sql import functions as F
 
 from gleanworks.session import cut_lineage
 
+MOST_PROFILES = 1000
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that this vocabulary's merges start from.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def encoding(path: str = TOKENIZER):
+def encoding(path: str = TOKENIZER, content: bytes | None = None):
+    """The tokenizer whose vocabulary is at a path, or is given."""
     import tiktoken
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    if content is None:
+        with open(path, "rb") as file:
+            content = file.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
     return tiktoken.Encoding("gleanworks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _count(path: str):
+def _count(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = encoding(content=zlib.decompress(vocabulary.value)).encode_ordinary
         for b in batches:
             sizes = [len(encode(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64())], names=["doc_id", "tokens"])
@@ -43,9 +48,14 @@ def _count(path: str):
 
 
 def token_sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """``doc_id, tokens`` of every document, one row per doc_id; null and empty texts have 0 tokens."""
+    """``doc_id, tokens`` of every document, one row per doc_id; null and empty texts have 0 tokens.
+
+    The driver reads the vocabulary and sends it to the tasks as a broadcast (a fixed size), so no worker needs the file.
+    """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_count(path), f"doc_id {kind}, tokens bigint")
+    with open(path, "rb") as file:
+        vocabulary = documents.sparkSession.sparkContext.broadcast(zlib.compress(file.read()))
+    rows = documents.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_count(vocabulary), f"doc_id {kind}, tokens bigint")
     return rows.groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 
@@ -205,8 +215,13 @@ def fill_contexts(sizes: DataFrame, capacity: int, chunks: int = 64) -> DataFram
 
 
 def packed_documents(documents: DataFrame, budgets: DataFrame, profiles: tuple[str, ...] | None = None, path: str = TOKENIZER) -> DataFrame:
-    """``fill_contexts`` for every profile of ``budgets`` (or those named), with a column ``profile``; sizes are counted once."""
-    rows = budgets.filter("profile is not null and capacity_tokens > 0").groupBy("profile").agg(F.max("capacity_tokens")).orderBy("profile").limit(1000).collect()
+    """``fill_contexts`` for every profile of ``budgets`` (or those named), with a column ``profile``; sizes are counted once.
+
+    Each profile is planned on the driver; more than MOST_PROFILES raise ValueError.
+    """
+    rows = budgets.filter("profile is not null and capacity_tokens > 0").groupBy("profile").agg(F.max("capacity_tokens")).orderBy("profile").limit(MOST_PROFILES + 1).collect()
+    if len(rows) > MOST_PROFILES:
+        raise ValueError(f"more than {MOST_PROFILES} profiles")
     sizes = cut_lineage(token_sizes(documents, path))
     out = None
     for profile, capacity in rows:
@@ -219,8 +234,9 @@ def packed_documents(documents: DataFrame, budgets: DataFrame, profiles: tuple[s
 
 
 def divided_texts(packed: DataFrame) -> DataFrame:
-    """The documents of a packing that had to be divided."""
-    return packed.filter("part > 0").select("doc_id").distinct()
+    """The documents of which the finished contexts hold parts, each in another context, since no context holds the whole."""
+    held = packed.filter("context_id is not null").groupBy("doc_id").agg(F.min("context_id").alias("first"), F.max("context_id").alias("last"))
+    return held.filter("first != last").select("doc_id")
 
 
 def fill_report(packed: DataFrame, budgets: DataFrame) -> DataFrame:

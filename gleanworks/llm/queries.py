@@ -125,7 +125,7 @@ QUERIES = {
 SQL = {
     "p5_found": """
 with rows_once as (
-  select group_id, review_id, coalesce(r.saved_at, timestamp '1970-01-01') as recent, coalesce(o.trust_rank, 2147483647) as trust,
+  select group_id, review_id, coalesce(r.saved_at, timestamp '1700-01-01') as recent, coalesce(o.trust_rank, 2147483647) as trust,
          paths, regexp_replace(lower(regexp_replace(decision, '^\\s+|\\s+$', '', 'g')), '[\\s_-]+', '_', 'g') as word
   from (select *, row_number() over (partition by review_id order by saved_at desc nulls last) as rn from review_server) r
   left join record_origins o on r.origin = o.origin

@@ -23,7 +23,8 @@ from pyspark.sql.functions import pandas_udf
 DECIDED = ("reviewed", "kept_all", "skipped")
 #: Texts that stand for no value.
 PLACEHOLDERS = ("", "-", "none", "null", "n/a", "na", "nan", "unknown", "?")
-OLDEST = "1970-01-01"
+#: A missing date, older than any: dates that are present count as a day later at least (the epoch is a date like others).
+MISSING, OLDEST = "1700-01-01", "1700-01-02"
 
 
 def one_spelling(path: str | None) -> str | None:
@@ -66,16 +67,16 @@ def clean_records(records: DataFrame, origins: DataFrame) -> DataFrame:
     """Review records with one spelling per value, the rank of their origin, and no repeated row.
 
     Of rows with one review_id the one saved last counts (a row delivered twice). A missing origin, or one that has
-    no rank, ranks last; a missing saved_at is as old as the oldest date.
+    no rank, ranks last; a missing saved_at is older than any date, also than the epoch.
     """
     ranks = origins.groupBy("origin").agg(F.min("trust_rank").alias("trust"))
-    last = F.struct(F.coalesce("saved_at", F.lit(OLDEST).cast("timestamp_ntz")).alias("recent"), "paths", "decision", "kept", "method", "threshold", "origin")
+    last = F.struct(F.coalesce(F.greatest(F.col("saved_at").cast("timestamp_ntz"), F.when(F.col("saved_at").isNotNull(), F.lit(OLDEST).cast("timestamp_ntz"))), F.lit(MISSING).cast("timestamp_ntz")).alias("recent"), "paths", "decision", "kept", "method", "threshold", "origin")
     rows = records.filter("group_id is not null and review_id is not null").groupBy("group_id", "review_id").agg(F.max(last).alias("x"))
     rows = rows.select("group_id", "review_id", "x.*").join(ranks, "origin", "left")
     return rows.select(
         "group_id",
         "review_id",
-        F.greatest("recent", F.lit(OLDEST).cast("timestamp_ntz")).alias("recent"),
+        "recent",
         F.coalesce("trust", F.lit(2**31 - 1)).alias("trust"),
         distinct_files("paths").alias("paths"),
         decision_word("decision").alias("decision"),

@@ -274,6 +274,16 @@ def test_survivors_ties_nulls_and_a_hot_group(spark):
     assert whole["none"].decision is None and whole["alone"].paths == ["x"]
 
 
+def test_a_missing_date_is_older_than_the_epoch(spark):
+    import datetime as dt
+
+    rows = [("g", 1, ["a"], "reviewed", "x", None), ("g", 2, ["b"], "skipped", "x", dt.datetime(1970, 1, 1)), ("h", 3, ["a"], "reviewed", "x", dt.datetime(1969, 1, 1)), ("h", 4, ["b"], "skipped", "x", None), ("t", 6, ["a"], "skipped", "x", None), ("t", 5, ["a"], "skipped", "x", None)]
+    records = spark.createDataFrame([(g, i, None, None, p, d, None, o, s) for g, i, p, d, o, s in rows], "group_id string, review_id bigint, method string, threshold int, paths array<string>, decision string, kept array<string>, origin string, saved_at timestamp_ntz")
+    clean = survivors.clean_records(records, spark.createDataFrame([("x", 1)], "origin string, trust_rank int"))
+    assert {(r.group_id, r.field): r.review_id for r in survivors.field_survivors(clean).collect()} == {("g", "decision"): 2, ("g", "paths"): 2, ("h", "decision"): 3, ("h", "paths"): 3, ("t", "decision"): 5, ("t", "paths"): 5}
+    assert survivors.surviving_records(clean).count() == 3
+
+
 # --- bins --------------------------------------------------------------------------------------------------------------
 
 
