@@ -671,12 +671,13 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, _PARAGRAPHS, _PARAGRAPH_KINDS)
 
 
-def repaired_paragraphs(pages: DataFrame, block: int = 256) -> DataFrame:
-    """``output_file, first_page, first_page_id, no, pages, text``: continuous paragraphs, without furniture, words whole and put right.
+def repaired_paragraphs(pages: DataFrame, block: int = 256, part_pages: int = 64) -> DataFrame:
+    """``output_file, first_page, first_page_id, no, part, pages, text``: continuous paragraphs, without furniture, words whole and put right.
 
     A paragraph that a page ends in the middle of goes on with the first one of the next page. Headings, list entries
-    and rows of tables stay lines of their own. Rows are in the order of first_page, first_page_id and no. Pages of one
-    file are joined over blocks of ``block`` page numbers, so no task holds all pages of a file.
+    and rows of tables stay lines of their own. Rows are in the order of first_page, first_page_id, no and part. Pages of
+    one file are joined over blocks of ``block`` page numbers, and a paragraph that runs over more than ``part_pages``
+    pages (text that never ends a sentence) comes in parts of so many, so no task holds all pages of a file.
     """
     found = repaired_lines(pages)
     fixes = found["wrong_words"].groupBy("page_id").agg(F.collect_set(F.struct("line_no", "word", "right")).alias("fixes"))
@@ -706,5 +707,6 @@ def repaired_paragraphs(pages: DataFrame, block: int = 256) -> DataFrame:
     whole = parts.join(page, "page_id").withColumn("key", F.when(F.expr("no = 1 and continues and from is not null"), F.col("from")).otherwise(key))
     pieces = F.array_sort(F.collect_list(F.struct("page_no", "page_id", "glue", "text")))
     text = F.aggregate("p", F.struct(F.lit("").alias("t"), F.lit(True).alias("g")), lambda a, x: F.struct(F.concat(a["t"], F.when(a["g"], "").otherwise(" "), x["text"]).alias("t"), x["glue"].alias("g")))["t"]
-    done = whole.groupBy("output_file", "key").agg(pieces.alias("p"))
-    return done.select("output_file", F.col("key.page_no").alias("first_page"), F.col("key.page_id").alias("first_page_id"), F.col("key.no").alias("no"), F.size("p").alias("pages"), text.alias("text"))
+    part = F.floor((F.col("page_no") - F.col("key.page_no")) / part_pages).cast("int")
+    done = whole.groupBy("output_file", "key", part.alias("part")).agg(pieces.alias("p"))
+    return done.select("output_file", F.col("key.page_no").alias("first_page"), F.col("key.page_id").alias("first_page_id"), F.col("key.no").alias("no"), "part", F.size("p").alias("pages"), text.alias("text"))

@@ -126,6 +126,14 @@ def test_paragraphs_are_whole(spark):
     assert any(r.pages == 2 and "nobody came and so the" in r.text for r in out)
 
 
+def test_endless_paragraphs_come_in_parts(spark):
+    rng = random.Random(14)
+    rows = [("endless", k, _filler(rng, 3).replace(".", "").lower()) for k in range(1, 151)]
+    out = scans.repaired_paragraphs(pages(spark, rows)).orderBy("part").collect()
+    assert [(r.first_page, r.part, r.pages) for r in out] == [(1, 0, 64), (1, 1, 64), (1, 2, 22)]
+    assert " ".join(r.text for r in out).split() == [w for _, _, t in rows for w in t.split()]
+
+
 def test_numbers_and_skeletons():
     assert [scans.number_of(x) for x in ("— 12 —", "- l2 -", "p. 120", "[4]", "xiv", "7 / 19", "Page lO", "the", "3 apples")] == [12, 12, 120, 4, 14, 7, 10, None, None]
     assert scans.skeleton("modern") == scans.skeleton("rnoclern") and scans.skeleton("Fall") == scans.skeleton("tal1") != scans.skeleton("full")
