@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanworks.functions.text import srt_time
+from gleanworks.operators import sequence
+from gleanworks.session import salted_join
 
 
 def attribute_segments(segments: DataFrame, turns: DataFrame, width_s: float = 60.0) -> DataFrame:
@@ -39,28 +41,31 @@ def number_speakers(rows: DataFrame, speaker: str = "speaker") -> DataFrame:
 
 
 def speaker_runs(segments: DataFrame, part: str, order: list[str], speaker: str = "speaker", unknown: str = "Unknown") -> DataFrame:
-    """Segments with ``shown`` speaker and ``run`` number: consecutive ones of a speaker are a run.
+    """Segments with ``shown`` speaker, ``run`` number and their own number ``n``: consecutive ones of a speaker are a run.
 
     An unknown speaker belongs to the run of the known one before it; unknown ones at the beginning are a run of their
-    own. ``part`` is the timeline, ``order`` a total order in it.
+    own. ``part`` is the timeline, ``order`` a total order in it; a long timeline is cut into slices.
     """
-    w = Window.partitionBy(part).orderBy(*order)
-    known = F.last(F.when(F.col(speaker) != unknown, F.col(speaker)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = segments.withColumn("shown", F.coalesce(known, F.lit(unknown)))
-    fresh = F.coalesce((F.lag("shown").over(w) != F.col("shown")).cast("int"), F.lit(1))
-    return rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w)).drop("fresh")
+    return sequence.runs(segments, [part], order, speaker, unknown)
 
 
 def srt_blocks(segments: DataFrame, part: str, order: list[str]) -> DataFrame:
     """Subtitle blocks: number, time span and text, with the speaker before it unless null."""
-    n = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    rows = sequence.numbered(segments, [part], order)
     line = F.concat_ws(": ", "speaker", F.trim("text"))
-    block = F.concat(n.cast("string"), F.lit("\n"), srt_time("start_s"), F.lit(" --> "), srt_time("end_s"), F.lit("\n"), line, F.lit("\n"))
-    return segments.select(part, n.alias("n"), block.alias("block"))
+    block = F.concat(F.col("n").cast("string"), F.lit("\n"), srt_time("start_s"), F.lit(" --> "), srt_time("end_s"), F.lit("\n"), line, F.lit("\n"))
+    return rows.select(part, F.col("n"), block.alias("block"))
 
 
-def markdown_runs(runs: DataFrame, part: str, order: list[str]) -> DataFrame:
-    """One Markdown line per run: ``**Speaker**: text``."""
+def markdown_runs(runs: DataFrame, part: str, order: list[str], most: int = 1000) -> DataFrame:
+    """Markdown lines of runs: ``**Speaker**: text``.
+
+    A run of more than ``most`` segments gives one line per ``piece`` of so many, the speaker named in the first, so
+    that no line is unbounded. ``runs`` comes from ``speaker_runs``.
+    """
+    first = runs.groupBy(part, "run").agg(F.min("n").alias("first"))
+    rows = salted_join(runs.select(part, "run", "shown", "n", *order, "text"), first, [part, "run"], "n").withColumn("piece", F.floor((F.col("n") - F.col("first")) / most).cast("int"))
     texts = F.array_sort(F.collect_list(F.struct(*order, F.trim("text").alias("text"))))
-    rows = runs.groupBy(part, "run").agg(F.first("shown").alias("shown"), texts.alias("t"))
-    return rows.select(part, "run", F.concat(F.lit("**"), "shown", F.lit("**: "), F.array_join(F.transform("t", lambda x: x["text"]), " ")).alias("line"))
+    rows = rows.groupBy(part, "run", "piece").agg(F.first("shown").alias("shown"), texts.alias("t"))
+    text = F.array_join(F.transform("t", lambda x: x["text"]), " ")
+    return rows.select(part, "run", "piece", F.when(F.col("piece") == 0, F.concat(F.lit("**"), "shown", F.lit("**: "), text)).otherwise(text).alias("line"))

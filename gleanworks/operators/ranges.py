@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanworks.operators import sequence
+
 #: Titles that are no chapters (any case), and titles that are.
 NO_CHAPTER = r"(?i)^(\d+\.\d+|Glossary|References|Index|Solutions|Review Questions|Critical Thinking Questions|Self-Check Questions|Key Concepts)"
 CHAPTER = r"^(Chapter\s+\d+|Appendix\s+[A-Z])"
@@ -48,16 +50,23 @@ def pages_of(specs: DataFrame) -> DataFrame:
 
 
 def numbered_names(rows: DataFrame, part: str, order: list[str], name: str) -> DataFrame:
-    """Names with a running number, padded with zeros to the width of the last one."""
-    w = Window.partitionBy(part)
-    n = F.row_number().over(w.orderBy(*order)).cast("string")
-    width = F.length(F.count("*").over(w).cast("string"))
-    return rows.withColumn("numbered", F.concat(F.lpad(n, width, "0"), F.lit("_"), F.col(name)))
+    """Names with a running number, padded with zeros to the width of the last one. ``order`` is total; a long part is cut into slices."""
+    counted = sequence.numbered(rows, [part], order, "_n", "_total")
+    width = F.length(F.col("_total").cast("string"))
+    return counted.withColumn("numbered", F.concat(F.lpad(F.col("_n").cast("string"), width, "0"), F.lit("_"), F.col(name))).drop("_n", "_total")
 
 
 def progress(rows: DataFrame, part: str, order: list[str], seconds: str) -> DataFrame:
-    """Percent done and seconds left, from the mean time so far, after each row."""
-    w = Window.partitionBy(part)
-    k, n = F.row_number().over(w.orderBy(*order)), F.count("*").over(w)
-    mean = F.avg(seconds).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("percent", F.floor(k * 100 / n)).withColumn("seconds_left", mean * (n - k))
+    """Percent done and seconds left, from the mean time so far, after each row. ``order`` is total; a long part is cut into slices."""
+    cut = sequence.sliced(rows, [part], order)
+    over = Window.partitionBy(part)
+    sums = cut.groupBy(part, "slice").agg(F.count("*").alias("_rows"), F.sum(seconds).alias("_sum"), F.count(seconds).alias("_timed"))
+    earlier = over.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_rows", "_sum", "_timed")]
+    sums = sums.select(part, "slice", *before, F.sum("_rows").over(over).alias("_total"))
+    inside = Window.partitionBy(part, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = sequence.same_keys(cut, sums, [part, "slice"])
+    k = F.count("*").over(inside) + F.col("_rows_before")
+    mean = (F.coalesce(F.sum(seconds).over(inside), F.lit(0)) + F.col("_sum_before")) / F.nullif(F.count(seconds).over(inside) + F.col("_timed_before"), F.lit(0))
+    out = cut.withColumn("percent", F.floor(k * 100 / F.col("_total"))).withColumn("seconds_left", mean * (F.col("_total") - k))
+    return out.drop("slice", "_rows_before", "_sum_before", "_timed_before", "_total")

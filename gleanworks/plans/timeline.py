@@ -73,7 +73,7 @@ SQL = {
       select a.media_id, a.seg_id, coalesce(o.speaker, m.speaker) as speaker from a left join o using (media_id, seg_id) left join m using (media_id, seg_id)""",
     "speaker_numbers": "select speaker, 'Speaker ' || row_number() over (order by speaker) as label from (select distinct event_type as speaker from events where event_type is not null)",
     "speaker_runs": f"with {_RUNS} select user_id, run, min(shown) as shown, count(*) as segments from r group by user_id, run",
-    "markdown_transcript": f"with {_RUNS} select user_id, run, '**' || min(shown) || '**: ' || string_agg(cast(event_id as varchar), ' ' order by ts, event_id) as line from r group by user_id, run",
+    "markdown_transcript": f"with {_RUNS} select user_id, run, 0 as piece, '**' || min(shown) || '**: ' || string_agg(cast(event_id as varchar), ' ' order by ts, event_id) as line from r group by user_id, run",
     "srt_lines": f"""with {_SEG}, n as (select *, row_number() over (partition by media_id order by s, e, seg_id) as n, cast(floor(s * 1000 + 1e-6) as bigint) as ms_a, cast(floor(e * 1000 + 1e-6) as bigint) as ms_b from s where s >= 0)
       select media_id, n, n || chr(10) || {_TIME.format('a')} || ' --> ' || {_TIME.format('b')} || chr(10) || concat_ws(': ', case when seg_id % 3 = 0 then 'Speaker 1' end, trim(coalesce(t, ''), ' ')) || chr(10) as block from n""",
     "speaker_count": "select user_id, count(distinct event_type) as speakers from events group by user_id",
