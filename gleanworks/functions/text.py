@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,12 @@ INLINE = (
 )
 #: Pauses after spoken segments, in milliseconds.
 PAUSES = {"h1": 900, "h2": 700, "h3": 500, "para": 400, "list": 150}
-#: Entities that cells of tables may hold; the ampersand comes last.
-ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&euro;", "€"), ("&amp;", "&"))
+#: Entities by name with their semicolon, and the old names that stand without one, from the standard library.
+NAMED = {k: v for k, v in html5.items() if k.endswith(";")}
+OLD_NAMES = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+ENTITY = "&(?:#[0-9]{1,9};?|#[xX][0-9a-fA-F]{1,8};?|[A-Za-z][A-Za-z0-9]{1,31};|(?:" + "|".join(OLD_NAMES) + "))"
+#: Numbers of the control signs that stand for signs of a Windows code page.
+_WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") for n in range(0x80, 0xA0) if bytes([n]).decode("cp1252", "ignore")}
 
 
 def _col(c: str | Column) -> Column:
@@ -88,12 +94,34 @@ def spoken_segments(texts: DataFrame, key: str, content: str) -> DataFrame:
     return rows.select(key, F.row_number().over(order).alias("no"), "text", "pause_ms")
 
 
+def _entity(x: Column) -> Column:
+    """The sign that an entity stands for; an unknown name stays as it is, a number beyond all signs is the replacement sign."""
+    named = F.create_map(*[F.lit(y) for k, v in html5.items() for y in ("&" + k, v)])
+    windows = F.create_map(*[F.lit(y) for pair in _WINDOWS.items() for y in pair])
+    hexa = F.nullif(F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+)", 1), F.lit(""))
+    n = F.coalesce(F.conv(hexa, 16, 10), F.nullif(F.regexp_extract(x, "^&#([0-9]+)", 1), F.lit(""))).cast("bigint")
+    bad = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    sign = F.when(bad, F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(windows, n.cast("int")), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+    return F.when(n.isNotNull(), sign).otherwise(F.coalesce(F.try_element_at(named, x), x))
+
+
+def decode_entities(c: str | Column) -> Column:
+    """A text with its HTML entities decoded: named ones, numbers, and the old names without a semicolon."""
+    col = _col(c)
+    found = F.transform(F.regexp_extract_all(col, F.lit(ENTITY), 0), _entity)
+    pieces = F.transform(F.arrays_zip(F.split(col, ENTITY, -1).alias("a"), found.alias("b")), lambda x: F.concat(x["a"], F.coalesce(x["b"], F.lit(""))))
+    return F.when(col.contains("&"), F.array_join(pieces, "")).otherwise(col)
+
+
 def clean_cell(c: str | Column) -> Column:
     """Text of an HTML cell: without tags, entities decoded, white space collapsed."""
-    out = F.regexp_replace(_col(c), r"<[^>]+>", "")
-    for name, sign in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(sign))
-    return strip(F.regexp_replace(out, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(decode_entities(F.regexp_replace(_col(c), r"<[^>]+>", "")), r"(?U)\s+", " "))
+
+
+def fenced_blocks(texts: DataFrame, key: str, content: str, language: str) -> DataFrame:
+    """``key, no, code``: the code of the fences of a language."""
+    found = F.regexp_extract_all(content, F.lit(rf"(?s)```{language}\s*\n(.*?)\n```"), 1)
+    return texts.select(key, F.posexplode(found).alias("_k", "code")).select(key, (F.col("_k") + 1).alias("no"), "code")
 
 
 def html_table(c: str | Column, prose: int = 60) -> Column:

@@ -40,6 +40,16 @@ def numbered(rows: DataFrame, part: list[str], order: list[str], n: str = "n", t
     return same_keys(cut.withColumn("_own", own), counts, [*part, "slice"]).withColumn(n, F.col("_own") + F.col("_before")).drop("_own", "_before", "slice")
 
 
+def running_sum(rows: DataFrame, part: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Rows with the sum of a value over the rows of their part up to themselves."""
+    cut = sliced(rows, part, order)
+    sums = cut.groupBy(*part, "slice").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*part).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*part, "slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*part, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return same_keys(cut, sums, [*part, "slice"]).withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_before")).drop("slice", "_before")
+
+
 def runs(rows: DataFrame, part: list[str], order: list[str], value: str, unknown: str, shown: str = "shown", run: str = "run", n: str = "n") -> DataFrame:
     """Rows with the ``shown`` value, the number of its run in the part and their own number.
 

@@ -70,9 +70,11 @@ def index_incremental(spark, folder):
 
 
 def known_hash_lookup(spark, folder):
+    """Every file of the index, and whether a file that a review kept has its content."""
     index = _index(spark, folder)
-    library = index.filter("pmod(size, 2) = 0")
-    fresh = index.filter("pmod(size, 3) = 0").select("rel", "sha256")
+    kept = table(spark, folder, "review_server").select(F.explode("kept").alias("rel")).distinct()
+    library = index.join(kept, "rel", "left_semi")
+    fresh = index.select("rel", "sha256").distinct()
     known = catalog.known_content(fresh, library).withColumn("known", F.lit(True))
     return known.unionByName(catalog.known_content(fresh, library, known=False).withColumn("known", F.lit(False))).select("rel", "sha256", "known")
 
@@ -100,10 +102,11 @@ def review_page(spark, folder):
 
 
 def move_plan(spark, folder):
+    """Every file moved to one folder under the name of its series, where files with numbers of nations lie already."""
     files = _index(spark, folder).select(F.col("rel").alias("path"), F.regexp_extract("rel", "([^/_]+)_[^/]*$", 1).alias("stem"), catalog.suffix("rel").alias("ext")).distinct()
-    files = files.select("path", F.concat_ws(".", "stem", "ext").alias("name"))
-    moved = files.filter("path like 'photos/2015/%'")
-    return catalog.move_names(moved, files.filter("path like 'photos/2016/%'").select("name").distinct())
+    lying = table(spark, folder, "nation").select(F.explode(F.array(F.concat(F.lit("IMG-"), "n_nationkey", F.lit(".jpg")), F.concat(F.lit("scan-"), F.col("n_nationkey") * 3, F.lit(".png")))).alias("name"))
+    lying = lying.unionByName(spark.createDataFrame([("IMG.jpg",), ("DSC.heic",), ("DSC-02.heic",)], "name string"))
+    return catalog.move_names(files.select("path", F.concat_ws(".", "stem", "ext").alias("name")), lying)
 
 
 QUERIES = {
@@ -151,7 +154,8 @@ SQL = {
                 from idx where length(rel) % 2 = 0 group by rel),
         j as (select s.*, o.sha256 as h, coalesce(s.size = o.size and abs(s.mtime - o.mtime) < 1e-6 and o.sha256 is not null, false) as same from scan s left join old o using (rel))
         select rel, size, mtime, case when same then h end as sha256, not same as to_hash from j""",
-    "known_hash_lookup": f"""with {_INDEX} select rel, sha256, coalesce(sha256 in (select sha256 from idx where size % 2 = 0 and sha256 is not null), false) as known from idx where size % 3 = 0""",
+    "known_hash_lookup": f"""with {_INDEX}, k as (select distinct unnest(kept) as rel from review_server), l as (select distinct sha256 from idx where sha256 is not null and rel in (select rel from k where rel is not null))
+        select rel, sha256, sha256 is not null and sha256 in (select sha256 from l) as known from (select distinct rel, sha256 from idx)""",
     "hash_places": f"with {_INDEX}, r as (select distinct sha256, rel from idx where sha256 is not null), c as (select *, count(*) over (partition by sha256) as copies from r) select sha256, rel, copies from c where copies > 1",
     "orphans": "with p as (select distinct unnest(paths) as rel from review_server) select rel from p where rel is not null and not exists (select 1 from image_index i where i.rel = p.rel)",
     "review_decisions": """with g as (select review_id as id, max(paths) as paths, max(lower(trim(decision, ' '))) as decision from review_server group by review_id),
@@ -163,9 +167,12 @@ SQL = {
                case when asked and new = 'reviewed' then (select string_agg(p, ';' order by k) from (select p, min(k) as k from (select unnest(paths) as p, generate_subscripts(paths, 1) as k) group by p) where not list_contains(keep, p)) end as to_move from d""",
     "review_page": """with g as (select distinct group_id from review_server where decision = 'pending'), k as (select group_id, row_number() over (order by group_id) as k, count(*) over () as n from g)
         select group_id from k where (k - 1) // 20 = least(2, (n + 19) // 20 - 1)""",
+    # the k-th file of a name gets the k-th of the numbers 1, 2, 3, ... that no lying file has
     "move_plan": r"""with f as (select distinct rel as path, concat_ws('.', regexp_extract(rel, '([^/_]+)_[^/]*$', 1), lower(regexp_extract(rel, '[^/]\.([^./]+)$', 1))) as name from image_index),
-        m as (select *, row_number() over (partition by name order by path) as turn from f where path like 'photos/2015/%'),
-        t as (select distinct name, 1 as taken from f where path like 'photos/2016/%'),
-        n as (select m.*, turn + coalesce(taken, 0) as n from m left join t using (name))
-        select path, name, case when n = 1 then name else regexp_extract(name, '^(.*)\.', 1) || '-' || n || '.' || regexp_extract(name, '\.([^.]*)$', 1) end as new_name from n""",
+        m as (select *, row_number() over (partition by name order by path) as k from f where path is not null),
+        lying as (select 'IMG-' || n_nationkey || '.jpg' as name from nation union select 'scan-' || n_nationkey * 3 || '.png' from nation union select * from (values ('IMG.jpg'), ('DSC.heic'), ('DSC-02.heic'))),
+        called as (select name, n, case when n = 1 then name else regexp_extract(name, '^(.*)\.', 1) || '-' || n || '.' || regexp_extract(name, '\.([^.]*)$', 1) end as new_name
+                   from (select name, unnest(range(1, count(*) + 60)) as n from m group by name)),
+        free as (select *, row_number() over (partition by name order by n) as k from called where new_name not in (select name from lying))
+        select m.path, m.name, free.new_name from m join free using (name, k)""",
 }

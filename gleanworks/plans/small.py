@@ -24,7 +24,10 @@ def folder_listing(spark, folder):
 
 
 def media_outside_thumbnails(spark, folder):
-    return _rels(spark, folder).filter(~F.array_contains(F.split("rel", "/"), "Gloksou")).select("rel")
+    """Photos and their small copies (of all in the nested folders), without the copies."""
+    rels = _rels(spark, folder)
+    copies = rels.select(F.regexp_replace("rel", "/([^/]*)$", "/thumbnails/$1").alias("rel"))
+    return catalog.outside(rels.unionByName(copies).unionByName(rels.select(F.concat(F.lit("thumbnails-of/"), "rel").alias("rel")))).select("rel")
 
 
 def outermost_folders(spark, folder):
@@ -133,7 +136,8 @@ _STEM = r"regexp_replace(rel, '([^/])\.[^./]*$', '\1')"
 SQL = {
     "folder_listing": f"""with {_R}, p as (select string_split(rel, '/') as p from r), e as (select p[2] as folder, p[3] as name, true as is_dir from p union select p[2], p[-1], false from p)
       select folder, name, is_dir, row_number() over (partition by folder order by is_dir desc, lower(name), name) as n from e""",
-    "media_outside_thumbnails": f"with {_R} select rel from r where not list_contains(string_split(rel, '/'), 'Gloksou')",
+    "media_outside_thumbnails": f"""with {_R}, c as (select rel from r union all select regexp_replace(rel, '/([^/]*)$', '/thumbnails/\\1') from r union all select 'thumbnails-of/' || rel from r)
+      select rel from c where not regexp_matches(rel, '(^|/)thumbnails/')""",
     "outermost_folders": f"""with {_R}, p as (select distinct regexp_extract(rel, '^(.*)/[^/]*$', 1) as path from r union select * from (values ('photos/2010'), ('photos/2011'), ('photos/2011/a'), ('photo')))
       select path from p where not exists (select 1 from p q where q.path <> p.path and starts_with(p.path, q.path || '/'))""",
     "file_tags": f"""with {_R} select rel, case when {_EXT} in {catalog.IMAGES} then 'image' when {_EXT} in {catalog.VIDEOS} then 'video' when {_EXT} in {catalog.AUDIO} then 'audio' when {_EXT} in {catalog.DOCUMENTS} then 'document' else 'other' end as tag,

@@ -50,7 +50,11 @@ def spoken_segments(spark, folder):
 
 
 def cell_clean(spark, folder):
-    return table(spark, folder, "documents").filter("contains(text, '<td')").select("doc_id", tx.clean_cell("text").alias("clean"))
+    """Texts with cells, whose letters are written as entities first: named, decimal and hexadecimal ones."""
+    rows = table(spark, folder, "documents").filter("contains(text, '<td')").select("doc_id", F.col("text").alias("html"))
+    for sign, entity in (("é", "&eacute;"), ("ü", "&#252;"), ("ñ", "&#xF1;"), ("r", "&#114;"), ("m", "&#x6d;"), ("a", "&#x61;"), ("ó", "&oacute;")):
+        rows = rows.withColumn("html", F.expr(f"array_join(transform(regexp_extract_all(html, '<[^>]+>|[^<]+|<', 0), x -> if(startswith(x, '<'), x, replace(x, '{sign}', '{entity}'))), '')"))
+    return rows.select("doc_id", tx.clean_cell("html").alias("clean"))
 
 
 def table_markdown(spark, folder):
@@ -86,8 +90,9 @@ def image_prefix(spark, folder):
 
 
 def mermaid_blocks(spark, folder):
-    rows = _md(spark, folder).select("md_id", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)```(\w*)\r?\n(.*?)```"), 2)).alias("k", "code"))
-    return rows.select("md_id", (F.col("k") + 1).alias("no"), F.length("code").alias("chars"))
+    """Diagrams of texts; those of the table are none, so its fences of language ini stand for them."""
+    rows = _md(spark, folder).select("md_id", F.replace("content", F.lit("```ini"), F.lit("```mermaid")).alias("content"))
+    return tx.fenced_blocks(rows, "md_id", "content", "mermaid")
 
 
 QUERIES = {
@@ -112,16 +117,10 @@ def _nested(column: str, steps: list[tuple[str, str]], flags: str = "g") -> str:
 _WS = r"[\s\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}\x{85}]"
 _STRIP = [(rf"^{_WS}+|{_WS}+$", "")]
 _INLINE = lambda c: _nested(f"replace({_nested(c, list(tx.INLINE))}, '\\', '')", _STRIP)
-_CELL = lambda c: _nested(_nested(_cells_decoded(_nested(c, [(r"<[^>]+>", "")])), [(rf"{_WS}+", " ")]), _STRIP)
+_CELL = lambda c: _nested(_nested(_nested(c, [(r"<[^>]+>", "")]), [(rf"{_WS}+", " ")]), _STRIP)
 _MD = "m as (select md_id, max(content) as content from summarize_md where content is not null group by md_id)"
 
 
-def _cells_decoded(c: str) -> str:
-    for name, sign in tx.ENTITIES:
-        c = f"replace({c}, '{name}', '{sign.replace(chr(39), chr(39) * 2)}')"
-    return c
-
-
 def _residue(c: str) -> str:
     for pattern in tx.RESIDUE:
         c = _nested(_nested(c, [(pattern.replace("(?imu)", "(?im)"), "")]), _STRIP)
@@ -147,6 +146,19 @@ SQL = {
       select md_id, row_number() over (partition by md_id order by ln) as no, text, pause_ms from e where kind <> 'rule'""",
     "cell_clean": f"select doc_id, {_CELL('text')} as clean from documents where contains(text, '<td')",
     "table_markdown": "select * from (values (1, '| a | b | c |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| 1 | x & y |  |'), (2, '> " + ("long words " * 12).strip() + "'), (3, ''), (4, ''), (5, '| a1 | \"q\" |' || chr(10) || '| --- | --- |')) t(id, markdown)",
+    # texts are cut at their tables; each table becomes rows of cells, padded to the widest, or a quotation if cells are long
+    "tables_replaced": rf"""with d as (select doc_id, text, regexp_extract_all(text, '(?is)<table\b[^>]*>.*?</table>') as tables, string_split_regex(text, '(?is)<table\b[^>]*>.*?</table>') as rest from documents where contains(text, '<table')),
+      t as (select doc_id, unnest(tables) as html, generate_subscripts(tables, 1) as k from d),
+      r as (select doc_id, k, unnest(regexp_extract_all(html, '(?is)<tr\b[^>]*>(.*?)</tr>', 1)) as row_, generate_subscripts(regexp_extract_all(html, '(?is)<tr\b[^>]*>(.*?)</tr>', 1), 1) as n from t),
+      c as (select doc_id, k, n, list_transform(regexp_extract_all(row_, '(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>', 1), lambda x: replace(replace(replace({_CELL("x")}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) as cells from r),
+      f as (select *, row_number() over (partition by doc_id, k order by n) as pos, max(len(cells)) over (partition by doc_id, k) as wide from c where len(list_filter(cells, lambda x: x <> '')) > 0),
+      a as (select doc_id, k, sum(list_sum(list_transform(cells, lambda x: length(x)))) / greatest(sum(len(list_filter(cells, lambda x: x <> ''))), 1) as average from f group by 1, 2),
+      l as (select doc_id, k, pos, case when average > 60 then '> ' || array_to_string(list_filter(cells, lambda x: x <> ''), ' | ')
+              else '| ' || array_to_string(list_concat(cells, list_transform(range(wide - len(cells)), lambda i: '')), ' | ') || ' |'
+                || case when pos = 1 then chr(10) || '|' || repeat(' --- |', wide) else '' end end as line from f join a using (doc_id, k)),
+      m as (select doc_id, k, string_agg(line, chr(10) order by pos) as markdown from l group by 1, 2),
+      p as (select d.doc_id, u.i, d.rest[u.i] || coalesce(m.markdown, '') as part from d, unnest(range(1, len(d.rest) + 1)) as u(i) left join m on m.doc_id = d.doc_id and m.k = u.i)
+      select doc_id, string_agg(part, '' order by i) as markdown from p group by 1""",
     "partial_extract": "select * from (values (1, 'plain'), (2, 'fenced'), (3, 'cut'), (4, null), (5, '12'), (6, null), (7, 'a \"quoted\" one')) t(id, summary)",
     "titles": r"""with t as (select doc_id, nullif(regexp_extract(text, '(?m)^#\s+([^\n]*)', 1), '') as title from documents)
         select doc_id, title, '---' || chr(10) || 'title: "' || replace(coalesce(title, 'un"titled'), '"', '''') || '"' || chr(10) || '---' || chr(10) || chr(10) as front from t""",
@@ -157,5 +169,5 @@ SQL = {
         l_returnflag || '_' || l_linestatus as name from l""",
     "number_lists": "select * from (values (1, '1|2|3'), (2, ''), (3, '7|8'), (4, '42')) t(id, numbers)",
     "image_prefix": "select * from (values (1, '![a](my%20doc/%C3%A9/images/x.png) <img src=\"my%20doc/%C3%A9/images/y.png\">'), (2, '![b](http://images/x.png)'), (3, 'none')) t(id, moved)",
-    "mermaid_blocks": f"with {_MD}, x as (select md_id, regexp_extract_all(content, '(?s)```(\\w*)\\r?\\n(.*?)```', 2) as c from m) select md_id, k as no, length(c[k]) as chars from (select md_id, c, unnest(range(1, len(c) + 1)) as k from x)",
+    "mermaid_blocks": rf"with {_MD}, x as (select md_id, regexp_extract_all(content, '(?s)```ini\s*\n(.*?)\n```', 1) as c from m) select md_id, k as no, c[k] as code from (select md_id, c, unnest(range(1, len(c) + 1)) as k from x)",
 }

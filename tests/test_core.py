@@ -150,3 +150,60 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_moves_equal_moving_one_by_one(spark):
+    """Names given at once are those that moving file after file would give, also for names that clash through their numbers."""
+    import random
+
+    from gleanworks.operators.catalog import move_names
+
+    rng = random.Random(5)
+    pool = ["a.jpg", "a-2.jpg", "a-2-2.jpg", "b.jpg", "c", "c-3", ".hidden", "d-1.png", "e.tar.gz"]
+    for _ in range(3):
+        moved = [(f"p{i:03}", rng.choice(pool)) for i in range(60)] + [(f"q{i:03}", "only.png") for i in range(40)]
+        existing = rng.sample(pool, 4) + ["only-2.png", "only-5.png", "only-07.png", "only-x.png", "b.jpg", "b.jpg"]
+        used, want = set(existing), {}
+        for path, name in sorted(moved):
+            stem, dot, ext = name.rpartition(".")
+            stem, ext = (stem, dot + ext) if stem else (name, "")
+            free, n = name, 1
+            while free in used:
+                n += 1
+                free = f"{stem}-{n}{ext}"
+            used.add(free)
+            want[path] = free
+        got = move_names(spark.createDataFrame(moved + [(None, "a.jpg"), ("z", None)], "path string, name string"), spark.createDataFrame([(x,) for x in existing] + [(None,)], "name string")).collect()
+        assert {r.path: r.new_name for r in got} == want
+    assert move_names(spark.createDataFrame([], "path string, name string"), spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_entities_as_the_standard_library_decodes_them(spark):
+    import html
+
+    from gleanworks.functions.text import decode_entities
+
+    rows = ["&eacute;t&eacute; &#8217; &mdash; &#x1F600; &amp;lt; &lt;", "a && b &unknown; &", "&#0; &#xD800; &#1114112; &#128;", "&copy 2020 &AMP&amp", "plain", "", None, "&NotEqualTilde;&nbsp;x"]
+    got = {r.t: r.d for r in spark.createDataFrame([(r,) for r in rows], "t string").select("t", decode_entities("t").alias("d")).collect()}
+    assert got == {r: None if r is None else html.unescape(r) for r in rows}
+
+
+def test_runs_and_numbers_over_slices(spark, monkeypatch):
+    import random
+
+    from gleanworks.operators import sequence
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "hot", "x", None]), i, rng.choice(["A", "B", "Unknown", "Unknown", None]), rng.randint(0, 9)) for i in range(600)]
+    df = spark.createDataFrame(rows, "part string, i int, who string, v int").repartition(7)
+    got = {r.i: r for r in sequence.runs(df, ["part"], ["i"], "who", "Unknown").collect()}
+    sums = {r.i: r.s for r in sequence.running_sum(df, ["part"], ["i"], "v", "s").collect()}
+    numbers = {r.i: (r.n, r.total) for r in sequence.numbered(df, ["part"], ["i"]).collect()}
+    for part in ("hot", "x", None):
+        own = [r for r in rows if r[0] == part]
+        shown, run, total = "Unknown", 0, 0
+        for n, (_, i, who, v) in enumerate(own, 1):
+            new = who if who not in (None, "Unknown") else shown
+            run += n == 1 or new != shown
+            shown, total = new, total + v
+            assert (got[i].shown, got[i].run, got[i].n) == (shown, run, n) and sums[i] == total and numbers[i] == (n, len(own))
