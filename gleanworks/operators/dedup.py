@@ -47,23 +47,46 @@ def block_bounds(bits: int, blocks: int) -> list[int]:
     return [round(bits * i / blocks) for i in range(blocks + 1)]
 
 
-def near_pairs(signatures: DataFrame, key: str, signature: str, threshold: int, exact_blocks: int = 1, bits: int = 64) -> DataFrame:
-    """Pairs ``a, b`` (a < b) of keys whose signatures differ in at most ``threshold`` bits.
+def _bit_masks(groups: list[list[int]]) -> list[int]:
+    """Signed 64-bit numbers that have the bits of each group (0 is the lowest)."""
+    masks = [sum(1 << i for i in bits) for bits in groups]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def near_pairs(signatures: DataFrame, key: str, signature: str, threshold: int, exact_blocks: int = 2, bits: int = 64, crowd: int = 10_000) -> DataFrame:
+    """Pairs ``a, b, distance`` (a < b) of keys whose signatures differ in at most ``threshold`` bits.
 
     The signature is cut into ``threshold + exact_blocks`` blocks. Two that differ in so few bits agree in at least
-    ``exact_blocks`` of them, so an equi-join on every choice of that many blocks finds all pairs; more exact blocks
-    make longer keys and fewer candidates at the price of more keys per row. Null signatures match nothing.
+    ``exact_blocks`` of them, so an equi-join on every choice of that many blocks finds all pairs, each at the first
+    choice in which it agrees. More exact blocks make longer keys and fewer candidates at the price of more keys per row.
+    A value of a choice that more than ``crowd`` signatures share is split exactly: the bits outside of the choice are
+    cut into ``threshold + 1`` groups, of which such a pair agrees in one, and that group becomes part of the key.
+    Null signatures match nothing; a key that has several signatures is compared with each.
     """
-    if threshold < 0 or threshold + exact_blocks > bits:
+    if threshold < 0 or exact_blocks < 1 or threshold + exact_blocks > bits:
         raise ValueError("the threshold leaves no block to agree in")
     bounds = block_bounds(bits, threshold + exact_blocks)
-    block = [f"(shiftrightunsigned(s, {bits - hi}) & {(1 << (hi - lo)) - 1}L)" for lo, hi in zip(bounds, bounds[1:], strict=False)]
-    keys = [f"struct({n} as n, {' , '.join(f'{block[i]} as b{j}' for j, i in enumerate(pick))})" for n, pick in enumerate(combinations(range(len(block)), exact_blocks))]
-    rows = signatures.filter(F.col(signature).isNotNull()).select(F.col(key).alias("id"), F.col(signature).alias("s")).distinct()
-    rows = rows.select("id", "s", F.expr(f"explode(array({', '.join(keys)}))").alias("k"))
-    other = rows.select(F.col("id").alias("id2"), F.col("s").alias("s2"), "k")
-    near = rows.join(other, "k").filter(F.expr(f"id < id2 and bit_count(s ^ s2) <= {threshold}"))
-    return near.select(F.col("id").alias("a"), F.col("id2").alias("b"), F.expr("bit_count(s ^ s2)").alias("distance")).distinct()
+    blocks = [list(range(bits - hi, bits - lo)) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+    picks = [sorted(i for block in pick for i in block) for pick in combinations(blocks, exact_blocks)]
+    outside = [[i for i in range(bits) if i not in set(pick)] for pick in picks]
+    cuts = [block_bounds(len(rest), threshold + 1) for rest in outside]
+    finer = [_bit_masks([rest[lo:hi] for lo, hi in zip(cut, cut[1:], strict=False)]) for rest, cut in zip(outside, cuts, strict=True)]
+    literal = lambda masks: "array(" + ", ".join(f"{m}L" if m != -(1 << 63) else "shiftleft(1L, 63)" for m in masks) + ")"
+    choices, groups = literal(_bit_masks(picks)), "array(" + ", ".join(map(literal, finer)) + ")"
+    rows = signatures.filter(F.col(signature).isNotNull()).select(F.col(key).alias("id"), F.col(signature).cast("bigint").alias("s")).distinct()
+    keyed = rows.select("id", "s", F.expr(f"posexplode(transform({choices}, m -> s & m)) as (n, v)"))
+    crowded = cut_lineage(keyed.groupBy("n", "v").count().filter(F.col("count") > crowd).select("n", "v"))
+    near = F.expr(f"id < id2 and bit_count(s ^ s2) <= {threshold} and array_position(transform({choices}, m -> (s ^ s2) & m), 0L) = n + 1")
+
+    def pairs(side: DataFrame, on: list[str]) -> DataFrame:
+        return side.join(side.select(F.col("id").alias("id2"), F.col("s").alias("s2"), *on), on).filter(near)
+
+    found = pairs(keyed.join(crowded, ["n", "v"], "left_anti"), ["n", "v"]).select("id", "id2", "s", "s2")
+    if not crowded.isEmpty():
+        split = keyed.join(crowded, ["n", "v"], "left_semi").select("id", "s", "n", "v", F.expr(f"posexplode(transform({groups}[n], m -> s & m)) as (g, w)"))
+        first = F.expr(f"array_position(transform({groups}[n], m -> (s ^ s2) & m), 0L) = g + 1")
+        found = found.unionByName(pairs(split, ["n", "v", "g", "w"]).filter(first).select("id", "id2", "s", "s2"))
+    return found.select(F.col("id").alias("a"), F.col("id2").alias("b"), F.expr("bit_count(s ^ s2)").alias("distance"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
@@ -87,7 +110,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     raise RuntimeError("components did not settle")
 
 
-def near_duplicate_groups(items: DataFrame, key: str, signature: str, threshold: int, exact_blocks: int = 1) -> DataFrame:
+def near_duplicate_groups(items: DataFrame, key: str, signature: str, threshold: int, exact_blocks: int = 2) -> DataFrame:
     """``path, group_id, members``: items connected by links of at most ``threshold`` differing bits.
 
     Equal signatures are one node, so copies are never paired with each other. Grouping is transitive.

@@ -37,15 +37,17 @@ def keep_largest(spark, folder):
 
 
 def _signs(spark, folder):
-    return table(spark, folder, "embeddings").select("vec_id", dedup.sign_bits("embedding").alias("s"))
+    """Signs of every vector, and of a damaged copy of it in which one to five neighbouring signs are turned."""
+    rows = table(spark, folder, "embeddings").select("vec_id", dedup.sign_bits("embedding").alias("s"))
+    return rows.unionByName(rows.select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.expr("s ^ shiftleft(shiftleft(1L, int(vec_id % 5 + 1)) - 1L, int(vec_id % 59))").alias("s")))
 
 
 def near_duplicate_pairs(spark, folder):
-    return dedup.near_pairs(_signs(spark, folder), "vec_id", "s", 18)
+    return dedup.near_pairs(_signs(spark, folder), "vec_id", "s", 6)
 
 
 def near_duplicate_groups(spark, folder):
-    return dedup.near_duplicate_groups(_signs(spark, folder), "vec_id", "s", 18)
+    return dedup.near_duplicate_groups(_signs(spark, folder), "vec_id", "s", 6)
 
 
 def images_by_suffix(spark, folder):
@@ -123,11 +125,13 @@ hashed as (select distinct sha256(content) as hash, size, path from files
            where content is not null and size in (select size from files where content is not null group by size having count(*) > 1)),
 found as (select hash, size, path, min(path) over (partition by hash) as group_id, count(*) over (partition by hash) as members from hashed)
 """
-_BITS = "s as (select vec_id, list_transform(embedding, lambda v: v > 0) as b from embeddings)"
+# the i-th of 64 signs is bit 64 - i; of the copy, bits vec_id % 59 to vec_id % 59 + vec_id % 5 are turned
+_BITS = """s as (select vec_id, list_transform(embedding, lambda v: v > 0) as b from embeddings
+  union all select vec_id + 1000000, list_transform(embedding, lambda v, i: (v > 0) <> (64 - i between vec_id % 59 and vec_id % 59 + vec_id % 5)) from embeddings)"""
 _NEAR = f"""with recursive {_BITS},
 near as (select x.vec_id as a, y.vec_id as b, cast(len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) as int) as distance
          from s x join s y on x.vec_id < y.vec_id),
-pairs as (select * from near where distance <= 18)"""
+pairs as (select * from near where distance <= 6)"""
 _SUFFIX = r"lower(regexp_extract(rel, '[^/]\.([^./]+)$', 1))"
 _INDEX = "idx as (select distinct * from image_index)"
 

@@ -207,3 +207,19 @@ def test_runs_and_numbers_over_slices(spark, monkeypatch):
             run += n == 1 or new != shown
             shown, total = new, total + v
             assert (got[i].shown, got[i].run, got[i].n) == (shown, run, n) and sums[i] == total and numbers[i] == (n, len(own))
+
+
+def test_near_pairs_equal_brute_force_in_crowds_too(spark):
+    import random
+
+    from gleanworks.operators.dedup import near_pairs
+
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    signs = base + [x ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 8))) for x in base for _ in range(8)] + [rng.getrandbits(20) for _ in range(200)] + [0, (1 << 64) - 1, 1 << 63]
+    signs = [x - (1 << 64) if x >> 63 else x for x in signs]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(signs)] + [(9999, None), (0, signs[0])], "i int, s bigint")
+    for threshold, exact, crowd in ((5, 2, 10_000), (5, 2, 10), (3, 1, 5), (0, 2, 1)):
+        want = {(i, j, d) for i, x in enumerate(signs) for j, y in enumerate(signs) if i < j and (d := ((x ^ y) & ((1 << 64) - 1)).bit_count()) <= threshold}
+        got = [tuple(r) for r in near_pairs(df, "i", "s", threshold, exact, crowd=crowd).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
