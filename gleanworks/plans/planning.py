@@ -28,9 +28,10 @@ def pivot_fixture(spark, folder):
 
 
 def sweep_grids(spark, folder):
-    rows = spark.createDataFrame([(1, 32, 4_000_000_000, 6144), (2, 48, 16_000_000_000, 8192), (3, None, None, 4000), (4, 10, 900_000_000, 24000)], "id int, layers int, size bigint, vram int")
-    rows = rows.select("id", pl.coarse_grid("layers", "size", "vram").alias("grid"), F.coalesce("layers", F.lit(32)).alias("n"))
-    return rows.select("id", F.array_join(F.col("grid").cast("array<string>"), ",").alias("coarse"), F.array_join(pl.fine_grid(F.element_at("grid", 2), "n", "grid").cast("array<string>"), ",").alias("fine"))
+    """The numbers of layers to try first, and around the second of them, for models of the sizes of parts."""
+    rows = table(spark, folder, "part").select("p_partkey", F.when(F.col("p_size") > 3, F.col("p_size") + 8).alias("layers"), (F.floor("p_retailprice") * 5_000_000).cast("bigint").alias("size"), (F.col("p_partkey") % 9 * 3000).cast("int").alias("vram"))
+    rows = rows.select("p_partkey", pl.coarse_grid("layers", "size", "vram").alias("grid"), F.coalesce("layers", F.lit(32)).alias("n"))
+    return rows.select("p_partkey", F.array_join(F.col("grid").cast("array<string>"), ",").alias("coarse"), F.array_join(pl.fine_grid(F.element_at("grid", 2), "n", "grid").cast("array<string>"), ",").alias("fine"))
 
 
 def memory_tiers(spark, folder):
@@ -170,6 +171,27 @@ _TOK = "len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]'))"
 _ACT = "a as (select action, category, unnest(string_split(exts, ',')) as ext from (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in ACTIONS) + ") t(action, category, exts))"
 _BL = [("heading", "# One\n"), ("paragraph", "Text a\nText b\n"), ("code_block", "```py\n# no heading\n\n| no | table |\n```\n"), ("table", "| a | b |\n|---|---|\n"), ("list", "- x\n    more\n\n- y\n"), ("list", "1) z\n"), ("paragraph", "last\n"), ("heading", "## Two\n"), ("heading", "## Three\n")]
 _i = lambda x: f"cast(trunc({x}) as bigint)"
+#: Blocks of Markdown as a walk over lines: the state after a line, the number of its block, and whether it belongs to it.
+_SHAPE = lambda s: f"""case when starts_with({s}, '```') then 'q' when starts_with({s}, '~~~') then 'w' when starts_with({s}, '|') and contains({s}[2:], '|') then 't' when starts_with({s}, '|') then 'p'
+  when regexp_matches({s}, '^#{{1,6}} ') then 'h' when regexp_matches({s}, '^([-*+]|\\d+[.)]) ') then 'l' when {s} = '' then 'b' else 'x' end"""
+_WALK = f"""m as (select md_id, max(content) as content from summarize_md group by md_id),
+  x as (select md_id, unnest(regexp_extract_all(content, '[^\\r\\n]*(?:\\r\\n|\\r|\\n)|[^\\r\\n]+$')) as line, generate_subscripts(regexp_extract_all(content, '[^\\r\\n]*(?:\\r\\n|\\r|\\n)|[^\\r\\n]+$'), 1) as k from m),
+  y as (select md_id, k, line, {_SHAPE("regexp_replace(line, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')")} as c, starts_with(line, '    ') or starts_with(line, chr(9)) as deep from x),
+  z as (select *, lead(c) over (partition by md_id order by k) as follows from y),
+  w as (select md_id, 0::bigint as k, 'none' as state, '' as fence, 0::bigint as no, false as own, '' as kind from m where content is not null
+    union all
+    select w.md_id, z.k,
+      case when w.state = 'code' then case when z.c = w.fence then 'none' else 'code' end
+           when w.state = 'table' and z.c = 't' or w.state = 'list' and (z.c = 'l' or z.deep or z.c = 'b' and z.follows = 'l') or w.state = 'para' and z.c = 'x' then w.state
+           when z.c in ('q', 'w') then 'code' when z.c = 't' then 'table' when z.c = 'l' then 'list' when z.c in ('h', 'b') then 'none' else 'para' end,
+      case when w.state = 'code' then w.fence else z.c end,
+      case when w.state = 'code' or w.state = 'table' and z.c = 't' or w.state = 'list' and (z.c = 'l' or z.deep or z.c = 'b' and z.follows = 'l') or w.state = 'para' and z.c = 'x' or z.c = 'b' then w.no else w.no + 1 end,
+      w.state = 'code' or w.state = 'list' and (z.deep or z.c = 'b' and z.follows = 'l') or z.c <> 'b',
+      case when w.state = 'code' or w.state = 'table' and z.c = 't' or w.state = 'list' and (z.c = 'l' or z.deep or z.c = 'b' and z.follows = 'l') or w.state = 'para' and z.c = 'x' then w.kind
+           when z.c in ('q', 'w') then 'code_block' when z.c = 't' then 'table' when z.c = 'h' then 'heading' when z.c = 'l' then 'list' else 'paragraph' end
+    from w join z on z.md_id = w.md_id and z.k = w.k + 1),
+  blocks as (select w.md_id, w.no, min(w.kind) as kind, string_agg(x.line, '' order by w.k) as text from w join x on x.md_id = w.md_id and x.k = w.k where w.own group by 1, 2)"""
+_TOKENS = "len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+|_+|[^\\p{{L}}\\p{{N}}_\\s\\x{{A0}}\\x{{85}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{3000}}]'))"
 SQL = {
     "pivot_plan": f"""with d as (select doc_id, {_TOK} as t, {_i("(doc_id % 120) * cast(1.35 as double)")} as target from documents),
       e as (select *, {_i("cast(t / 600 as int)")} as z, floor(t / 600.0) + 1 as chunks from d)
@@ -179,6 +201,26 @@ SQL = {
       case when 600 + t + greatest(512, {_i("t * cast(1.2 as double)")}) <= 1275 then 'single' else 'chunked' end as mode,
       case when target > 0 then round((t - target) * cast(100 as double) / target, 1) else 0.0 end as delta from e""",
     "pivot_fixture": "select * from (values (1, 'alpha'), (2, 'beta'), (3, 'beta'), (4, 'beta'), (5, 'beta')) t(id, path)",
+    "md_blocks": f"with recursive {_WALK} select md_id, kind, count(*) as blocks, sum(length(text)) as chars from blocks group by 1, 2",
+    # a unit is a block with the headings before it; a chunk holds 300 tokens, and begins with 3 tokens of a mark and the last 40 of the chunk before it
+    "chunk_markdown": f"""with recursive {_WALK},
+      u as (select md_id, coalesce(min(case when kind <> 'heading' then no end) over (partition by md_id order by no rows between current row and unbounded following), 1000000000) as unit, no, text from blocks),
+      v as (select md_id, {_TOKENS.format("string_agg(text, '' order by no)")} as n, row_number() over (partition by md_id order by unit) as j from u group by md_id, unit),
+      f as (select md_id, 0::bigint as j, 0::bigint as done, 0::bigint as size, false as held, 0::bigint as last, null::bigint as c1, null::bigint as c2 from v where j = 1
+        union all
+        select md_id, j, done + (case when flush then 1 else 0 end) + (case when big then 1 else 0 end),
+          case when big then 0 when flush or not held then n + (case when done > 0 or flush then 3 + least(40, last_) else 0 end) else size + n end,
+          not big, case when big then n + (case when done > 0 or flush then 3 + least(40, last_) else 0 end) else last_ end,
+          case when flush then size end, case when big then n + (case when done > 0 or flush then 3 + least(40, last_) else 0 end) end
+        from (select f.md_id, v.j, f.done, f.size, f.held, v.n, f.held and f.size + v.n > 300 as flush, v.n > 300 as big, case when f.held and f.size + v.n > 300 then f.size else f.last end as last_
+              from f join v on v.md_id = f.md_id and v.j = f.j + 1)),
+      ended as (select md_id, done, size, held from f qualify row_number() over (partition by md_id order by j desc) = 1),
+      chunks as (select md_id, done - (case when c2 is null then 0 else 1 end) as chunk_no, c1 as tokens from f where c1 is not null union all select md_id, done, c2 from f where c2 is not null union all select md_id, done + 1, size from ended where held)
+      select md_id, chunk_no, tokens from chunks""",
+    "sweep_grids": """with p as (select p_partkey, coalesce(case when p_size > 3 then p_size + 8 end, 32) as n, cast(floor(p_retailprice) as bigint) * 5000000 as size, p_partkey % 9 * 3000 as vram from part),
+      f as (select *, cast(least(n, greatest(0, case when size > 0 then trunc(greatest(0, cast(trunc(vram * cast(0.8 as double)) as bigint) - 700) / (size / cast(1048576 as double) / n)) else n end)) as bigint) as fit, greatest(2, n // 12) as stride from p),
+      g as (select *, list_sort(list_distinct(list_concat([n, 0, fit], range(greatest(0, fit - 3 * stride), least(n, fit + 3 * stride) + 1, stride)))) as grid from f)
+      select p_partkey, array_to_string(grid, ',') as coarse, array_to_string(list_filter(range(greatest(0, grid[2] - 2), least(n, grid[2] + 2) + 1), lambda v: not list_contains(grid, v)), ',') as fine from g""",
     "memory_tiers": "select p_partkey, case when p_size < 6 then 1 when p_size < 8 then 2 when p_size < 16 then 4 when p_size < 32 then 8 else 16 end as batch from part",
     "sweep_rank": """with s as (select l_orderkey, l_linenumber, l_partkey, l_tax * 100 as ttft, case when l_partkey % 7 <> 0 then round(l_quantity / (l_partkey % 7), 6) else 0 end as r, l_returnflag = 'R' as failed from lineitem),
       v as (select * from s where not failed and case when ttft = 0 then 999 else ttft end < 5 and r > 3)
