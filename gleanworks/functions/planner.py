@@ -104,3 +104,16 @@ def viable(ttft, decode_rate, error) -> Column:
 
 def rate(count, nanoseconds) -> Column:
     return F.when(F.coalesce(_col(nanoseconds), F.lit(0)) != 0, _col(count) / (_col(nanoseconds) / 1e9)).otherwise(F.lit(0.0))
+
+
+#: Encoding sessions of a graphics card by megabytes of its memory.
+SESSIONS = [(4000, 1), (6000, 2), (8000, 3), (12000, 5)]
+
+
+def worker_defaults(cores, vendor, cuda, rocm, vram_mb) -> Column:
+    """Settings by hardware: threads, sessions of the card, processes for small pictures and for raw ones. ``vendor`` is null without a card."""
+    c, card = _col(cores), _col(vendor).isNotNull()
+    threads = F.when(_col(cuda) | _col(rocm), F.greatest(F.lit(1), c - 4)).when(_col(vendor) == "intel", F.greatest(F.lit(1), c - 2)).otherwise(c)
+    sessions = F.when(_col(cuda), tier(vram_mb, SESSIONS, 8)).when(_col(rocm), 3).otherwise(0)
+    small = F.when(card, F.greatest(F.lit(1), c - 2)).otherwise(F.greatest(F.lit(1), _int(c * 0.8)))
+    return F.struct(threads.alias("threads"), sessions.alias("sessions"), small.cast("int").alias("thumbnail_cores"), c.alias("raw_cores"))

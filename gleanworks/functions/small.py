@@ -6,9 +6,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gleanworks.operators import catalog
 
@@ -81,9 +83,67 @@ def flat_message(parts: Column) -> Column:
     )
 
 
-def context_of(parameters: str | Column) -> Column:
-    """``num_ctx`` of a parameter text, null if it has none."""
-    return F.nullif(F.regexp_extract(parameters, r"(?m)^\s*num_ctx\s+(\d+)", 1), F.lit("")).cast("int")
+def context_of(parameters: str | Column, info: str | Column | None = None) -> Column:
+    """``num_ctx`` of a parameter text, else the first value of ``info`` (JSON) whose key ends with ``context_length``, else null."""
+    own = F.nullif(F.regexp_extract(parameters, r"(?m)^\s*num_ctx\s+(\d+)", 1), F.lit("")).cast("int")
+    if info is None:
+        return own
+    return F.coalesce(own, F.nullif(F.regexp_extract(info, r'"[^"]*context_length"\s*:\s*(\d+)', 1), F.lit("")).cast("int"))
+
+
+#: Codes of voices by language, and the voices there are.
+VOICE_CODES = {"en": "a", "en-us": "a", "en-gb": "b", "fr": "f", "fr-fr": "f", "es": "e", "es-es": "e", "pt": "p", "pt-br": "p", "it": "i", "it-it": "i", "ja": "j", "jp": "j", "zh": "z", "cn": "z", "hi": "h"}
+VOICES = ("a", "b", "e", "f", "h", "i", "j", "p", "z")
+
+
+def voice_code(language: str | Column) -> Column:
+    """The code of a language's voices: by its alias, else the code itself in lower case, else what was given."""
+    c = F.col(language) if isinstance(language, str) else language
+    return F.coalesce(F.try_element_at(_map(VOICE_CODES), F.lower(c)), F.when(F.lower(c).isin(*VOICES), F.lower(c)), c)
+
+
+def model_by_prefix(models: str, wanted: str) -> Column:
+    """The first of an array of structs ``name, model`` of which one begins with the wanted name; null if none does."""
+    return F.expr(f"try_element_at(filter({models}, m -> coalesce(startswith(m.name, {wanted}), false) or coalesce(startswith(m.model, {wanted}), false)), 1)")
+
+
+def result_json(status: str | Column, output: str | Column) -> Column:
+    """The last line of a run: its status, and the file it wrote if it wrote one."""
+    s, o = (F.col(x) if isinstance(x, str) else x for x in (status, output))
+    return F.to_json(F.struct(s.alias("status"), o.alias("output_file")), {"ignoreNullFields": "true"})
+
+
+def clipped_samples(samples: Column) -> Column:
+    """Sound samples of -1 to 1 as whole numbers of 16 bits, cut off beyond that."""
+    return F.transform(samples, lambda v: (F.least(F.greatest(v.cast("double"), F.lit(-1.0)), F.lit(1.0)) * 32767).cast("int"))
+
+
+def page_marker(page: str | Column, style: str) -> Column:
+    """What stands above a page: a heading of level 1 (``title``) or 2 (``section``), or a comment."""
+    marks = {"title": ("# Page ", ""), "section": ("## Page ", ""), "comment": ("<!-- page ", " -->")}
+    if style not in marks:
+        raise ValueError(f"unknown style {style}; there are {', '.join(marks)}")
+    return F.concat(F.lit(marks[style][0]), (F.col(page) if isinstance(page, str) else page).cast("string"), F.lit(marks[style][1] + "\n\n"))
+
+
+def _inlines(nodes: list) -> str:
+    plain = {"Space": " ", "SoftBreak": " "}
+    return "".join(n.get("c", "") if n.get("t") == "Str" else _inlines(n.get("c", [])) if n.get("t") in ("Emph", "Strong") else plain.get(n.get("t"), "") for n in nodes)
+
+
+@F.pandas_udf(StringType())
+def ast_title(ast: pd.Series) -> pd.Series:
+    """The title in the metadata of a document tree (JSON), null if there is none; emphasis is read through, other marks are left out."""
+    import json
+
+    def title(raw):
+        try:
+            meta = json.loads(raw)["meta"]["title"]
+            return _inlines(meta["c"]) or None
+        except (KeyError, TypeError, ValueError, AttributeError):
+            return None
+
+    return ast.map(title)
 
 
 def outermost(paths: DataFrame, path: str = "path") -> DataFrame:

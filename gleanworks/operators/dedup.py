@@ -71,21 +71,25 @@ def near_pairs(signatures: DataFrame, key: str, signature: str, threshold: int,
     outside = [[i for i in range(bits) if i not in set(pick)] for pick in picks]
     cuts = [block_bounds(len(rest), threshold + 1) for rest in outside]
     finer = [_bit_masks([rest[lo:hi] for lo, hi in zip(cut, cut[1:], strict=False)]) for rest, cut in zip(outside, cuts, strict=True)]
-    literal = lambda masks: "array(" + ", ".join(f"{m}L" if m != -(1 << 63) else "shiftleft(1L, 63)" for m in masks) + ")"
-    choices, groups = literal(_bit_masks(picks)), "array(" + ", ".join(map(literal, finer)) + ")"
+    number = lambda m: f"{m}L" if m != -(1 << 63) else "shiftleft(1L, 63)"
+    masks, finer = list(map(number, _bit_masks(picks))), [list(map(number, g)) for g in finer]
+    masked = lambda ms: "array(" + ", ".join(f"s & {m}" for m in ms) + ")"
+    # plain cases, no lambdas: the first choice, and the first group of a choice, in which two signatures agree
+    first_of = lambda ms: "case " + " ".join(f"when (s ^ s2) & {m} = 0 then {i}" for i, m in enumerate(ms)) + " end"
     rows = signatures.filter(F.col(signature).isNotNull()).select(F.col(key).alias("id"), F.col(signature).cast("bigint").alias("s")).distinct()
-    keyed = rows.select("id", "s", F.expr(f"posexplode(transform({choices}, m -> s & m)) as (n, v)"))
+    keyed = rows.select("id", "s", F.expr(f"posexplode({masked(masks)}) as (n, v)"))
     crowded = cut_lineage(keyed.groupBy("n", "v").count().filter(F.col("count") > crowd).select("n", "v"))
-    near = F.expr(f"id < id2 and bit_count(s ^ s2) <= {threshold} and array_position(transform({choices}, m -> (s ^ s2) & m), 0L) = n + 1")
+    near = F.expr(f"id < id2 and bit_count(s ^ s2) <= {threshold} and {first_of(masks)} = n")
 
     def pairs(side: DataFrame, on: list[str]) -> DataFrame:
         return side.join(side.select(F.col("id").alias("id2"), F.col("s").alias("s2"), *on), on).filter(near)
 
     found = pairs(keyed.join(crowded, ["n", "v"], "left_anti"), ["n", "v"]).select("id", "id2", "s", "s2")
     if not crowded.isEmpty():
-        split = keyed.join(crowded, ["n", "v"], "left_semi").select("id", "s", "n", "v", F.expr(f"posexplode(transform({groups}[n], m -> s & m)) as (g, w)"))
-        first = F.expr(f"array_position(transform({groups}[n], m -> (s ^ s2) & m), 0L) = g + 1")
-        found = found.unionByName(pairs(split, ["n", "v", "g", "w"]).filter(first).select("id", "id2", "s", "s2"))
+        groups = "case n " + " ".join(f"when {n} then {masked(g)}" for n, g in enumerate(finer)) + " end"
+        first = "case n " + " ".join(f"when {n} then {first_of(g)}" for n, g in enumerate(finer)) + " end"
+        split = keyed.join(crowded, ["n", "v"], "left_semi").select("id", "s", "n", "v", F.expr(f"posexplode({groups}) as (g, w)"))
+        found = found.unionByName(pairs(split, ["n", "v", "g", "w"]).filter(F.expr(f"{first} = g")).select("id", "id2", "s", "s2"))
     return found.select(F.col("id").alias("a"), F.col("id2").alias("b"), F.expr("bit_count(s ^ s2)").alias("distance"))
 
 

@@ -24,6 +24,44 @@ def sidebar_rectangles(drawings: DataFrame, pages: DataFrame) -> DataFrame:
     return drawings.join(pages, "page").filter((w >= 0.35 * F.col("width")) & (w * h >= 0.03 * F.col("width") * F.col("height")) & (coloured | (F.coalesce("border", F.lit(0.0)) > 0.3)))
 
 
+def inside_rectangles(blocks: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """Blocks with ``inside``: whether their centre lies in a rectangle of their page (borders belong to it).
+
+    ``blocks``: ``page, block_no, x0, y0, x1, y1`` and more; ``rectangles``: ``page, x0, y0, x1, y1``. Rectangles of a
+    page are few; they are joined by page, never all with all.
+    """
+    rects = rectangles.groupBy("page").agg(F.collect_set(F.struct("x0", "y0", "x1", "y1")).alias("_rects"))
+    held = F.expr("exists(_rects, r -> (x0 + x1) / 2 between r.x0 and r.x1 and (y0 + y1) / 2 between r.y0 and r.y1)")
+    return blocks.join(rects, "page", "left").withColumn("inside", F.coalesce(held, F.lit(False))).drop("_rects")
+
+
+def block_sizes(blocks: DataFrame, spans: DataFrame, default: float = 10.0) -> DataFrame:
+    """Blocks with ``size``, the size of type most of their characters have, and ``body_size``, that of their page.
+
+    ``spans``: ``page, x0, y0, size, chars, seq`` with the corner of the block they belong to; corners are equal if they
+    are when rounded (halves to even). A block without spans has the size of its page's text, a page without any the default.
+    """
+    own = spans.filter("chars > 0").select("page", F.bround("x0").alias("_x"), F.bround("y0").alias("_y"), "size", "chars", "seq")
+    body = weighted_mode(own, ["page"], "size", "chars", "seq").withColumnRenamed("mode", "_body")
+    block = weighted_mode(own, ["page", "_x", "_y"], "size", "chars", "seq").withColumnRenamed("mode", "_size")
+    rows = blocks.withColumn("_x", F.bround("x0")).withColumn("_y", F.bround("y0")).join(block, ["page", "_x", "_y"], "left").join(body, "page", "left")
+    rows = rows.withColumn("body_size", F.coalesce("_body", F.lit(default)))
+    return rows.withColumn("size", F.coalesce("_size", "body_size")).drop("_x", "_y", "_size", "_body")
+
+
+def sidebar_titles(blocks: DataFrame) -> DataFrame:
+    """``page, block_no``: the title of each page's sidebar, if its first block reads like one.
+
+    ``blocks``: ``page, block_no, x0, y0, size, body_size, text, inside``. First is the topmost band of 15 units, then the
+    leftmost; it is a title if its type is at least 1.05 times the body's or it has under 100 characters.
+    """
+    order = F.struct((F.floor(F.col("y0") / 15) * 15).alias("band"), "x0", "block_no")
+    flat = F.length(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
+    title = (F.col("size") >= 1.05 * F.col("body_size")) | (F.coalesce(flat, F.lit(0)) < 100)
+    first = blocks.filter("inside").withColumn("_title", title).groupBy("page").agg(F.min_by(F.struct("block_no", "_title"), order).alias("x"))
+    return first.filter("x._title").select("page", "x.block_no")
+
+
 def grow_sidebar(blocks: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Blocks ``page, block_no, x0, y0, x1, y1, sidebar`` with the sidebar grown to a fixpoint.
 

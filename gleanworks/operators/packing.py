@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -116,25 +117,68 @@ class FirstWords:
         return " ".join(out)
 
 
-def map_chunks(chunks: DataFrame, key: str, provider: Provider, system: str, output: str = "output_tokens", tries: int = 3) -> DataFrame:
-    """``key, chunk_no, partial``: the provider's answer for each chunk; after ``tries`` empty answers the chunk itself."""
+class JsonWords(FirstWords):
+    """The same as a model that was asked for JSON gives it, at times in a fence and at times broken."""
+
+    def infer(self, system: str, text: str, max_tokens: int) -> str:
+        out = super().infer(system, text, max_tokens)
+        whole = json.dumps({"partial_summary": out}, ensure_ascii=False)
+        return (whole, f"Here it is:\n```json\n{whole}\n```", whole[:-1] + ", oops", out)[len(out) % 4]
+
+
+_FENCED, _FIELD = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S), re.compile(r'"partial_summary"\s*:\s*"(.*?)"\s*[,}]', re.S)
+
+
+def parse_partial(raw: str) -> str | None:
+    """Field ``partial_summary`` of a reply: the whole as JSON, a fenced object, or what looks like the field; else None."""
+    fenced = _FENCED.search(raw)
+    for candidate in (raw.strip(), fenced[1] if fenced else ""):
+        try:
+            read = json.loads(candidate)
+        except json.JSONDecodeError:
+            continue
+        if isinstance(read, dict) and "partial_summary" in read:
+            return str(read["partial_summary"])
+    field = _FIELD.search(raw)
+    if not field:
+        return None
+    try:
+        return json.loads(f'"{field[1]}"')
+    except json.JSONDecodeError:
+        return field[1]
+
+
+def map_chunks(chunks: DataFrame, key: str, provider: Provider, system: str, output: str = "output_tokens", tries: int = 3, wrapper: int = 60) -> DataFrame:
+    """``key, chunk_no, partial``: what the provider says of each chunk.
+
+    It is asked up to ``tries`` times until its answer has a field ``partial_summary``; else its last answer stands as
+    it is, and the chunk itself if that is empty. ``{l_chunk}`` in the instruction is the chunk's output budget, to which
+    ``wrapper`` tokens are added for the JSON around it.
+    """
     kind = chunks.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             answers = []
             for text, most in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                answer = ""
+                said, read = "", None
                 for _ in range(tries):
-                    answer = provider.infer(system, text, most)
-                    if answer:
+                    said = provider.infer(system.replace("{l_chunk}", str(most)), text, most + wrapper)
+                    read = parse_partial(said)
+                    if read is not None:
                         break
-                answers.append(answer or text)
+                answers.append(read if read is not None else said or text)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(answers, pa.string())], names=[key, "chunk_no", "partial"])
 
     return chunks.select(key, "chunk_no", "chunk", F.col(output).cast("int")).mapInArrow(run, f"`{key}` {kind}, chunk_no int, partial string")
 
 
+def joined_partials(partial: DataFrame, key: str) -> DataFrame:
+    """``key, text``: partial results in their order, a blank line between them. A text's chunks meet in one row, as its result does."""
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "partial")))
+    return partial.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["partial"]), "\n\n").alias("text"))
+
+
 def summarise(texts: DataFrame, key: str, content: str, provider: Provider, target: int, context: int, rounds: int = 5) -> DataFrame:
     """``key, summary``: map every chunk, then reduce again until all fit the target's budget, at most ``rounds`` times.
 
@@ -150,7 +194,6 @@ def summarise(texts: DataFrame, key: str, content: str, provider: Provider, targ
         chunks = chunk_texts(long, key, "text", int(context * 0.6))
         counts = chunks.groupBy(key).agg(F.count("*").alias("chunks"))
         most = F.least(F.lit(int(context * 0.2)), F.greatest(F.lit(64), F.floor(target * 1.25 / F.col("chunks"))))
-        partial = map_chunks(chunks.join(counts, key).withColumn("output_tokens", most), key, provider, "Summarise.")
-        joined = partial.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "partial"))), lambda x: x["partial"]), "\n\n").alias("text"))
-        rows = rows.filter(~(size > target)).unionByName(joined)
+        partial = map_chunks(chunks.join(counts, key).withColumn("output_tokens", most), key, provider, "Summarise.", wrapper=0)
+        rows = rows.filter(~(size > target)).unionByName(joined_partials(partial, key))
     return rows.withColumnRenamed("text", "summary")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from gleanworks.plans import files, intervals, outlines, planning, small, streams, texts, timeline
+from gleanworks.plans import extra, files, intervals, outlines, planning, small, streams, texts, timeline
 
-_MODULES = (intervals, files, timeline, outlines, texts, planning, streams, small)
+_MODULES = (intervals, files, timeline, outlines, texts, planning, streams, small, extra)
 
 
 def queries() -> dict[str, Callable]:

@@ -86,3 +86,32 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt: str, ho
     left = big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(fan)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+class StageCache:
+    """Results of the stages of a run in a shared folder: a stage that is complete there is read, not computed again.
+
+    As a context it removes the folder when the run succeeds; after a failure the complete stages stay for the next run.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _place(self, name: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def stage(self, name: str, build) -> DataFrame:
+        """The table of a stage; ``build()`` makes it if it is not complete."""
+        place, files = self._place(f"{name}/_SUCCESS")
+        if not files.exists(place):
+            build().write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def __enter__(self) -> StageCache:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            place, files = self._place("")
+            files.delete(place, True)

@@ -27,8 +27,11 @@ def listing(spark: SparkSession, roots: list[str], suffixes: tuple[str, ...] = (
         raise ValueError("no roots")
     if suffixes:
         out = out.filter(suffix("path").isin(*[s.lower() for s in suffixes]))
-    for ex in excluded:
-        out = out.filter(~F.col("path").contains(f"/{ex.strip('/')}/"))
+    # exclusion is by the path below its root: a folder of that path, not one of that name anywhere
+    for no, root in enumerate(roots):
+        below = relative("path", root)
+        for ex in excluded:
+            out = out.filter(~((F.col("root_no") == no) & below.startswith(ex.strip("/") + "/")))
     return out
 
 
@@ -39,9 +42,9 @@ def relative(path: str, base: str) -> F.Column:
     return F.when(clean.startswith(prefix), F.substr(clean, F.lit(len(prefix) + 1))).otherwise(clean)
 
 
-def whole_texts(spark: SparkSession, root: str, ext: str = "md") -> DataFrame:
-    """``path, stem, text`` of text files, one row per file; the suffix must match in case."""
-    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*.{ext}").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def whole_texts(spark: SparkSession, root: str, ext: str = "md", recursive: bool = True) -> DataFrame:
+    """``path, stem, text`` of text files of a folder, or also of the folders in it, one row per file; the suffix must match in case."""
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=f"*.{ext}").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return rows.withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1))
 
 
@@ -115,12 +118,15 @@ def earliest_date(lines: F.Column) -> F.Column:
 
 def outline_levels(spark: SparkSession, items: DataFrame, max_level: int) -> DataFrame:
     """``id, title, level`` of an outline given as ``id, parent, title``, down to ``max_level`` (recursive query)."""
-    items.createOrReplaceTempView("_outline_items")
+    import uuid
+
+    view = f"_outline_items_{uuid.uuid4().hex}"
+    items.createOrReplaceTempView(view)
     return spark.sql(
         f"""with recursive walk(id, title, level) as (
-              select id, title, 0 from _outline_items where parent is null
+              select id, title, 0 from {view} where parent is null
               union all
-              select i.id, i.title, w.level + 1 from walk w join _outline_items i on i.parent = w.id where w.level < {int(max_level)})
+              select i.id, i.title, w.level + 1 from walk w join {view} i on i.parent = w.id where w.level < {int(max_level)})
             select * from walk"""
     )
 
@@ -129,3 +135,18 @@ def chapter_summary(sections: DataFrame) -> DataFrame:
     """Rows for a CSV of sections: number (or ``Unidentified n``), name and pages."""
     number = F.nullif(F.regexp_extract("name", r"(Chapter|Appendix)\s+([\dA-Z]+)", 2), F.lit(""))
     return sections.select(F.coalesce(number, F.concat(F.lit("Unidentified "), F.col("pos") + 1)).alias("number"), "name", "start_page", "end_page")
+
+
+def write_chapters(summary: DataFrame, path: str) -> None:
+    """The rows of ``chapter_summary`` as CSV with a header line, in order of their pages."""
+    summary.orderBy("start_page", "end_page", "name").write.mode("overwrite").option("header", True).csv(path)
+
+
+def duplicate_groups_json(members: DataFrame) -> DataFrame:
+    """One JSON object per duplicate group for a report: its id, hash, size and paths in order.
+
+    A report lists a group's paths in one object; ``members`` comes from ``exact_duplicates``.
+    """
+    paths = F.array_sort(F.collect_set("path"))
+    rows = members.groupBy("group_id").agg(F.min("hash").alias("hash"), F.min("size").alias("size"), paths.alias("paths"))
+    return rows.select("group_id", F.to_json(F.struct("group_id", "hash", "size", "paths")).alias("value"))

@@ -30,3 +30,38 @@ def read_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100) -
 def run_once(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:
     """Process what has arrived and stop; what the checkpoint has seen is not processed again, also after a failure."""
     stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+def running_rate(rows: DataFrame, part: str, order: list[str], time: str) -> DataFrame:
+    """Rows with ``so_far``, their number in the stream, and ``rate``, rows per second since the first (0 at that time). For finished tables."""
+    from gleanworks.operators import sequence
+
+    first = rows.groupBy(part).agg(F.min(time).alias("_first"))
+    counted = sequence.same_keys(sequence.numbered(rows, [part], order, "so_far", "_total"), first, [part])
+    seconds = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("_first").cast("timestamp"))
+    return counted.withColumn("rate", F.when(seconds > 0, F.col("so_far") * 1e6 / seconds).otherwise(F.lit(0.0))).drop("_total", "_first")
+
+
+def live_rate(stream: DataFrame, part: str, time: str) -> DataFrame:
+    """Rows, seconds and rate of each part so far, for a stream in update mode: one small state per part."""
+    seconds = (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / 1e6
+    return stream.groupBy(part).agg(F.count("*").alias("so_far"), seconds.alias("seconds"), F.when(seconds > 0, F.count("*") / seconds).otherwise(F.lit(0.0)).alias("rate"))
+
+
+def canonical_texts(pieces: DataFrame, part: str, order: str, text: str = "text") -> DataFrame:
+    """``part, text``: the pieces of each part in order, stripped, a blank line between them; blank ones are left out."""
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    kept = pieces.select(part, order, bare.alias("_t")).filter("_t != ''")
+    return kept.groupBy(part).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_t"))), lambda x: x["_t"]), "\n\n").alias("text"))
+
+
+def tee(stream: DataFrame, raw: str, checkpoint: str) -> None:
+    """Append what arrives to ``raw`` as it is, batch by batch, and stop when all is read; a crash keeps the finished batches.
+
+    Each batch is a folder of its own that a repeated batch overwrites, so nothing is written twice.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{raw}/batch={number}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

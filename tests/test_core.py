@@ -223,3 +223,103 @@ def test_near_pairs_equal_brute_force_in_crowds_too(spark):
         want = {(i, j, d) for i, x in enumerate(signs) for j, y in enumerate(signs) if i < j and (d := ((x ^ y) & ((1 << 64) - 1)).bit_count()) <= threshold}
         got = [tuple(r) for r in near_pairs(df, "i", "s", threshold, exact, crowd=crowd).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_transformations_in_one_pass_and_by_map_reduce(spark):
+    from gleanworks.operators import packing, transform
+
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, words(1, 150)), (2, "\n\n".join(words(2, 90) + str(p) for p in range(60))), (3, None), (4, "  "), (5, words(5, 20)), (6, words(6, 80))]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "id int, text string, path string")
+    out = {r.id: r for r in transform.transformed(df, "id", "text", "summary", packing.JsonWords(), packing.FirstWords(), 80, small_context=1000, large_context=1200).collect()}
+    assert {k: r.path for k, r in out.items()} == {1: "alpha", 2: "beta", 5: "alpha", 6: "alpha"}
+    # one pass: 80 words are 108 tokens; the final pass may have 1.4 times as many, and what is then too long is condensed to 1.2 times
+    assert out[5].text == rows[4][1] and out[6].text == rows[5][1]
+    tokens = int(int(80 * 1.2) * 1.35)
+    assert out[1].text.split() == rows[0][1].split()[: len(out[1].text.split())] and len(packing.split_tokens(out[1].text)) <= tokens
+    assert 1 <= len(packing.split_tokens(out[2].text)) <= tokens and "partial_summary" not in out[2].text and "w2x0" in out[2].text
+    for bad in ("nothing", ""):
+        try:
+            transform.transformed(df, "id", "text", bad, packing.FirstWords(), packing.FirstWords(), 80)
+            raise AssertionError("no error")
+        except ValueError:
+            pass
+    assert transform.transformed(df.limit(0), "id", "text", "script", packing.FirstWords(), packing.FirstWords(), 80).count() == 0
+
+
+def test_templates_and_partial_answers():
+    import dataclasses
+
+    from gleanworks.operators import packing, transform
+
+    mine = dataclasses.replace(transform.template("summary"), id="mine")
+    try:
+        assert transform.register(mine) is transform.template("mine")
+        for wrong in (mine, dataclasses.replace(mine, id="other", refine="")):
+            try:
+                transform.register(wrong)
+                raise AssertionError("no error")
+            except ValueError:
+                pass
+    finally:
+        transform.TEMPLATES.pop("mine")
+    read = packing.parse_partial
+    assert [read(x) for x in ('{"partial_summary": "a"}', 'x ```json\n{"partial_summary": "b"}\n```', '{"partial_summary": "c", oops', "none", '{"other": 1}', '{"partial_summary": 12}')] == ["a", "b", "c", None, None, "12"]
+
+
+def test_stage_cache_keeps_stages_after_a_failure(spark, tmp_path):
+    from gleanworks.session import StageCache
+
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(3)
+
+    folder = f"file://{tmp_path}/run"
+    try:
+        with StageCache(spark, folder) as cache:
+            assert cache.stage("a", build).count() == 3
+            raise RuntimeError("the next stage failed")
+    except RuntimeError:
+        pass
+    with StageCache(spark, folder) as cache:
+        assert cache.stage("a", build).count() == 3 and len(made) == 1
+    assert not (tmp_path / "run").exists()
+
+
+def test_tee_and_live_rate(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gleanworks.streaming import lines
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.txt").write_text("\n".join(f"s{i % 2} {k * 10 + i}" for i in range(10)))
+    stream = lines.read_lines(spark, str(tmp_path / "in"), 1)
+    lines.tee(stream, str(tmp_path / "raw"), str(tmp_path / "ck"))
+    lines.tee(stream, str(tmp_path / "raw"), str(tmp_path / "ck"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    assert raw.count() == 30 and raw.select("batch").distinct().count() == 3
+    final = lines.canonical_texts(raw.select(F.split("value", " ")[0].alias("s"), F.split("value", " ")[1].cast("int").alias("n"), F.split("value", " ")[1].alias("text")), "s", "n").collect()
+    assert {r.s: r.text for r in final}["s0"] == "\n\n".join(str(k * 10 + i) for k in range(3) for i in range(0, 10, 2))
+    timed = stream.select(F.split("value", " ")[0].alias("s"), F.timestamp_seconds(F.split("value", " ")[1].cast("int")).alias("t"))
+    query = lines.live_rate(timed, "s", "t").writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.s: (r.so_far, r.seconds, r.rate) for r in spark.table("rates").collect()}
+    assert got == {"s0": (15, 28.0, 15 / 28), "s1": (15, 28.0, 15 / 28)}
+
+
+def test_listing_excludes_by_path_and_flat_collection(spark, tmp_path):
+    from gleanworks.sources import files
+
+    for name in ("a/b/x.md", "a/bc/y.md", "c/a/b/z.md", "top.md", "TOP.MD"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    names = lambda df: sorted(r.path.rsplit("/", 1)[1] for r in df.select("path").collect())
+    assert names(files.listing(spark, [str(tmp_path)], ("md",), excluded=("a/b",))) == ["TOP.MD", "top.md", "y.md", "z.md"]
+    assert names(files.whole_texts(spark, str(tmp_path), recursive=False)) == ["top.md"] and len(names(files.whole_texts(spark, str(tmp_path)))) == 4
+    sections = spark.createDataFrame([("2", "Chapter 2", 5, 9), ("1", "Chapter 1", 1, 4)], "number string, name string, start_page int, end_page int")
+    files.write_chapters(sections, str(tmp_path / "csv"))
+    lines = [x for f in sorted((tmp_path / "csv").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines[0] == "number,name,start_page,end_page" and [x for x in lines if x[0] != "n"] == ["1,Chapter 1,1,4", "2,Chapter 2,5,9"]
