@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +25,7 @@ INLINE = (
 )
 #: Pauses after spoken segments, in milliseconds.
 PAUSES = {"h1": 900, "h2": 700, "h3": 500, "para": 400, "list": 150}
-#: Entities by name with their semicolon, and the old names that stand without one, from the standard library.
-NAMED = {k: v for k, v in html5.items() if k.endswith(";")}
+#: Names of entities that stand without a semicolon too, from the standard library's table.
 OLD_NAMES = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
 ENTITY = "&(?:#[0-9]{1,9};?|#[xX][0-9a-fA-F]{1,8};?|[A-Za-z][A-Za-z0-9]{1,31};|(?:" + "|".join(OLD_NAMES) + "))"
 #: Numbers of the control signs that stand for signs of a Windows code page.
@@ -96,7 +96,8 @@ def spoken_segments(texts: DataFrame, key: str, content: str) -> DataFrame:
 
 def _entity(x: Column) -> Column:
     """The sign that an entity stands for; an unknown name stays as it is, a number beyond all signs is the replacement sign."""
-    named = F.create_map(*[F.lit(y) for k, v in html5.items() for y in ("&" + k, v)])
+    # constants that the optimizer folds once; a map of thousands of literals would be planned again and again
+    named = F.from_json(F.lit(json.dumps({"&" + k: v for k, v in html5.items()})), "map<string,string>")
     windows = F.create_map(*[F.lit(y) for pair in _WINDOWS.items() for y in pair])
     hexa = F.nullif(F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+)", 1), F.lit(""))
     n = F.coalesce(F.conv(hexa, 16, 10), F.nullif(F.regexp_extract(x, "^&#([0-9]+)", 1), F.lit(""))).cast("bigint")
@@ -141,12 +142,19 @@ def html_table(c: str | Column, prose: int = 60) -> Column:
     return F.when(F.size(rows) == 0, "").when(total > prose * F.size(cells), quote).otherwise(grid)
 
 
-def replace_tables(c: str | Column) -> Column:
-    """Every HTML table of a text in its Markdown form."""
+def replace_tables(texts: DataFrame, key: str, content: str) -> DataFrame:
+    """``key, content``: every HTML table of a text in its Markdown form. ``key`` is unique; a null text stays null.
+
+    Texts with tables are cut at them and each table is a row of its own (nested lambdas over tables of cells are not
+    evaluated right by Spark 4.1), the others pass as they are.
+    """
     pattern = r"(?is)<table\b[^>]*>.*?</table>"
-    tables = F.transform(F.regexp_extract_all(_col(c), F.lit(pattern), 0), html_table)
-    rest = F.split(_col(c), pattern)
-    return F.array_join(F.flatten(F.transform(F.arrays_zip(rest.alias("a"), tables.alias("b")), lambda x: F.array(F.coalesce(x["a"], F.lit("")), F.coalesce(x["b"], F.lit(""))))), "")
+    has = F.coalesce(F.col(content).rlike(pattern), F.lit(False))
+    cut = texts.filter(has).select(key, F.arrays_zip(F.split(content, pattern, -1).alias("rest"), F.regexp_extract_all(content, F.lit(pattern), 0).alias("html")).alias("x"))
+    parts = cut.select(key, F.posexplode("x").alias("i", "x")).select(key, "i", "x.rest", "x.html")
+    parts = parts.select(key, "i", F.concat(F.coalesce("rest", F.lit("")), F.when(F.col("html").isNull(), "").otherwise(html_table("html"))).alias("part"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), "")
+    return texts.filter(~has).select(key, content).unionByName(parts.groupBy(key).agg(whole.alias(content)))
 
 
 def partial_summary(c: str | Column) -> Column:

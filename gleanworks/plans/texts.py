@@ -52,7 +52,7 @@ def spoken_segments(spark, folder):
 def cell_clean(spark, folder):
     """Texts with cells, whose letters are written as entities first: named, decimal and hexadecimal ones."""
     rows = table(spark, folder, "documents").filter("contains(text, '<td')").select("doc_id", F.col("text").alias("html"))
-    for sign, entity in (("é", "&eacute;"), ("ü", "&#252;"), ("ñ", "&#xF1;"), ("r", "&#114;"), ("m", "&#x6d;"), ("a", "&#x61;"), ("ó", "&oacute;")):
+    for sign, entity in (("r", "&#114;"), ("m", "&#x6d;"), ("a", "&#x61;"), ("é", "&eacute;"), ("ü", "&#252;"), ("ñ", "&#xF1;"), ("ó", "&oacute;")):
         rows = rows.withColumn("html", F.expr(f"array_join(transform(regexp_extract_all(html, '<[^>]+>|[^<]+|<', 0), x -> if(startswith(x, '<'), x, replace(x, '{sign}', '{entity}'))), '')"))
     return rows.select("doc_id", tx.clean_cell("html").alias("clean"))
 
@@ -62,7 +62,8 @@ def table_markdown(spark, folder):
 
 
 def tables_replaced(spark, folder):
-    return table(spark, folder, "documents").filter("contains(text, '<table')").select("doc_id", tx.replace_tables("text").alias("markdown"))
+    """Every text with its HTML tables in Markdown."""
+    return tx.replace_tables(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", F.col("text").alias("markdown"))
 
 
 def partial_extract(spark, folder):
@@ -158,7 +159,7 @@ SQL = {
                 || case when pos = 1 then chr(10) || '|' || repeat(' --- |', wide) else '' end end as line from f join a using (doc_id, k)),
       m as (select doc_id, k, string_agg(line, chr(10) order by pos) as markdown from l group by 1, 2),
       p as (select d.doc_id, u.i, d.rest[u.i] || coalesce(m.markdown, '') as part from d, unnest(range(1, len(d.rest) + 1)) as u(i) left join m on m.doc_id = d.doc_id and m.k = u.i)
-      select doc_id, string_agg(part, '' order by i) as markdown from p group by 1""",
+      select doc_id, string_agg(part, '' order by i) as markdown from p group by 1 union all select doc_id, text from documents where text is null or not contains(text, '<table')""",
     "partial_extract": "select * from (values (1, 'plain'), (2, 'fenced'), (3, 'cut'), (4, null), (5, '12'), (6, null), (7, 'a \"quoted\" one')) t(id, summary)",
     "titles": r"""with t as (select doc_id, nullif(regexp_extract(text, '(?m)^#\s+([^\n]*)', 1), '') as title from documents)
         select doc_id, title, '---' || chr(10) || 'title: "' || replace(coalesce(title, 'un"titled'), '"', '''') || '"' || chr(10) || '---' || chr(10) || chr(10) as front from t""",
