@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanworks.llm import bins, leaks, pieces, scans, survivors, textkind, turns
+from gleanworks.plans.planning import MARKDOWN_WALK
 from gleanworks.session import table
 
 
@@ -123,6 +124,9 @@ QUERIES = {
 }
 
 SQL = {
+    # the blocks of the Markdown grammar, walked line by line, that have more characters than a piece may have
+    "p3_found": f"""with recursive {MARKDOWN_WALK}, limits as (select md_id, max(max_chars) as most from summarize_md where content is not null group by 1)
+      select md_id, cast(no as int) as block_no from blocks join limits using (md_id) where most >= 1 and length(text) > most""",
     "p5_found": """
 with rows_once as (
   select group_id, review_id, coalesce(r.saved_at, timestamp '1700-01-01') as recent, coalesce(o.trust_rank, 2147483647) as trust,
