@@ -174,7 +174,7 @@ _i = lambda x: f"cast(trunc({x}) as bigint)"
 #: Blocks of Markdown as a walk over lines: the state after a line, the number of its block, and whether it belongs to it.
 _SHAPE = lambda s: f"""case when starts_with({s}, '```') then 'q' when starts_with({s}, '~~~') then 'w' when starts_with({s}, '|') and contains({s}[2:], '|') then 't' when starts_with({s}, '|') then 'p'
   when regexp_matches({s}, '^#{{1,6}} ') then 'h' when regexp_matches({s}, '^([-*+]|\\d+[.)]) ') then 'l' when {s} = '' then 'b' else 'x' end"""
-_WALK = f"""m as (select md_id, max(content) as content from summarize_md group by md_id),
+MARKDOWN_WALK = f"""m as (select md_id, max(content) as content from summarize_md group by md_id),
   x as (select md_id, unnest(regexp_extract_all(content, '[^\\r\\n]*(?:\\r\\n|\\r|\\n)|[^\\r\\n]+$')) as line, generate_subscripts(regexp_extract_all(content, '[^\\r\\n]*(?:\\r\\n|\\r|\\n)|[^\\r\\n]+$'), 1) as k from m),
   y as (select md_id, k, line, {_SHAPE("regexp_replace(line, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')")} as c, starts_with(line, '    ') or starts_with(line, chr(9)) as deep from x),
   z as (select *, lead(c) over (partition by md_id order by k) as follows from y),
@@ -201,9 +201,9 @@ SQL = {
       case when 600 + t + greatest(512, {_i("t * cast(1.2 as double)")}) <= 1275 then 'single' else 'chunked' end as mode,
       case when target > 0 then round((t - target) * cast(100 as double) / target, 1) else 0.0 end as delta from e""",
     "pivot_fixture": "select * from (values (1, 'alpha'), (2, 'beta'), (3, 'beta'), (4, 'beta'), (5, 'beta')) t(id, path)",
-    "md_blocks": f"with recursive {_WALK} select md_id, kind, count(*) as blocks, sum(length(text)) as chars from blocks group by 1, 2",
+    "md_blocks": f"with recursive {MARKDOWN_WALK} select md_id, kind, count(*) as blocks, sum(length(text)) as chars from blocks group by 1, 2",
     # a unit is a block with the headings before it; a chunk holds 300 tokens, and begins with 3 tokens of a mark and the last 40 of the chunk before it
-    "chunk_markdown": f"""with recursive {_WALK},
+    "chunk_markdown": f"""with recursive {MARKDOWN_WALK},
       u as (select md_id, coalesce(min(case when kind <> 'heading' then no end) over (partition by md_id order by no rows between current row and unbounded following), 1000000000) as unit, no, text from blocks),
       v as (select md_id, {_TOKENS.format("string_agg(text, '' order by no)")} as n, row_number() over (partition by md_id order by unit) as j from u group by md_id, unit),
       f as (select md_id, 0::bigint as j, 0::bigint as done, 0::bigint as size, false as held, 0::bigint as last, null::bigint as c1, null::bigint as c2 from v where j = 1

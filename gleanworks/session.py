@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,7 @@ def get_session(app: str = "gleanworks", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -44,15 +47,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        sc = spark.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001  the session may have ended before
+        pass
+
+
+def release_tables() -> None:
+    """Delete what ``written_table`` has written. To be called when no result that was made from it is needed any more."""
+    while _WRITTEN:
+        _delete(*_WRITTEN.pop())
+
+
+atexit.register(release_tables)
+
+
 def written_table(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
     Cuts the lineage like ``cut_lineage``, in compressed columns: for intermediate results that are read several times.
-    The folder is removed when the session's driver ends.
+    The folder is removed by ``release_tables``, at the latest when the session's driver ends.
     """
-    import atexit
-    import uuid
-
     spark = df.sparkSession
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -64,15 +85,7 @@ def written_table(df: DataFrame) -> DataFrame:
         base = sc.getCheckpointDir()
     path = f"{base}/gleanworks-{uuid.uuid4().hex}"
     df.write.parquet(path)
-
-    def remove() -> None:
-        try:
-            place = sc._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            pass
-
-    atexit.register(remove)
+    _WRITTEN.append((spark, path))
     return spark.read.parquet(path)
 
 
