@@ -325,15 +325,14 @@ def test_listing_excludes_by_path_and_flat_collection(spark, tmp_path):
     assert lines[0] == "number,name,start_page,end_page" and [x for x in lines if x[0] != "n"] == ["1,Chapter 1,1,4", "2,Chapter 2,5,9"]
 
 
-def test_written_tables_lie_in_the_shared_folder_and_are_released(spark, tmp_path):
-    from gleanworks.session import release_tables, written_table
+def test_written_tables_lie_in_the_checkpoint_folder_and_are_released(spark):
+    import pathlib
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        df = written_table(spark.range(5))
-        assert df.count() == 5 and len(list(tmp_path.iterdir())) == 1
-        release_tables()
-        assert not list(tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    from gleanworks import session
+
+    df = session.written_table(spark.range(5))
+    path = session._WRITTEN[-1][1]
+    folder = pathlib.Path(path.removeprefix("file:"))
+    assert df.count() == 5 and path.startswith(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()) and folder.exists()
+    session.release_tables()
+    assert not folder.exists() and not session._WRITTEN
