@@ -223,14 +223,16 @@ def language_sample(c: str | Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(out, r"\[([^\]]+)\]\([^)]*\)", "$1"), r"(?m)^#{1,6}\s+|[*_~|`>]", ""))
 
 
-def detected_language(texts: DataFrame, common: DataFrame, key: str, content: str, default: str = "en") -> DataFrame:
-    """``key, lang``: the language whose common words (``lang, word``, a small table) a text has most, each counted as often as it occurs.
+def detected_language(texts: DataFrame, common: DataFrame, key: str, content: str, default: str = "en", most: int = 20_000) -> DataFrame:
+    """``key, lang``: the language whose common words (``lang, word``) a text has most, each counted as often as it occurs.
 
     Of equal counts the first code wins; a text without any has the default. A repeated key counts its texts together.
+    The list goes to every task; one of more than ``most`` words raises ValueError.
     """
     listed = common.filter("lang is not null and word is not null").select(F.col("lang").alias("_lang"), F.lower("word").alias("_word")).distinct()
+    if listed.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} common words")
     words = texts.select(key, F.explode(F.regexp_extract_all(F.lower(language_sample(content)), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("_word"))
-    # words of one text are counted before they meet the list
-    counted = words.groupBy(key, "_word").agg(F.count("*").alias("_n")).join(listed, "_word").groupBy(key, "_lang").agg(F.sum("_n").alias("_n"))
+    counted = words.join(F.broadcast(listed), "_word").groupBy(key, "_lang").agg(F.count("*").alias("_n"))
     best = counted.groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_lang").alias("lang"))).alias("x"))
     return texts.select(key).distinct().join(best, key, "left").select(key, F.coalesce("x.lang", F.lit(default)).alias("lang"))
