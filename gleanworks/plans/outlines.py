@@ -7,28 +7,26 @@ from pyspark.sql import functions as F
 from gleanworks.operators import ranges as rg
 from gleanworks.session import table
 
-_OUTLINE = [
-    (1, 0, "Preface", 0, 0, 40), (1, 1, "Chapter 1 Start", 2, 0, 40), (1, 2, "1.1 Intro", 3, 1, 40), (1, 3, "Chapter 2 Middle", 10, 0, 40), (1, 4, "Review Questions", 12, 0, 40),
-    (1, 5, "Chapter 2 again", 15, 0, 40), (1, 6, "Appendix A", 20, 1, 40), (1, 7, "chapter 3 lower", 22, 1, 40), (1, 8, "Index", 35, 0, 40), (1, 9, "Part Two", 20, 0, 40),
-    (2, 0, "Chapter 1", 2, 0, 10), (2, 1, "1.1 Intro", 3, 0, 10), (2, 2, "Chapter 2", 5, 0, 10), (2, 3, "Index", 9, 0, 10), (3, 0, "glossary", 0, 0, 5),
-]
-_SPECS = [("1-3,5", 4), ("3-1", 9), ("x", 9), ("2,2", 9), (" 2 - 4 , 9", 6), ("0-2", 5), ("", 5), ("7", 7)]
+#: Outlines of 50 documents of 60 pages, with titles of all sorts, from the parts of each size.
+_TITLE = """case p_partkey % 8 when 0 then concat('Chapter ', p_partkey % 5, ' Start') when 1 then concat(p_partkey % 9, '.1 Intro') when 2 then 'Review Questions' when 3 then concat('Appendix ', chr(cast(65 + p_partkey % 4 as int)))
+  when 4 then 'chapter 3 lower' when 5 then 'Index' when 6 then 'Part Two' else 'glossary' end"""
 
 
-def _outline(spark):
-    return spark.createDataFrame(_OUTLINE, "doc_id bigint, pos int, title string, page_index int, level int, total_pages int")
+def _outline(spark, folder):
+    rows = table(spark, folder, "part")
+    return rows.select(F.col("p_size").cast("bigint").alias("doc_id"), F.col("p_partkey").alias("pos"), F.expr(_TITLE).alias("title"), (F.col("p_partkey") % 60).cast("int").alias("page_index"), F.when(F.col("p_partkey") % 7 > 0, (F.col("p_partkey") % 2).cast("int")).alias("level"), F.lit(60).alias("total_pages"))
 
 
 def chapters_top_level(spark, folder):
-    return rg.top_chapters(_outline(spark)).select("doc_id", "pos", "title", "chapter_key")
+    return rg.top_chapters(_outline(spark, folder)).select("doc_id", "pos", "title", "chapter_key")
 
 
 def page_ranges(spark, folder):
-    return rg.page_ranges(rg.top_chapters(_outline(spark)))
+    return rg.page_ranges(rg.top_chapters(_outline(spark, folder)))
 
 
 def page_gaps(spark, folder):
-    return rg.page_gaps(rg.page_ranges(rg.top_chapters(_outline(spark))))
+    return rg.page_gaps(rg.page_ranges(rg.top_chapters(_outline(spark, folder))))
 
 
 def order_ranges(spark, folder):
@@ -38,7 +36,10 @@ def order_ranges(spark, folder):
 
 
 def page_spec(spark, folder):
-    return rg.pages_of(spark.createDataFrame(_SPECS, "spec string, total int"))
+    """Page lists of all forms, of nations."""
+    spec = """case n_nationkey % 5 when 0 then concat(n_nationkey, '-', n_nationkey + 3, ',', 2 * n_nationkey) when 1 then concat(n_nationkey + 3, '-', n_nationkey) when 2 then concat(' ', n_nationkey, ' - 30 , x,', n_nationkey)
+      when 3 then '' else concat(n_nationkey, ',', n_nationkey, ',99') end"""
+    return rg.pages_of(table(spark, folder, "nation").select(F.expr(spec).alias("spec"), F.lit(20).alias("total")))
 
 
 def numbered_names(spark, folder):
@@ -53,10 +54,10 @@ def progress(spark, folder):
 
 QUERIES = {f.__name__: f for f in (chapters_top_level, page_ranges, page_gaps, order_ranges, page_spec, numbered_names, progress)}
 
-_VALUES = "o(doc_id, pos, title, page_index, level, total_pages) as (values " + ", ".join(f"({a}, {b}, '{c}', {d}, {e}, {f})" for a, b, c, d, e, f in _OUTLINE) + ")"
+_VALUES = f"o as (select p_size as doc_id, p_partkey as pos, {_TITLE} as title, p_partkey % 60 as page_index, case when p_partkey % 7 > 0 then p_partkey % 2 end as level, 60 as total_pages from part)"
 _TOP = rf"""with {_VALUES},
  k as (select *, case when regexp_matches(title, '{rg.CHAPTER_KEY}') then regexp_extract(title, '{rg.CHAPTER_KEY}', 1) || ' ' || regexp_extract(title, '{rg.CHAPTER_KEY}', 2) end as chapter_key
-       from o where not regexp_matches(title, '{rg.NO_CHAPTER}') and (regexp_matches(title, '{rg.CHAPTER}') or level = 0)),
+       from o where not regexp_matches(title, '{rg.NO_CHAPTER}') and (regexp_matches(title, '{rg.CHAPTER}') or coalesce(level, 0) = 0)),
  top as (select * from (select *, row_number() over (partition by doc_id, chapter_key order by pos) as n from k) where chapter_key is null or n = 1),
  rng as (select doc_id, title as name, page_index + 1 as start_page, last + 1 as end_page, total_pages from
          (select *, coalesce(lead(page_index) over (partition by doc_id order by page_index, pos) - 1, total_pages - 1) as last from top) where page_index <= last)"""
@@ -69,7 +70,8 @@ SQL = {
          select doc_id, 'Unidentified Pages ' || start_page || '-' || end_page as name, start_page, end_page from g where start_page <= end_page""",
     "order_ranges": """select doc_id, page_index + 1 as start_page, last + 1 as end_page from (
         select l_orderkey as doc_id, l_linenumber * 3 as page_index, coalesce(lead(l_linenumber * 3) over (partition by l_orderkey order by l_linenumber) - 1, 29) as last from lineitem) where page_index <= last""",
-    "page_spec": "with s(spec, total) as (values " + ", ".join(f"('{a}', {b})" for a, b in _SPECS) + r"""),
+    "page_spec": r"""with s as (select case n_nationkey % 5 when 0 then n_nationkey || '-' || (n_nationkey + 3) || ',' || 2 * n_nationkey when 1 then (n_nationkey + 3) || '-' || n_nationkey
+        when 2 then ' ' || n_nationkey || ' - 30 , x,' || n_nationkey when 3 then '' else n_nationkey || ',' || n_nationkey || ',99' end as spec, 20 as total from nation),
         p as (select spec, total, unnest(string_split(spec, ',')) as part from s),
         r as (select spec, greatest(try_cast(regexp_extract(part, '(\d+)', 1) as int), 1) as lo, least(try_cast(regexp_extract(part, '(\d+)\s*$', 1) as int), total) as hi from p where regexp_matches(part, '^\s*\d+\s*(-\s*\d+\s*)?$')),
         n as (select spec, unnest(range(lo, hi + 1)) as k from r where lo <= hi)

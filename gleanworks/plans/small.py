@@ -73,8 +73,8 @@ def first_of_group(spark, folder):
 
 
 def codec_suffixes(spark, folder):
-    rows = spark.createDataFrame([("aac",), ("mp3",), ("weird",), (None,)], "codec string")
-    return rows.select("codec", sm.codec_suffix("codec").alias("suffix"))
+    codec = F.element_at(F.array(*[F.lit(x) for x in ("aac", "mp3", "weird", "vorbis", "opus", "flac", "pcm_s16le", "ac3", None)]), (F.col("p_partkey") % 9 + 1).cast("int"))
+    return table(spark, folder, "part").select("p_partkey", sm.codec_suffix(codec).alias("suffix"))
 
 
 def silences(spark, folder):
@@ -92,18 +92,17 @@ def page_markers(spark, folder):
 
 
 def time_lines(spark, folder):
-    rows = spark.createDataFrame([(1, "00:12\ntext\n[01:02:03]\nmore"), (2, "12:00\n\nspaced"), (3, "at 12:00\nno")], "id int, t string")
-    return rows.select("id", sm.space_after_times("t").alias("t"))
+    """Lines that are nothing but a time, among others, of nations."""
+    text = "case n_nationkey % 3 when 0 then concat('00:', 10 + n_nationkey, '\n', n_name, '\n[01:02:', 10 + n_nationkey, ']\nmore') when 1 then concat('12:', 10 + n_nationkey, '\n\nspaced') else concat('at 12:', 10 + n_nationkey, '\nno') end"
+    return table(spark, folder, "nation").select("n_nationkey", sm.space_after_times(F.expr(text)).alias("t"))
 
 
 def flat_messages(spark, folder):
-    rows = spark.sql("select 1 as id, array(named_struct('type', 'text', 'text', 'a'), named_struct('type', 'image_url', 'text', null), named_struct('type', 'text', 'text', 'b')) as parts union all select 2, array()")
-    return rows.select("id", sm.flat_message(F.col("parts")).alias("m")).select("id", "m.content", "m.images")
-
-
-def context_sizes(spark, folder):
-    rows = spark.createDataFrame([(1, "stop x\nnum_ctx    8192\n"), (2, "temperature 1"), (3, "")], "id int, p string")
-    return rows.select("id", sm.context_of("p").alias("ctx"))
+    """Events as messages of several parts: a text, a picture for some, and a second text."""
+    text = lambda c: F.struct(F.lit("text").alias("type"), c.alias("text"))
+    picture = F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"))
+    parts = F.when(F.col("event_id") % 5 == 0, F.array().cast("array<struct<type:string,text:string>>")).when(F.col("event_id") % 2 == 0, F.array(text(F.col("event_type")), picture, text(F.col("props")), picture)).otherwise(F.array(text(F.col("event_type")), text(F.col("props"))))
+    return table(spark, folder, "events").select("event_id", sm.flat_message(parts).alias("m")).select("event_id", "m.content", "m.images")
 
 
 def simhash_groups(spark, folder):
@@ -126,7 +125,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         folder_listing, media_outside_thumbnails, outermost_folders, file_tags, language_names, chat_turns, images_in_folder, deepest_first, set_operations, first_of_group, codec_suffixes, silences,
-        page_breaks, page_markers, time_lines, flat_messages, context_sizes, simhash_groups, sweep_report, redundant_share,
+        page_breaks, page_markers, time_lines, flat_messages, simhash_groups, sweep_report, redundant_share,
     )
 }
 
@@ -149,13 +148,13 @@ SQL = {
     "set_operations": """with r as (select review_id, max(paths) as a, max(coalesce(kept, [])) as b from review_server where paths is not null group by 1)
       select review_id, len(list_distinct(list_concat(a, b))) + (case when list_position(list_concat(a, b), null) is not null then 1 else 0 end) as either, len(list_distinct(list_filter(a, lambda x: list_contains(b, x)))) as both, len(list_distinct(list_filter(a, lambda x: not list_contains(b, x)))) as only_a from r""",
     "first_of_group": "select p_brand, arg_min(p_name, p_partkey) as default_name from part group by 1",
-    "codec_suffixes": "select * from (values ('aac', 'm4a'), ('mp3', 'mp3'), ('weird', 'mka'), (null, 'mka')) t(codec, suffix)",
+    "codec_suffixes": "select p_partkey, case p_partkey % 9 when 0 then 'm4a' when 1 then 'mp3' when 3 then 'ogg' when 4 then 'opus' when 5 then 'flac' when 6 then 'wav' when 7 then 'ac3' else 'mka' end as suffix from part",
+    "time_lines": """select n_nationkey, case n_nationkey % 3 when 0 then '00:' || (10 + n_nationkey) || chr(10) || chr(10) || n_name || chr(10) || '[01:02:' || (10 + n_nationkey) || ']' || chr(10) || chr(10) || 'more'
+      when 1 then '12:' || (10 + n_nationkey) || chr(10) || chr(10) || 'spaced' else 'at 12:' || (10 + n_nationkey) || chr(10) || 'no' end as t from nation""",
+    "flat_messages": "select event_id, case when event_id % 5 = 0 then '' else event_type || chr(10) || props end as content, case when event_id % 5 <> 0 and event_id % 2 = 0 then 2 else 0 end as images from events",
     "silences": "select l_orderkey, l_linenumber, cast(floor(24000 * floor(l_quantity) * 7 / 1000) as bigint) as samples from lineitem",
     "page_breaks": "select doc_id, sha256(regexp_replace(text, '(?m)^(## [^\\n]*)', '\\\\newpage' || chr(10) || chr(10) || '\\1', 'g')) as text_hash from documents",
     "page_markers": "select page_id, max(length('## Page ' || page_no || chr(10) || chr(10) || content)) as chars from pdf_vision_ocr where content is not null and regexp_matches(content, '\\S') group by 1",
-    "time_lines": "select * from (values (1, '00:12' || chr(10) || chr(10) || 'text' || chr(10) || '[01:02:03]' || chr(10) || chr(10) || 'more'), (2, '12:00' || chr(10) || chr(10) || 'spaced'), (3, 'at 12:00' || chr(10) || 'no')) t(id, t)",
-    "flat_messages": "select * from (values (1, 'a' || chr(10) || 'b', 1), (2, '', 0)) t(id, content, images)",
-    "context_sizes": "select * from (values (1, 8192), (2, null), (3, null)) t(id, ctx)",
     "sweep_report": """with s as (select l_orderkey, l_linenumber, l_tax * 100 as ttft, case when l_partkey % 7 <> 0 then round(l_quantity / (l_partkey % 7), 6) else 0 end as r, case when l_returnflag = 'R' then 'out of memory' end as error from lineitem)
       select l_orderkey, l_linenumber, case when error is null then '| ' || l_linenumber || ' | ' || coalesce(printf('%.2f', ttft), '—') || ' | ' || coalesce(printf('%.2f', cast(r as double)), '—') || ' |' else '| ' || l_linenumber || ' | ' || error || ' |' end as line from s""",
     "redundant_share": f"with r as (select distinct rel, sha256, {_EXT} as ext from image_index where sha256 is not null) select ext, count(*) as files, count(distinct sha256) as contents, count(*) - count(distinct sha256) as redundant from r group by 1",

@@ -1,4 +1,4 @@
-"""Queries over lines of files: JSON lines, settings, markers, probes and outlines, on fixtures."""
+"""Queries over lines of files: JSON lines, settings, markers, probes and outlines, on tables."""
 
 from __future__ import annotations
 
@@ -6,67 +6,81 @@ from pyspark.sql import functions as F
 
 from gleanworks.sources import files as src
 from gleanworks.streaming import lines as st
-
-_LINES = [
-    (1, 1, '{"message":{"role":"assistant","content":"Hel"},"done":false,"seq":1}'), (1, 2, ""), (1, 3, "{broken"), (1, 4, '{"message":{"content":"lo"},"done":false,"seq":4}'),
-    (1, 5, '{"message":{"content":""},"done":true,"seq":5}'), (1, 6, '{"message":{"content":"late"},"done":false,"seq":6}'), (2, 1, '{"message":{"content":"x"},"done":true,"seq":1}'),
-]
+from gleanworks.session import table
 
 
 def ndjson_tokens(spark, folder):
-    rows = spark.createDataFrame(_LINES, "stream int, pos int, value string")
-    known = st.decode(rows, keep=["stream", "pos"])
-    return st.until_done(known, "stream", "pos").groupBy("stream").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda s: s["content"]), "").alias("text"))
+    """Events of every user as a stream of JSON lines, some blank, some broken, up to the first that says done."""
+    line = """case event_id % 7 when 0 then ' ' when 1 then '{broken' else to_json(named_struct('message', named_struct('role', 'assistant', 'content', if(event_type = 'view', '', event_type)), 'done', event_id % 11 = 0, 'seq', event_id)) end"""
+    rows = table(spark, folder, "events").select("user_id", "event_id", F.expr(line).alias("value"))
+    known = st.until_done(st.decode(rows, keep=["user_id", "event_id"]), "user_id", "event_id")
+    return known.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "content"))), lambda x: x["content"]), "").alias("text"))
 
 
 def resume_pages(spark, folder):
-    lines = spark.createDataFrame([("<!-- page 1 -->",), ("text <!-- page 2 -->",), ("<!--page 3-->",), ("<!-- PAGE 4 --> more",)], "value string")
-    pages = spark.range(1, 7).select(F.col("id").cast("int").alias("page"))
-    return src.pages_to_do(pages, lines)
+    """Pages that have no marker yet; of four pages one has none, one has it within a line."""
+    pages = table(spark, folder, "pdf_vision_ocr").select(F.col("page_id").cast("int").alias("page")).distinct()
+    line = "case page % 4 when 0 then concat('<!-- page ', page, ' -->') when 1 then concat('text <!-- page ', page, ' -->') when 2 then concat('<!--PAGE  ', page, '--> more') else 'text' end"
+    return src.pages_to_do(pages, pages.select(F.expr(line).alias("value")))
+
+
+_SETTING = "case n_nationkey % 5 when 0 then concat('KEY_', n_nationkey, '=', n_name) when 1 then concat(' # KEY_', n_nationkey, '=x') when 2 then concat(' KEY_', n_nationkey, ' = ', chr(39), 'a=', n_name, chr(39), ' ') when 3 then 'plain' else '=no' end"
 
 
 def settings_lines(spark, folder):
-    rows = spark.createDataFrame([("A=1",), ("# B=2",), ("C = 'x=y'",), ("plain",), ("=no",)], "value string")
-    return src.settings(rows)
+    return src.settings(table(spark, folder, "nation").select(F.expr(_SETTING).alias("value")))
 
 
 def settings_update(spark, folder):
-    rows = spark.createDataFrame([(1, "A=1"), (2, "# note"), (3, "B=2")], "pos int, value string")
-    return src.update_settings(rows, spark.createDataFrame([("B", "9"), ("C", "3")], "key string, value string"))
+    """Every second setting of the nations anew, and one for each region."""
+    lines = table(spark, folder, "nation").select(F.col("n_nationkey").alias("pos"), F.expr("if(n_nationkey % 3 = 1, concat('# K', n_nationkey, '=1'), concat('K', n_nationkey, '=1'))").alias("value"))
+    new = table(spark, folder, "nation").filter("n_nationkey % 6 = 0").select(F.expr("concat('K', n_nationkey)").alias("key"), F.col("n_name").alias("value"))
+    return src.update_settings(lines, new.unionByName(table(spark, folder, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("key"), F.col("r_name").alias("value"))))
 
 
 def probe_profiles(spark, folder):
-    rows = spark.createDataFrame([(1, '{"streams":[{"codec_type":"audio","codec_name":"aac","sample_rate":"48000","channels":2},{"codec_type":"video","codec_name":"h264","width":1920}]}'), (2, "no json"), (3, '{"streams":[]}')], "id int, p string")
-    return rows.select("id", src.stream_profile("p").alias("s")).select("id", "s.v_codec", "s.width", "s.a_codec", "s.a_rate")
+    """Streams of films of the sizes of parts: with both, with sound alone, with a picture alone, and no probe."""
+    video = "concat('{\"codec_type\":\"video\",\"codec_name\":\"h264\",\"width\":', p_size * 16, '}')"
+    audio = "concat('{\"codec_type\":\"audio\",\"codec_name\":\"aac\",\"sample_rate\":\"', p_size * 1000, '\",\"channels\":2}')"
+    probe = f"case p_partkey % 4 when 0 then 'no json' when 1 then concat('{{\"streams\":[', {audio}, ']}}') when 2 then concat('{{\"streams\":[', {video}, ']}}') else concat('{{\"streams\":[', {audio}, ',', {video}, ',', {audio}, ']}}') end"
+    rows = table(spark, folder, "part").select("p_partkey", src.stream_profile(F.expr(probe)).alias("s"))
+    return rows.select("p_partkey", "s.v_codec", "s.width", "s.a_codec", "s.a_rate")
 
 
 def earliest_dates(spark, folder):
-    rows = spark.createDataFrame([(1, ["2021:05:03 10:11:12", "0000:00:00 00:00:00", "2020:01:01 00:00:00"]), (2, ["bad"]), (3, [])], "id int, d array<string>")
-    return rows.select("id", F.date_format(src.earliest_date(F.col("d")), "yyyy-MM-dd HH:mm:ss").alias("first"))
+    """The first order of each customer, from dates as texts among which are zeros and other words."""
+    rows = table(spark, folder, "orders").groupBy("o_custkey").agg(F.collect_list(F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")).alias("d"))
+    lines = F.concat("d", F.array(F.lit("0000:00:00 00:00:00"), F.lit("bad")))
+    return rows.select("o_custkey", F.date_format(src.earliest_date(F.when(F.col("o_custkey") % 9 == 0, F.array(F.lit("bad"))).otherwise(lines)), "yyyy-MM-dd HH:mm:ss").alias("first"))
 
 
 def outline_levels(spark, folder):
-    items = spark.createDataFrame([(1, None, "A"), (2, 1, "A.1"), (3, 2, "A.1.a"), (4, None, "B"), (5, 4, "B.1")], "id int, parent int, title string")
+    """Regions, their nations and the nations' suppliers as an outline of three levels, down to the nations."""
+    items = table(spark, folder, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("parent"), F.col("r_name").alias("title"))
+    items = items.unionByName(table(spark, folder, "nation").select((F.col("n_nationkey") + 100).cast("bigint").alias("id"), F.col("n_regionkey").cast("bigint").alias("parent"), F.col("n_name").alias("title")))
+    items = items.unionByName(table(spark, folder, "supplier").select((F.col("s_suppkey") + 1000).alias("id"), (F.col("s_nationkey") + 100).cast("bigint").alias("parent"), F.col("s_name").alias("title")))
     return src.outline_levels(spark, items, 1)
 
 
 def chapter_summary(spark, folder):
-    rows = spark.createDataFrame([(0, "Chapter 4 Water", 1, 9), (1, "Preface", 10, 12), (2, "Appendix B", 13, 20)], "pos int, name string, start_page int, end_page int")
+    name = "case n_nationkey % 3 when 0 then concat('Chapter ', n_nationkey, ' of ', n_name) when 1 then concat('Preface ', n_nationkey) else concat('Appendix ', chr(65 + n_nationkey), ' ', n_name) end"
+    rows = table(spark, folder, "nation").select(F.col("n_nationkey").alias("pos"), F.expr(name).alias("name"), (F.col("n_nationkey") * 10 + 1).alias("start_page"), (F.col("n_nationkey") * 10 + 10).alias("end_page"))
     return src.chapter_summary(rows)
 
 
 QUERIES = {f.__name__: f for f in (ndjson_tokens, resume_pages, settings_lines, settings_update, probe_profiles, earliest_dates, outline_levels, chapter_summary)}
 SQL = {
-    "ndjson_tokens": "with v(stream, pos, value) as (values " + ", ".join(f"({a}, {b}, '{c}')" for a, b, c in _LINES) + """),
-      j as (select stream, pos, case when json_valid(value) then cast(value as json) end as j from v where trim(value) <> ''),
-      k as (select stream, pos, coalesce(json_extract_string(j, '$.message.content'), '') as content, cast(json_extract_string(j, '$.done') as boolean) as done from j where j is not null and json_extract_string(j, '$.done') is not null),
-      w as (select *, max(cast(done as int)) over (partition by stream order by pos rows between unbounded preceding and 1 preceding) as over_ from k where content <> '' or done)
-      select stream, string_agg(content, '' order by pos) as text from w where coalesce(over_, 0) = 0 group by stream""",
-    "resume_pages": "select p as page from (values (2), (5), (6)) t(p)",
-    "settings_lines": "select * from (values ('A', '1'), ('C', 'x=y')) t(key, value)",
-    "settings_update": "select * from (values (1, 'A=1'), (2, '# note'), (3, 'B=9'), (2147483647, 'C=3')) t(pos, value)",
-    "probe_profiles": "select * from (values (1, 'h264', 1920, 'aac', '48000'), (2, null, null, null, null), (3, null, null, null, null)) t(id, v_codec, width, a_codec, a_rate)",
-    "earliest_dates": "select * from (values (1, '2020-01-01 00:00:00'), (2, null), (3, null)) t(id, first)",
-    "outline_levels": "with recursive i(id, parent, title) as (values (1, null, 'A'), (2, 1, 'A.1'), (3, 2, 'A.1.a'), (4, null, 'B'), (5, 4, 'B.1')), w as (select id, title, 0 as level from i where parent is null union all select i.id, i.title, w.level + 1 from w join i on i.parent = w.id where w.level < 1) select * from w",
-    "chapter_summary": "select * from (values ('4', 'Chapter 4 Water', 1, 9), ('Unidentified 2', 'Preface', 10, 12), ('B', 'Appendix B', 13, 20)) t(number, name, start_page, end_page)",
+    "ndjson_tokens": """with r as (select user_id, event_id, case when event_type = 'view' then '' else event_type end as content, event_id % 11 = 0 as done from events where event_id % 7 not in (0, 1)),
+      k as (select * from r where content <> '' or done), f as (select user_id, min(event_id) as last from k where done group by 1)
+      select user_id, string_agg(content, '' order by event_id) as text from k left join f using (user_id) where last is null or event_id <= last group by user_id""",
+    "resume_pages": "select distinct cast(page_id as int) as page from pdf_vision_ocr where page_id % 4 in (1, 3)",
+    "settings_lines": "select 'KEY_' || n_nationkey as key, case n_nationkey % 5 when 0 then n_name else 'a=' || n_name end as value from nation where n_nationkey % 5 in (0, 2)",
+    "settings_update": """select n_nationkey as pos, case when n_nationkey % 6 = 0 then 'K' || n_nationkey || '=' || n_name when n_nationkey % 3 = 1 then '# K' || n_nationkey || '=1' else 'K' || n_nationkey || '=1' end as value from nation
+      union all select 2147483647, 'R' || r_regionkey || '=' || r_name from region""",
+    "probe_profiles": """select p_partkey, case when p_partkey % 4 in (2, 3) then 'h264' end as v_codec, case when p_partkey % 4 in (2, 3) then p_size * 16 end as width,
+      case when p_partkey % 4 in (1, 3) then 'aac' end as a_codec, case when p_partkey % 4 in (1, 3) then cast(p_size * 1000 as varchar) end as a_rate from part""",
+    "earliest_dates": "select o_custkey, case when o_custkey % 9 <> 0 then strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') end as first from orders group by 1",
+    "outline_levels": "select cast(r_regionkey as bigint) as id, r_name as title, 0 as level from region union all select n_nationkey + 100, n_name, 1 from nation",
+    "chapter_summary": """select case n_nationkey % 3 when 0 then cast(n_nationkey as varchar) when 1 then 'Unidentified ' || (n_nationkey + 1) else chr(65 + n_nationkey) end as number,
+      case n_nationkey % 3 when 0 then 'Chapter ' || n_nationkey || ' of ' || n_name when 1 then 'Preface ' || n_nationkey else 'Appendix ' || chr(65 + n_nationkey) || ' ' || n_name end as name, n_nationkey * 10 + 1 as start_page, n_nationkey * 10 + 10 as end_page from nation""",
 }

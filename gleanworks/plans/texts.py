@@ -8,19 +8,6 @@ from gleanworks.functions import text as tx
 from gleanworks.session import table
 
 _LINES = [(1, "**b** and *i*"), (2, "[t](u)"), (3, "![a](u)"), (4, "cost $5$ x"), (5, "***x*** ~~y~~ __z__"), (6, "![a][b] [c][d]"), (7, r"back\\slash \\* "), (8, "")]
-_REPLIES = [
-    (1, '{"partial_summary": "plain"}'), (2, 'text ```json\n{"partial_summary": "fenced"}\n``` end'), (3, '{"partial_summary": "cut", oops'), (4, "none"), (5, '{"partial_summary": 12}'),
-    (6, '  {"other": 1}  '), (7, 'x "partial_summary" : "a \\"quoted\\" one" }'),
-]
-_RESIDUE = [(1, "Here is the summary:\nBody text."), (2, "Voilà le texte. Suite\nFin"), (3, "In summary this works.\nBody"), (4, "Body\nI hope this helps."), (5, "NOTE : this summary was made.\nBody"), (6, "Body only"), (7, "Body\nHere is more: rest")]
-_TABLES = [
-    (1, "<table><tr><th>a</th><th>b</th><th>c</th></tr><tr><td>1</td><td>x &amp; y</td></tr></table>"),
-    (2, "<table><tr><td>" + "long words " * 12 + "</td><td></td></tr><tr><td></td></tr></table>"),
-    (3, "<table><tr><td> </td></tr></table>"), (4, "no table"),
-    (5, "<TABLE class='k'><TR><TD>a<b>1</b></TD><TD>&quot;q&quot;</TD></TR></TABLE>"),
-]
-
-
 def _md(spark, folder):
     return table(spark, folder, "summarize_md").groupBy("md_id").agg(F.max("content").alias("content")).filter("content is not null")
 
@@ -38,7 +25,9 @@ def inline_clean_fixture(spark, folder):
 
 
 def residue_strip(spark, folder):
-    return spark.createDataFrame(_RESIDUE, "id bigint, t string").select("id", tx.strip_residue("t").alias("clean"))
+    """Every text as a model would give it, with phrases before and after it."""
+    wrapped = F.concat(F.element_at(F.array(*map(F.lit, ("", "Here is the summary:\n", "Voilà le texte. ", "In summary this works.\n", "NOTE : this summary was made.\n"))), (F.col("doc_id") % 5 + 1).cast("int")), "text", F.when(F.col("doc_id") % 2 == 0, "\nI hope this helps.").otherwise(""))
+    return table(spark, folder, "documents").select("doc_id", tx.strip_residue(wrapped).alias("clean"))
 
 
 def markdown_clean(spark, folder):
@@ -57,17 +46,18 @@ def cell_clean(spark, folder):
     return rows.select("doc_id", tx.clean_cell("html").alias("clean"))
 
 
-def table_markdown(spark, folder):
-    return spark.createDataFrame(_TABLES, "id bigint, html string").select("id", tx.html_table("html").alias("markdown"))
-
-
 def tables_replaced(spark, folder):
     """Every text with its HTML tables in Markdown."""
     return tx.replace_tables(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", F.col("text").alias("markdown"))
 
 
 def partial_extract(spark, folder):
-    return spark.createDataFrame(_REPLIES, "id bigint, reply string").select("id", tx.partial_summary("reply").alias("summary"))
+    """Replies that hold the words of every text: as JSON, in a fence, broken, without the field, and as a number."""
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+    kind = F.col("doc_id") % 5
+    whole = F.concat(F.lit('{"partial_summary": "'), words, F.lit('"}'))
+    reply = F.when(kind == 0, whole).when(kind == 1, F.concat(F.lit("text ```json\n"), whole, F.lit("\n``` end"))).when(kind == 2, F.concat(F.lit('{"partial_summary": "a \\"quoted\\" '), words, F.lit('", oops'))).when(kind == 3, F.concat(F.lit('{"other": "'), words, F.lit('"}')))
+    return table(spark, folder, "documents").select("doc_id", tx.partial_summary(reply.otherwise(F.concat(F.lit('{"partial_summary": '), F.col("doc_id"), F.lit("}")))).alias("summary"))
 
 
 def titles(spark, folder):
@@ -81,13 +71,16 @@ def names_and_times(spark, folder):
 
 
 def number_lists(spark, folder):
-    rows = spark.createDataFrame([(1, "1,2, 3"), (2, ""), (3, "7,,8,"), (4, "42")], "id bigint, list string")
-    return rows.select("id", F.array_join(tx.number_list("list").cast("array<string>"), "|").alias("numbers"))
+    """Lists of numbers with blank tokens, of parts."""
+    given = F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat("p_partkey", F.lit(",,  "), "p_size", F.lit(",")))
+    return table(spark, folder, "part").select("p_partkey", F.array_join(tx.number_list(given).cast("array<string>"), "|").alias("numbers"))
 
 
 def image_prefix(spark, folder):
-    rows = spark.createDataFrame([(1, "![a](images/x.png) <img src=\"images/y.png\">"), (2, "![b](http://images/x.png)"), (3, "none")], "id bigint, t string")
-    return rows.select("id", tx.image_refs("t", F.lit("my doc/é")).alias("moved"))
+    """References to pictures behind the encoded name of a nation; addresses elsewhere stay."""
+    rows = table(spark, folder, "nation")
+    text = F.concat(F.lit("![a](images/"), "n_name", F.lit(".png) <img src=\"images/y.png\"> ![b](http://images/"), "n_name", F.lit(".png)"))
+    return rows.select("n_nationkey", tx.image_refs(text, F.concat(F.lit("my doc/é "), "n_name")).alias("moved"))
 
 
 def mermaid_blocks(spark, folder):
@@ -99,7 +92,7 @@ def mermaid_blocks(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        sentences, inline_clean, inline_clean_fixture, residue_strip, markdown_clean, spoken_segments, cell_clean, table_markdown, tables_replaced, partial_extract, titles,
+        sentences, inline_clean, inline_clean_fixture, residue_strip, markdown_clean, spoken_segments, cell_clean, tables_replaced, partial_extract, titles,
         names_and_times, number_lists, image_prefix, mermaid_blocks,
     )
 }
@@ -133,7 +126,6 @@ SQL = {
     "sentences": f"select doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z\"])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda x: {_nested('x', _STRIP)}), lambda x: x <> ''), chr(1)) as sentences from documents",
     "inline_clean": f"select doc_id, {_INLINE('text')} as clean from documents",
     "inline_clean_fixture": f"with {_values(_LINES, 'id, line')} select id, {_INLINE('line')} as clean from v",
-    "residue_strip": f"with {_values(_RESIDUE, 'id, t')} select id, {_residue('t')} as clean from v",
     "markdown_clean": f"with {_MD} select md_id, " + _nested(_nested("content", [(r"\\([`*_{}\[\]()#+\-.!<>|~^])", "$1"), (r"\n{3,}", "\n\n"), (r"(?m)[ \t\r\f\v]+$", "")]), _STRIP) + " || chr(10) as clean from m",
     "spoken_segments": rf"""with {_MD}, l as (select md_id, unnest(string_split_regex({_nested("content", [("(?s)```.*?```", ""), ("`[^`]+`", ""), ("<[^>]+>", "")])}, '\r\n|\n|\r')) as y, generate_subscripts(string_split_regex({_nested("content", [("(?s)```.*?```", ""), ("`[^`]+`", ""), ("<[^>]+>", "")])}, '\r\n|\n|\r'), 1) as ln from m),
       t as (select md_id, ln, {_nested("y", _STRIP)} as x from l),
@@ -146,7 +138,6 @@ SQL = {
       e as (select *, case when lead(kind) over (partition by md_id order by ln) = 'rule' then greatest(pause, 700) else pause end as pause_ms from d where kind = 'rule' or text <> '')
       select md_id, row_number() over (partition by md_id order by ln) as no, text, pause_ms from e where kind <> 'rule'""",
     "cell_clean": f"select doc_id, {_CELL('text')} as clean from documents where contains(text, '<td')",
-    "table_markdown": "select * from (values (1, '| a | b | c |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| 1 | x & y |  |'), (2, '> " + ("long words " * 12).strip() + "'), (3, ''), (4, ''), (5, '| a1 | \"q\" |' || chr(10) || '| --- | --- |')) t(id, markdown)",
     # texts are cut at their tables; each table becomes rows of cells, padded to the widest, or a quotation if cells are long
     "tables_replaced": rf"""with d as (select doc_id, text, regexp_extract_all(text, '(?is)<table\b[^>]*>.*?</table>') as tables, string_split_regex(text, '(?is)<table\b[^>]*>.*?</table>') as rest from documents where contains(text, '<table')),
       t as (select doc_id, unnest(tables) as html, generate_subscripts(tables, 1) as k from d),
@@ -160,7 +151,12 @@ SQL = {
       m as (select doc_id, k, string_agg(line, chr(10) order by pos) as markdown from l group by 1, 2),
       p as (select d.doc_id, u.i, d.rest[u.i] || coalesce(m.markdown, '') as part from d, unnest(range(1, len(d.rest) + 1)) as u(i) left join m on m.doc_id = d.doc_id and m.k = u.i)
       select doc_id, string_agg(part, '' order by i) as markdown from p group by 1 union all select doc_id, text from documents where text is null or not contains(text, '<table')""",
-    "partial_extract": "select * from (values (1, 'plain'), (2, 'fenced'), (3, 'cut'), (4, null), (5, '12'), (6, null), (7, 'a \"quoted\" one')) t(id, summary)",
+    "residue_strip": f"""with v as (select doc_id, ['', 'Here is the summary:' || chr(10), 'Voilà le texte. ', 'In summary this works.' || chr(10), 'NOTE : this summary was made.' || chr(10)][doc_id % 5 + 1] || text || case when doc_id % 2 = 0 then chr(10) || 'I hope this helps.' else '' end as t from documents)
+        select doc_id, {_residue('t')} as clean from v""",
+    "partial_extract": """with w as (select doc_id, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')) as w from documents)
+        select doc_id, case doc_id % 5 when 0 then w when 1 then w when 2 then 'a "quoted" ' || w when 4 then cast(doc_id as varchar) end as summary from w""",
+    "number_lists": "select p_partkey, case when p_partkey % 4 = 0 then '' else p_partkey || '|' || p_size end as numbers from part",
+    "image_prefix": "select n_nationkey, '![a](my%20doc/%C3%A9%20' || n_name || '/images/' || n_name || '.png) <img src=\"my%20doc/%C3%A9%20' || n_name || '/images/y.png\"> ![b](http://images/' || n_name || '.png)' as moved from nation",
     "titles": r"""with t as (select doc_id, nullif(regexp_extract(text, '(?m)^#\s+([^\n]*)', 1), '') as title from documents)
         select doc_id, title, '---' || chr(10) || 'title: "' || replace(coalesce(title, 'un"titled'), '"', '''') || '"' || chr(10) || '---' || chr(10) || chr(10) as front from t""",
     "names_and_times": f"""with l as (select *, cast(floor(l_extendedprice / 100 * 1000 + 1e-6) as bigint) as ms, cast(floor(l_quantity) as bigint) * 7 as s, cast(l_partkey as bigint) * l_partkey * 977 as b from lineitem)
@@ -168,7 +164,5 @@ SQL = {
         case when l_tax > 0.03 then printf('%d', cast(floor(l_quantity) as bigint)) else '—' end as shown,
         case when b < 1024 then b || ' B' when b < 1048576 then (b // 1024) || ' KB' when b < 1073741824 then (b // 1048576) || ' MB' else (b // 1073741824) || ' GB' end as size,
         l_returnflag || '_' || l_linestatus as name from l""",
-    "number_lists": "select * from (values (1, '1|2|3'), (2, ''), (3, '7|8'), (4, '42')) t(id, numbers)",
-    "image_prefix": "select * from (values (1, '![a](my%20doc/%C3%A9/images/x.png) <img src=\"my%20doc/%C3%A9/images/y.png\">'), (2, '![b](http://images/x.png)'), (3, 'none')) t(id, moved)",
     "mermaid_blocks": rf"with {_MD}, x as (select md_id, regexp_extract_all(content, '(?s)```ini\s*\n(.*?)\n```', 1) as c from m) select md_id, k as no, c[k] as code from (select md_id, c, unnest(range(1, len(c) + 1)) as k from x)",
 }
