@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanworks.functions import planner as pl
-from gleanworks.operators import catalog, layout, packing
+from gleanworks.operators import actions, catalog, layout, packing
 from gleanworks.session import table
 
 
@@ -47,15 +47,20 @@ def _sweep(spark, folder):
 
 
 def sweep_rank(spark, folder):
-    rows = _sweep(spark, folder).filter(pl.viable("ttft", "decode_rate", "error"))
-    best = rows.groupBy("l_orderkey").agg(F.min(F.struct((-F.col("decode_rate")).alias("d"), "l_linenumber", "l_partkey")).alias("x"), F.count("*").alias("viable"))
-    return best.select("l_orderkey", "viable", F.col("x.l_linenumber").alias("best_line"), (-F.col("x.d")).alias("best_rate"))
+    """The best usable run of every sweep, and how many there are."""
+    rows = actions.ranked_runs(_sweep(spark, folder), "l_orderkey", "decode_rate", pl.viable("ttft", "decode_rate", "error"), ["l_linenumber", "l_partkey"]).filter("usable")
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("viable"), F.min_by("l_linenumber", "place").alias("best_line"), F.min_by("decode_rate", "place").alias("best_rate"))
+
+
+def sweep_places(spark, folder):
+    """Runs of every sweep by their rate, failed ones and others that are of no use last."""
+    rows = actions.ranked_runs(_sweep(spark, folder), "l_orderkey", "decode_rate", pl.viable("ttft", "decode_rate", "error"), ["l_linenumber", "l_partkey", "ttft", "n"])
+    return rows.select("l_orderkey", "place", "l_linenumber", "usable")
 
 
 def sweep_grid(spark, folder):
     """Every context with every number of layers, contexts outside (both lists are short parameters)."""
-    ctx = spark.createDataFrame([(2048,), (4096,), (8192,)], "num_ctx int")
-    return ctx.select("num_ctx", F.explode(F.array(*[F.lit(n) for n in (0, 8, 16, 24, 32)])).alias("num_gpu"))
+    return actions.parameter_grid(spark.createDataFrame([(2048,), (4096,), (8192,)], "num_ctx int"), "num_gpu", [0, 8, 16, 24, 32])
 
 
 def chunk_pack(spark, folder):
@@ -112,31 +117,20 @@ def reading_order(spark, folder):
     return layout.reading_order(blocks.drop("sidebar").join(grown, ["page", "block_no"]), pages)
 
 
-#: What can be done with files of which suffix.
-ACTIONS = [
-    ("transcribe", "Audio", "mp3,wav,m4a,flac"), ("extract-audio", "Audio", "mp4,mov,mkv"), ("thumbnail", "Images", "jpg,jpeg,png,heic,mp4"), ("image-dedup", "Images", "jpg,jpeg,png,heic"),
-    ("md-to-pdf", "Documents", "md"), ("md-summary", "AI", "md"), ("ocr", "Documents", "pdf,png"),
-]
-
-
-def _actions(spark):
-    return spark.createDataFrame(ACTIONS, "action string, category string, exts string").select("action", "category", F.explode(F.split("exts", ",")).alias("ext"))
-
-
 def action_dispatch(spark, folder):
-    index = table(spark, folder, "image_index").select("rel").distinct().select("rel", catalog.suffix("rel").alias("ext"))
-    return index.join(F.broadcast(_actions(spark)), "ext").groupBy("action", "category", "ext").agg(F.count("*").alias("files"))
+    rows = actions.file_actions(table(spark, folder, "image_index").select("rel").distinct())
+    return rows.groupBy("action", "category", "ext").agg(F.count("*").alias("files"))
 
 
 def folder_actions(spark, folder):
     """Actions of a folder, from the set of suffixes in it; by category in a set order, then by name."""
-    index = table(spark, folder, "image_index").select(F.regexp_extract("rel", "^(.*)/[^/]*$", 1).alias("folder"), catalog.suffix("rel").alias("ext")).distinct()
-    rows = index.join(F.broadcast(_actions(spark)), "ext").groupBy("folder").agg(F.collect_set(F.struct(F.array_position(F.array(*map(F.lit, ("Images", "Audio", "Documents", "AI"))), F.col("category")).alias("o"), "action")).alias("a"), F.array_join(F.array_sort(F.collect_set("ext")), ",").alias("exts"))
-    return rows.select("folder", "exts", F.array_join(F.transform(F.array_sort("a"), lambda x: x["action"]), ",").alias("actions"))
+    return actions.folder_actions(table(spark, folder, "image_index"))
 
 
 def status_counts(spark, folder):
-    return table(spark, folder, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.count_if(~F.col("o_orderstatus").isin("F", "O")).alias("other"), F.min("o_orderdate").cast("string").alias("first_date"))
+    rows = table(spark, folder, "orders")
+    first = rows.groupBy("o_custkey").agg(F.min("o_orderdate").cast("string").alias("first_date"))
+    return actions.status_counts(rows, "o_custkey", "o_orderstatus", {"done": "F", "open": "O"}).join(first, "o_custkey")
 
 
 def sync_state(spark, folder):
@@ -165,13 +159,13 @@ def stream_compatibility(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        pivot_plan, pivot_fixture, sweep_grids, memory_tiers, sweep_rank, sweep_grid, chunk_pack, chunk_markdown, md_blocks, md_blocks_fixture, summaries, weighted_mode, reading_order,
+        pivot_plan, pivot_fixture, sweep_grids, memory_tiers, sweep_rank, sweep_places, sweep_grid, chunk_pack, chunk_markdown, md_blocks, md_blocks_fixture, summaries, weighted_mode, reading_order,
         action_dispatch, folder_actions, status_counts, sync_state, stream_compatibility,
     )
 }
 
 _TOK = "len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]'))"
-_ACT = "a as (select action, category, unnest(string_split(exts, ',')) as ext from (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in ACTIONS) + ") t(action, category, exts))"
+_ACT = "a as (select action, category, unnest(string_split(exts, ',')) as ext from (values " + ", ".join(f"('{a.id}', '{a.category}', '{','.join(a.suffixes)}')" for a in actions.ACTIONS) + ") t(action, category, exts))"
 _BL = [("heading", "# One\n"), ("paragraph", "Text a\nText b\n"), ("code_block", "```py\n# no heading\n\n| no | table |\n```\n"), ("table", "| a | b |\n|---|---|\n"), ("list", "- x\n    more\n\n- y\n"), ("list", "1) z\n"), ("paragraph", "last\n"), ("heading", "## Two\n"), ("heading", "## Three\n")]
 _i = lambda x: f"cast(trunc({x}) as bigint)"
 #: Blocks of Markdown as a walk over lines: the state after a line, the number of its block, and whether it belongs to it.
@@ -229,6 +223,9 @@ SQL = {
       v as (select * from s where not failed and case when ttft = 0 then 999 else ttft end < 5 and r > 3)
       select l_orderkey, count(*) over (partition by l_orderkey) as viable, l_linenumber as best_line, r as best_rate from v
       qualify row_number() over (partition by l_orderkey order by r desc, l_linenumber, l_partkey) = 1""",
+    "sweep_places": """with s as (select l_orderkey, l_linenumber, l_partkey, l_quantity, l_tax * 100 as ttft, case when l_partkey % 7 <> 0 then round(l_quantity / (l_partkey % 7), 6) else 0 end as r, l_returnflag = 'R' as failed from lineitem),
+      v as (select *, not failed and case when ttft = 0 then 999 else ttft end < 5 and r > 3 as usable from s)
+      select l_orderkey, row_number() over (partition by l_orderkey order by usable desc, r desc, l_linenumber, l_partkey, ttft, l_quantity) as place, l_linenumber, usable from v""",
     "sweep_grid": "select c as num_ctx, g as num_gpu from (values (2048), (4096), (8192)) a(c), (values (0), (8), (16), (24), (32)) b(g)",
     "chunk_pack": """with recursive l as (select doc_id, k, len(regexp_extract_all(p, '[^ \\t\\r\\n]+')) as n from (select doc_id, unnest(string_split(text, chr(10))) as p, generate_subscripts(string_split(text, chr(10)), 1) as k from documents)),
       f as (select doc_id, k, 1 as chunks, n as size from l where k = 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanworks.functions import small as sm
-from gleanworks.operators import catalog, dedup
+from gleanworks.operators import actions, catalog, dedup
 from gleanworks.plans.planning import _sweep
 from gleanworks.session import table
 
@@ -15,12 +15,8 @@ def _rels(spark, folder):
 
 
 def folder_listing(spark, folder):
-    """Entries of every folder of photos: folders first, then files, whatever their case."""
-    rows = _rels(spark, folder).select(F.split("rel", "/").alias("p"))
-    entries = rows.select(F.col("p")[1].alias("folder"), F.explode(F.array(F.struct(F.col("p")[2].alias("name"), F.lit(True).alias("is_dir")), F.struct(F.element_at("p", -1).alias("name"), F.lit(False).alias("is_dir")))).alias("x")).select("folder", "x.*").distinct()
-    from pyspark.sql import Window
-
-    return entries.withColumn("n", F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("is_dir"), F.lower("name"), "name")))
+    """Entries of every folder: folders first, then pictures of three suffixes, whatever their case."""
+    return actions.folder_entries(_rels(spark, folder), ("jpg", "png", "heic"))
 
 
 def media_outside_thumbnails(spark, folder):
@@ -46,30 +42,28 @@ def language_names(spark, folder):
 
 
 def chat_turns(spark, folder):
-    return table(spark, folder, "documents").filter("source = 'chat_model'").select("doc_id", F.regexp_count("text", F.lit(r"(?md)^## You$")).alias("turns"))
+    return table(spark, folder, "documents").select("doc_id", actions.turns_of_chat("text").alias("turns"))
 
 
 def images_in_folder(spark, folder):
-    rows = _rels(spark, folder).select(F.regexp_extract("rel", "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("rel", "([^/]*)$", 1).alias("name"))
-    return rows.groupBy("folder").agg(F.count_if(~F.col("name").startswith(".")).alias("images"))
+    """Pictures of every folder; those of every seventh size are hidden."""
+    rows = table(spark, folder, "image_index").groupBy("rel").agg(F.max("size").alias("size"))
+    return actions.files_in_folders(rows.select(F.expr("if(size % 7 = 0, regexp_replace(rel, '/([^/]*)$', '/.$1'), rel)").alias("rel")), ("jpg", "png"))
 
 
 def deepest_first(spark, folder):
-    rows = _rels(spark, folder).select(F.regexp_extract("rel", "^(.*)/[^/]*$", 1).alias("dir")).distinct()
-    from pyspark.sql import Window
-
-    depth = F.size(F.split("dir", "/"))
-    return rows.select("dir", depth.alias("depth"), F.row_number().over(Window.partitionBy(F.substring("dir", 1, 11)).orderBy(F.desc(depth), "dir")).alias("n"))
+    rows = _rels(spark, folder).select(F.regexp_extract("rel", "^(.*)/[^/]*$", 1).alias("dir")).distinct().withColumn("year", F.substring("dir", 1, 11))
+    return actions.deepest_first(rows, "dir", "year").select("dir", "depth", "n")
 
 
 def set_operations(spark, folder):
-    rows = table(spark, folder, "review_server").filter("paths is not null").groupBy("review_id").agg(F.max("paths").alias("a"), F.max(F.coalesce("kept", F.array().cast("array<string>"))).alias("b"))
-    return rows.select("review_id", F.size(F.array_union("a", "b")).alias("either"), F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_except("a", "b")).alias("only_a"))
+    rows = table(spark, folder, "review_server").filter("paths is not null").groupBy("review_id").agg(F.max("paths").alias("a"), F.max("kept").alias("b"))
+    return actions.set_sizes(rows, "a", "b").select("review_id", "either", "both", "only_a")
 
 
 def first_of_group(spark, folder):
     """The default of each group is the first that is listed."""
-    return table(spark, folder, "part").groupBy("p_brand").agg(F.min_by("p_name", "p_partkey").alias("default_name"))
+    return actions.first_of_group(table(spark, folder, "part"), "p_brand", "p_name", "p_partkey").withColumnRenamed("p_name", "default_name")
 
 
 def codec_suffixes(spark, folder):
@@ -133,8 +127,9 @@ _R = "r as (select distinct rel from image_index)"
 _EXT = r"lower(regexp_extract(rel, '[^/]\.([^./]+)$', 1))"
 _STEM = r"regexp_replace(rel, '([^/])\.[^./]*$', '\1')"
 SQL = {
-    "folder_listing": f"""with {_R}, p as (select string_split(rel, '/') as p from r), e as (select p[2] as folder, p[3] as name, true as is_dir from p union select p[2], p[-1], false from p)
-      select folder, name, is_dir, row_number() over (partition by folder order by is_dir desc, lower(name), name) as n from e""",
+    "folder_listing": f"""with {_R}, p as (select string_split(rel, '/') as p from r), e as (select distinct array_to_string(p[1:k - 1], '/') as folder, p[k] as name, k < len(p) as is_dir from p, unnest(range(2, len(p) + 1)) as u(k)),
+      k as (select * from e where is_dir or lower(regexp_extract(name, '[^/]\\.([^./]+)$', 1)) in ('jpg', 'png', 'heic'))
+      select folder, name, is_dir, row_number() over (partition by folder order by is_dir desc, lower(name), name) as n from k""",
     "media_outside_thumbnails": f"""with {_R}, c as (select rel from r union all select regexp_replace(rel, '/([^/]*)$', '/thumbnails/\\1') from r union all select 'thumbnails-of/' || rel from r)
       select rel from c where not regexp_matches(rel, '(^|/)thumbnails/')""",
     "outermost_folders": f"""with {_R}, p as (select distinct regexp_extract(rel, '^(.*)/[^/]*$', 1) as path from r union select * from (values ('photos/2010'), ('photos/2011'), ('photos/2011/a'), ('photo')))
@@ -142,8 +137,8 @@ SQL = {
     "file_tags": f"""with {_R} select rel, case when {_EXT} in {catalog.IMAGES} then 'image' when {_EXT} in {catalog.VIDEOS} then 'video' when {_EXT} in {catalog.AUDIO} then 'audio' when {_EXT} in {catalog.DOCUMENTS} then 'document' else 'other' end as tag,
       {_STEM} || '_small.png' as small, {_STEM} || case when {_EXT} in {catalog.VIDEOS} then '.mp4' else '.jpg' end as thumb from r""",
     "language_names": "with c as (select doc_id, lower(case when doc_id % 3 = 0 then lang || '-XX' when doc_id % 50 = 1 then 'nl' else lang end) as c from documents) select doc_id, case string_split(c, '-')[1] " + " ".join(f"when '{k}' then '{v}'" for k, v in sm.LANGUAGES.items()) + " else c end as name from c",
-    "chat_turns": "select doc_id, cast(len(regexp_extract_all(text, '(?m)^## You$')) as int) as turns from documents where source = 'chat_model'",
-    "images_in_folder": f"with {_R} select regexp_extract(rel, '^(.*)/[^/]*$', 1) as folder, count(*) filter (not starts_with(regexp_extract(rel, '([^/]*)$', 1), '.')) as images from r group by 1",
+    "chat_turns": "select doc_id, cast(len(regexp_extract_all(text, '(?m)^## You$')) as int) as turns from documents",
+    "images_in_folder": f"with m as (select rel, max(size) as size from image_index group by 1) select regexp_extract(rel, '^(.*)/[^/]*$', 1) as folder, count(*) filter (coalesce(size, 1) % 7 <> 0 and {_EXT} in ('jpg', 'png')) as files from m where rel is not null group by 1",
     "deepest_first": f"with {_R}, d as (select distinct regexp_extract(rel, '^(.*)/[^/]*$', 1) as dir from r) select dir, len(string_split(dir, '/')) as depth, row_number() over (partition by dir[1:11] order by len(string_split(dir, '/')) desc, dir) as n from d",
     "set_operations": """with r as (select review_id, max(paths) as a, max(coalesce(kept, [])) as b from review_server where paths is not null group by 1)
       select review_id, len(list_distinct(list_concat(a, b))) + (case when list_position(list_concat(a, b), null) is not null then 1 else 0 end) as either, len(list_distinct(list_filter(a, lambda x: list_contains(b, x)))) as both, len(list_distinct(list_filter(a, lambda x: not list_contains(b, x)))) as only_a from r""",
