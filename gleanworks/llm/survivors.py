@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from gleanworks.session import written_table
+
 #: Decisions that settle a group.
 DECIDED = ("reviewed", "kept_all", "skipped")
 #: Texts that stand for no value.
@@ -38,10 +40,23 @@ def one_spelling(path: str | None) -> str | None:
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
-def distinct_files(paths: pd.Series) -> pd.Series:
+def _files_in_any_script(paths: pd.Series) -> pd.Series:
     return paths.map(lambda ps: None if ps is None else list(dict.fromkeys(x for x in map(one_spelling, ps) if x)))
 
 
+def distinct_files(column: str) -> F.Column:
+    """The different files of an array of paths in ASCII, each in its one spelling (as ``one_spelling``, in built-in expressions)."""
+    spelled = r"regexp_replace(replace(p, '\\', '/'), '(?U)^\\s+|\\s+$', '')"
+    for pattern, kept in ((r"/(\\.?/)+", "/"), (r"^(\\./)+", ""), (r"/\\.?$", "")):
+        spelled = f"regexp_replace({spelled}, '{pattern}', '{kept}')"
+    none = ", ".join(f"'{x}'" for x in (*PLACEHOLDERS, "."))
+    return F.expr(f"array_distinct(filter(transform({column}, p -> {spelled}), p -> p is not null and lower(p) not in ({none})))")
+
+
+def _beyond_ascii(column: str) -> F.Column:
+    return F.coalesce(F.expr(rf"exists({column}, p -> p rlike '[^\\x00-\\x7F]')"), F.lit(False))
+
+
 def decision_word(column: str) -> F.Column:
     """A decision in its one spelling, null for a placeholder."""
     word = F.regexp_replace(F.lower(F.regexp_replace(column, r"(?U)^\s+|\s+$", "")), r"(?U)[\s_-]+", "_")
@@ -73,17 +88,16 @@ def clean_records(records: DataFrame, origins: DataFrame) -> DataFrame:
     last = F.struct(F.coalesce(F.greatest(F.col("saved_at").cast("timestamp_ntz"), F.when(F.col("saved_at").isNotNull(), F.lit(OLDEST).cast("timestamp_ntz"))), F.lit(MISSING).cast("timestamp_ntz")).alias("recent"), "paths", "decision", "kept", "method", "threshold", "origin")
     rows = records.filter("group_id is not null and review_id is not null").groupBy("group_id", "review_id").agg(F.max(last).alias("x"))
     rows = rows.select("group_id", "review_id", "x.*").join(ranks, "origin", "left")
-    return rows.select(
-        "group_id",
-        "review_id",
-        "recent",
-        F.coalesce("trust", F.lit(2**31 - 1)).alias("trust"),
-        distinct_files("paths").alias("paths"),
-        decision_word("decision").alias("decision"),
-        distinct_files("kept").alias("kept"),
-        F.when(~F.lower(F.trim("method")).isin(*PLACEHOLDERS), F.lower(F.trim("method"))).alias("method"),
-        "threshold",
-    )
+
+    def cleaned(some: DataFrame, files) -> DataFrame:
+        return some.select(
+            "group_id", "review_id", "recent", F.coalesce("trust", F.lit(2**31 - 1)).alias("trust"), files("paths").alias("paths"), decision_word("decision").alias("decision"), files("kept").alias("kept"),
+            F.when(~F.lower(F.trim("method")).isin(*PLACEHOLDERS), F.lower(F.trim("method"))).alias("method"), "threshold",
+        )
+
+    # only paths beyond ASCII go through Python, which has their canonical form; written, since several steps read it
+    far = _beyond_ascii("paths") | _beyond_ascii("kept")
+    return written_table(cleaned(rows.filter(~far), distinct_files).unionByName(cleaned(rows.filter(far), _files_in_any_script)))
 
 
 def field_survivors(records: DataFrame, at_least: int = 2) -> DataFrame:

@@ -282,6 +282,16 @@ def test_survivors_ties_nulls_and_a_hot_group(spark):
     assert whole["none"].decision is None and whole["alone"].paths == ["x"]
 
 
+def test_paths_in_built_in_expressions_as_in_python(spark):
+    rng = random.Random(15)
+    odd = ["/", ".", "./", "/.", "//", "a/.", "/a", "./../a", "-", "N/A", " ", "", "a\\b\\.\\c ", "a/./b//c/", None, ".hidden/x", "a.b/c.", "././/./x", "..", "a/..", "\ta"]
+    paths = [[rng.choice(odd) if rng.random() < 0.3 else "".join(rng.choices("ab./\\ ", k=rng.randint(1, 9))) for _ in range(4)] for _ in range(500)] + [odd, [], None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p array<string>")
+    got = {r.i: r.f for r in df.select("i", survivors.distinct_files("p").alias("f")).collect()}
+    for i, p in enumerate(paths):
+        assert got[i] == (None if p is None else list(dict.fromkeys(x for x in map(survivors.one_spelling, p) if x))), p
+
+
 def test_a_missing_date_is_older_than_the_epoch(spark):
     import datetime as dt
 
