@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanworks.functions import text as tx
 from gleanworks.operators import attribution as at
 from gleanworks.session import table
 
