@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanworks.operators import sequence
-from gleanworks.session import cut_lineage, salted_join
+from gleanworks.session import written_table, salted_join
 
 #: Suffixes by kind of file.
 IMAGES = ("jpg", "jpeg", "png", "heic", "tif", "tiff", "webp", "bmp", "gif")
@@ -154,7 +154,7 @@ def move_names(moved: DataFrame, existing: DataFrame, name: str = "name") -> Dat
     files = moved.filter(F.col(name).isNotNull() & F.col("path").isNotNull()).select("path", F.col(name).alias("name")).distinct()
     taken = existing.filter(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
     family = lambda df: df.withColumn("stem", F.regexp_replace("name", _STEM, "")).withColumn("ext", F.regexp_extract("name", _EXT, 1)).withColumn("family", F.concat(F.regexp_replace("stem", r"(-\d+)+$", ""), F.lit("/"), "ext"))
-    files, taken = cut_lineage(family(files)), family(taken)
+    files, taken = written_table(family(files)), family(taken)
     several = files.groupBy("family").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a != b").select("family")
     # one name: numbers that existing files have taken are 1 for the name itself and k for its -k
     single = files.join(several, "family", "left_anti")

@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanworks.session import cut_lineage, salted_join
+from gleanworks.session import cut_lineage, salted_join, written_table
 
 
 def shared_size(files: DataFrame, size: str = "size") -> DataFrame:
@@ -77,6 +77,7 @@ def near_pairs(signatures: DataFrame, key: str, signature: str, threshold: int,
     # plain cases, no lambdas: the first choice, and the first group of a choice, in which two signatures agree
     first_of = lambda ms: "case " + " ".join(f"when (s ^ s2) & {m} = 0 then {i}" for i, m in enumerate(ms)) + " end"
     rows = signatures.filter(F.col(signature).isNotNull()).select(F.col(key).alias("id"), F.col(signature).cast("bigint").alias("s")).distinct()
+    rows = written_table(rows)  # read by the count and by both sides of the joins
     keyed = rows.select("id", "s", F.expr(f"posexplode({masked(masks)}) as (n, v)"))
     crowded = cut_lineage(keyed.groupBy("n", "v").count().filter(F.col("count") > crowd).select("n", "v"))
     near = F.expr(f"id < id2 and bit_count(s ^ s2) <= {threshold} and {first_of(masks)} = n")
@@ -96,18 +97,21 @@ def near_pairs(signatures: DataFrame, key: str, signature: str, threshold: int,
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
     """``node, component``: the least node that each node is connected with.
 
-    Every round takes the least label of the neighbours and then the label of that label, so the number of rounds
-    grows with the logarithm of the longest path. Each round is cut by a checkpoint. Self-links are components of
-    one; null ends are passed over.
+    In every round all nodes of one label take over the least label that any of them has for a neighbour, and then the
+    label of the node of that name, so the number of rounds grows with the logarithm of the longest path. Rounds are
+    cut by written tables, whose sizes are known (estimates carried through checkpoints grow with each join). Self-links
+    are components of one; null ends are passed over.
     """
     both = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
-    links = cut_lineage(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = cut_lineage(links.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")))
+    links = written_table(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    labels = written_table(links.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")))
     for _ in range(max_rounds):
-        near = links.join(labels, links["y"] == labels["node"]).groupBy("x").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels["node"] == near["x"]).select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
+        own, other = labels.select(F.col("node").alias("x"), "component"), labels.select(F.col("node").alias("y"), F.col("component").alias("m"))
+        # what each node's label sees at best; links within a label show it nothing new
+        seen = links.join(own, "x").join(other, "y").filter("m < component").groupBy("component").agg(F.min("m").alias("m"))
+        step = labels.join(seen, "component", "left").select("node", F.col("component").alias("old"), F.coalesce("m", "component").alias("c"))
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("further"))
-        new = cut_lineage(step.join(jump, "c").select("node", F.least("c", "further").alias("component"), "old"))
+        new = written_table(step.join(jump, "c").select("node", F.least("c", "further").alias("component"), "old"))
         labels = new.select("node", "component")
         if new.filter("component != old").isEmpty():
             return labels
@@ -119,7 +123,7 @@ def near_duplicate_groups(items: DataFrame, key: str, signature: str, threshold:
 
     Equal signatures are one node, so copies are never paired with each other. Grouping is transitive.
     """
-    known = items.filter(F.col(signature).isNotNull()).select(F.col(key).alias("path"), F.col(signature).alias("s"))
+    known = written_table(items.filter(F.col(signature).isNotNull()).select(F.col(key).alias("path"), F.col(signature).alias("s")))
     nodes = known.select("s").distinct()
     pairs = near_pairs(nodes, "s", "s", threshold, exact_blocks)
     loops = nodes.select(F.col("s").alias("a"), F.col("s").alias("b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanworks.session import cut_lineage
+from gleanworks.session import written_table
 
 
 def weighted_mode(rows: DataFrame, part: list[str], value: str, weight: str, order: str, default: float | None = None) -> DataFrame:
@@ -68,12 +68,12 @@ def grow_sidebar(blocks: DataFrame, max_rounds: int = 100) -> DataFrame:
     A block joins if it lies within the sidebar's width (25 units of margin) and begins at most 55 units below its
     lower edge; each block that joins moves that edge down.
     """
-    rows = cut_lineage(blocks)
+    rows = written_table(blocks)
     for _ in range(max_rounds):
         box = rows.filter("sidebar").groupBy("page").agg(F.min("x0").alias("bx0"), F.max("x1").alias("bx1"), F.max("y1").alias("by1"))
         grown = rows.join(box, "page", "left").withColumn("grown", F.col("sidebar") | F.coalesce(F.expr("x0 >= bx0 - 25 and x1 <= bx1 + 25 and y0 <= by1 + 55"), F.lit(False)))
         # the width is that of the first sidebar blocks
-        new = cut_lineage(grown.select("page", "block_no", "x0", "y0", "x1", "y1", F.col("grown").alias("sidebar"), (F.col("grown") != F.col("sidebar")).alias("changed")))
+        new = written_table(grown.select("page", "block_no", "x0", "y0", "x1", "y1", F.col("grown").alias("sidebar"), (F.col("grown") != F.col("sidebar")).alias("changed")))
         rows = new.drop("changed")
         if new.filter("changed").isEmpty():
             return rows

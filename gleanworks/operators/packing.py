@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanworks.functions.markdown import markdown_blocks
-from gleanworks.session import cut_lineage
+from gleanworks.session import written_table
 
 _TOKEN = re.compile(r"[^\W_]+|_+|[^\w\s]")
 
@@ -187,7 +187,7 @@ def summarise(texts: DataFrame, key: str, content: str, provider: Provider, targ
     size = F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+|_+|[^\p{L}\p{N}_\s]"))
     rows = texts.filter(F.col(content).isNotNull()).select(key, F.col(content).alias("text"))
     for _ in range(rounds):
-        rows = cut_lineage(rows)
+        rows = written_table(rows)
         long = rows.filter(size > target)
         if long.isEmpty():
             break

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gleanworks.functions import planner as pl
 from gleanworks.functions import text as tx
 from gleanworks.operators import packing
-from gleanworks.session import cut_lineage
+from gleanworks.session import written_table
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,7 @@ def map_reduce_refine(rows: DataFrame, key: str, small: packing.Provider, large:
     budget = pl.refine_budget(F.lit(large_context), F.lit(target))
     rows = rows.withColumn("_open", F.lit(True))
     for step in range(rounds + 1):
-        rows = cut_lineage(rows)
+        rows = written_table(rows)
         todo = rows.filter("_open")
         if todo.isEmpty():
             break
@@ -124,7 +124,7 @@ def map_reduce_refine(rows: DataFrame, key: str, small: packing.Provider, large:
 
 def adjusted(rows: DataFrame, key: str, provider: packing.Provider, form: Template, target_words: int, lang: str) -> DataFrame:
     """Results whose length is out of bounds expanded or condensed, once (``key, text`` in and out)."""
-    rows = cut_lineage(rows.withColumn("_check", pl.length_check(pl.tokens("text"), pl.words_to_tokens(F.lit(target_words)))))
+    rows = written_table(rows.withColumn("_check", pl.length_check(pl.tokens("text"), pl.words_to_tokens(F.lit(target_words)))))
     fill = {"target_words": target_words, "lang": lang}
     longer = answers(rows.filter("_check = 'expand'"), key, provider, F.lit(form.expand.format(**fill)), F.col("text"), pl.words_to_tokens(F.lit(int(target_words * 1.5))))
     shorter = answers(rows.filter("_check = 'condense'"), key, provider, F.lit(form.condense.format(**fill)), F.col("text"), pl.words_to_tokens(F.lit(int(target_words * 1.2))))
@@ -138,7 +138,7 @@ def transformed(texts: DataFrame, key: str, content: str, form: str, small: pack
     """
     plan = template(form)
     rows = texts.filter(F.col(content).rlike(r"\S")).select(key, F.col(content).alias("text"))
-    rows = cut_lineage(rows.withColumn("path", pl.path(pl.tokens("text"), pl.words_to_tokens(F.lit(target_words)), F.lit(large_context), F.lit(force))))
+    rows = written_table(rows.withColumn("path", pl.path(pl.tokens("text"), pl.words_to_tokens(F.lit(target_words)), F.lit(large_context), F.lit(force))))
     alpha = one_pass(rows.filter("path = 'alpha'").drop("path"), key, large, plan, target_words, lang, focus)
     beta = map_reduce_refine(rows.filter("path = 'beta'").drop("path"), key, small, large, plan, target_words, lang, small_context, large_context, focus)
     done = adjusted(alpha.unionByName(beta), key, large, plan, target_words, lang)
